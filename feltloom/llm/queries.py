@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from feltloom.llm.byte_bpe import encode_decode
 from feltloom.llm.common import documents
 from feltloom.llm.exact_dedup import exact_dedup
+from feltloom.llm.quality import quality
 from feltloom.llm.simhash import near_duplicates
 from feltloom.llm.token_counts import token_counts
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -30,6 +35,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
