@@ -19,7 +19,7 @@ def make_texts(seed: int = 7, n: int = 60) -> list[str | None]:
 def make_documents(spark, texts=None, extra: bool = True):
     texts = make_texts() if texts is None else texts
     rows = [(i, t, ["en", "de", None][i % 3], f"s{i % 2}", len(t) if t else None) for i, t in enumerate(texts)]
-    rows += [(None, "no id at all", None, None, None), rows[15], rows[15]]
+    rows += [(None, "no id at all", None, None, None), *[rows[min(15, len(rows) - 1)]] * 2]
     frame = spark.createDataFrame(rows, SCHEMA)
     if extra:  # names that operators use themselves
         from pyspark.sql import functions as F
