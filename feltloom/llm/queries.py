@@ -11,6 +11,7 @@ from feltloom.llm.common import documents
 from feltloom.llm.exact_dedup import exact_dedup
 from feltloom.llm.quality import quality
 from feltloom.llm.simhash import near_duplicates
+from feltloom.llm.store import store_digests
 from feltloom.llm.token_counts import token_counts
 
 
@@ -30,6 +31,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), "byte_bpe_50k.json", 1024)
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_digests(documents(spark, sf_dir), "word_bpe_49k.json", 2)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), "byte_bpe_50k.tiktoken")
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
+    "op8_token_store": op8_token_store,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feltloom.llm.common import id_text, importable, rows_of, shared_dir, sliced, write_shared
-from feltloom.llm.tokens import PieceCache, tokenizer
+from feltloom.llm.tokens import PieceCache, lower_halves, tokenizer
 
 #: Ids of a chunk: least, a power of two that chunks have on average beyond it, most.
 LEAST, MEAN, MOST = 128, 512, 2048
@@ -85,7 +85,7 @@ def _encode(model: str, pieces: list[str]) -> list[bytes]:
 
 @functools.cache
 def _cache(model: str) -> PieceCache:
-    return PieceCache(functools.partial(_encode, model))
+    return PieceCache(functools.partial(_encode, model), cut=lower_halves)
 
 
 def _stage(model: str, end: int):

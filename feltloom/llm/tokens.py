@@ -13,7 +13,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from feltloom.llm.common import vocabulary  # noqa: E402
 
 #: Entries of one generation of a worker's cache; two generations are held at most.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 
 
 @functools.cache
@@ -33,14 +33,28 @@ def rank_encoding(name: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def halves(piece: str) -> tuple[str, str]:
+    """A word and the full stop or comma after it; these are pre-tokens of their own in every vocabulary here."""
+    word = piece[:-1]
+    if piece[-1:] in (".", ",") and (word[1:] if word[:1] == " " else word).isalpha():
+        return word, piece[-1]
+    return piece, ""
+
+
+def lower_halves(piece: str) -> tuple[str, str]:
+    """The same for a vocabulary of lower-case words. Capitals must not become a special string."""
+    return halves(piece.lower()) if piece.isascii() and "<|" not in piece else (piece, "")
+
+
 class PieceCache:
     """piece -> value with two generations: when the young one is full it becomes the old one.
 
-    ``fixed`` is the first tier, a table that stays for good; the generations are the second.
+    ``fixed`` is the first tier, a table that stays for good; the generations are the second. What
+    both lack is cut by ``cut`` into a word and what follows it, whose values are added.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], entries: int = CACHE_ENTRIES, fixed: dict | None = None):
-        self.encode, self.entries, self.fixed = encode, entries, fixed or {}
+    def __init__(self, encode: Callable[[list[str]], list], entries: int = CACHE_ENTRIES, fixed: dict | None = None, cut: Callable[[str], tuple[str, str]] = halves):
+        self.encode, self.entries, self.fixed, self.cut = encode, entries, fixed or {}, cut
         self.young: dict = dict(self.fixed)
         self.old: dict = {}
 
@@ -49,13 +63,23 @@ class PieceCache:
         if len(self.young) > self.entries + len(self.fixed):
             self.old, self.young = self.young, dict(self.fixed)
         young, old = self.young, self.old
-        missing = set(pieces).difference(young)
+        missing = {piece for piece in pieces if piece not in young}
         if kept := missing.intersection(old):
             young.update((piece, old[piece]) for piece in kept)
             missing -= kept
         if missing:
-            missing = list(missing)
-            young.update(zip(missing, self.encode(missing)))
+            parts = {piece: self.cut(piece) for piece in missing}
+            words = {w for both in parts.values() for w in both if w}.difference(young)
+            if kept := words.intersection(old):
+                young.update((word, old[word]) for word in kept)
+                words -= kept
+            words = list(words)
+            young.update(zip(words, self.encode(words)))
+            for piece, (word, tail) in parts.items():
+                if tail:
+                    young[piece] = young[word] + young[tail]
+                elif piece != word or not piece:
+                    young[piece] = young[word] if word else self.encode([""])[0]
         return young.__getitem__
 
 

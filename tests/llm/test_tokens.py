@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from feltloom.llm.byte_bpe import encode_decode
 from feltloom.llm.token_counts import token_counts
-from feltloom.llm.tokens import PieceCache, safe_split, tokenizer
+from feltloom.llm.tokens import PieceCache, halves, lower_halves, safe_split, tokenizer
 
 from helpers import SCHEMA, make_documents
 
@@ -53,6 +53,16 @@ def test_pieces_encode_like_the_whole(text):
         assert [i for p in cut for i in library.encode(p, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aB' ,.é1-")), max_size=6), max_size=8))
+def test_cache_values_are_the_librarys(pieces):
+    pieces = [*pieces, "<|ENDOFTEXT|>", "<|endoftext|>."]
+    for model, cut in (("byte_bpe_50k.json", halves), ("word_bpe_49k.json", lower_halves)):
+        encode = lambda xs: [tuple(e.ids) for e in tokenizer(model).encode_batch(xs, add_special_tokens=False)]  # noqa: B023, E731
+        get = PieceCache(encode, 5, cut=cut).fill(pieces)
+        assert [get(p) for p in pieces] == encode(pieces)
+
+
 def test_cache_generations():
     calls = []
     cache = PieceCache(lambda xs: calls.append(sorted(xs)) or [len(x) for x in xs], entries=3, fixed={"tier": 4})
