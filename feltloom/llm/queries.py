@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from feltloom.llm.byte_bpe import encode_decode
 from feltloom.llm.common import documents
 from feltloom.llm.exact_dedup import exact_dedup
+from feltloom.llm.packing import pack
 from feltloom.llm.quality import quality
 from feltloom.llm.simhash import near_duplicates
 from feltloom.llm.store import store_digests
@@ -19,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), "byte_bpe_50k.json", 1)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -41,6 +46,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
