@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from feltloom.llm.byte_bpe import encode_decode
 from feltloom.llm.common import documents
 from feltloom.llm.exact_dedup import exact_dedup
+from feltloom.llm.html_extract import main_text
 from feltloom.llm.packing import pack
 from feltloom.llm.quality import quality
 from feltloom.llm.simhash import near_duplicates
@@ -28,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_token_store": op8_token_store,
