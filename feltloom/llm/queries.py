@@ -10,6 +10,7 @@ from feltloom.llm.byte_bpe import encode_decode
 from feltloom.llm.common import documents
 from feltloom.llm.exact_dedup import exact_dedup
 from feltloom.llm.html_extract import main_text
+from feltloom.llm.language import language_id
 from feltloom.llm.packing import pack
 from feltloom.llm.quality import quality
 from feltloom.llm.simhash import near_duplicates
@@ -21,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), "byte_bpe_50k.json", 1)
 
@@ -51,6 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_html_extraction": op5_html_extraction,
