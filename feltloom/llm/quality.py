@@ -37,14 +37,17 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE + "+"), "")
 
 
-def _grams(hashes: Column, buckets: int) -> Column:
-    """Buckets of the words, then of the pairs, from the words' hashes."""
-    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    pair = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.when(b.isNotNull(), (F.pmod(F.xxhash64(a, b), F.lit(buckets)) + buckets).cast("int")))
-    return F.concat(single, F.filter(pair, lambda x: x.isNotNull()))
+def _pairs(hashes: Column) -> Column:
+    """Hashes of neighbouring words."""
+    most = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), most), F.slice(hashes, F.lit(2), most), lambda a, b: F.xxhash64(a, b))
 
 
-def _repeat_words(hashes: Column) -> Column:
+def _bucket(hashed: Column, buckets: int) -> Column:
+    return hashed.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
+
+
+def _repeat_words(hashes: Column, pairs: Column) -> Column:
     """Words in 5-word windows that are found twice or more, from the words' hashes."""
 
     def covered(windows: Column) -> Column:
@@ -58,9 +61,10 @@ def _repeat_words(hashes: Column) -> Column:
         reach = lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(5)), F.lit(5))), F.lit(0), lambda a, b: a + b)
         return _let(order, lambda s: _let(starts(s), reach))
 
-    last = F.size(hashes) - 4
-    at = lambda h, i: F.xxhash64(*(F.get(h, i + k) for k in range(5)))
-    windows = F.when(last >= 1, _let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: at(h, i)))).otherwise(F.array().cast("array<bigint>"))
+    # A window's hash is made of the hashes of its first two pairs of words and its last word.
+    most = F.greatest(F.size(hashes) - 4, F.lit(0))
+    whole = lambda p: F.zip_with(F.zip_with(F.slice(p, F.lit(1), most), F.slice(p, F.lit(3), most), lambda a, b: F.xxhash64(a, b)), F.slice(hashes, F.lit(5), most), lambda a, b: F.xxhash64(a, b))
+    windows = _let(pairs, whole)
     return _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0)))
 
 
@@ -79,7 +83,9 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = rows.join(F.broadcast(trusted_ids(labels, most)), F.col("doc_id") == F.col("trusted_id"), "left")
     hashed = known.select(F.col("trusted_id").isNotNull().alias("trusted"), _hashes(_words(F.col("text"))).alias("hashes"))
-    grams = hashed.select("trusted", F.explode(_let(F.col("hashes"), lambda h: _grams(h, buckets))).alias("bucket"))
+    single = F.transform("hashes", lambda h: _bucket(h, buckets))
+    pair = F.transform(_pairs(F.col("hashes")), lambda h: _bucket(h, buckets) + buckets)
+    grams = hashed.select("trusted", F.explode(F.concat(single, pair)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum(F.col("trusted").cast("long")).alias("target"))
     dense = docs.sparkSession.range(2 * buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     totals = counts.groupBy((F.col("bucket") >= buckets).alias("pair")).agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
@@ -95,6 +101,7 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: in
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     split = rows.select("doc_id", "text", _words(text).alias("words")).select("*", _hashes(F.col("words")).alias("hashes"))
+    split = split.select("*", _pairs(F.col("hashes")).alias("pairs"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = split.select(
         "doc_id",
@@ -102,13 +109,20 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: in
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
-        _let(F.col("hashes"), lambda h: _grams(h, buckets)).alias("grams"),
+        _repeat_words(F.col("hashes"), F.col("pairs")).cast("long").alias("n_repeat_words"),
+        F.struct("hashes", "pairs").alias("grams"),
     )
+
     # Each column is used once from here on, so the optimizer folds these projections into one and the
     # ratios stay a reference: they are never a column of the rows.
-    mean = _let(F.col("grams"), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get("model", b)) / F.greatest(F.size(g), F.lit(1)))
-    found = counted.select("*", model.alias("model")).select(*[c for c in counted.columns if c != "grams"], mean.alias("llr"))
+    def mean(grams: Column, table: Column) -> Column:
+        words, pairs = grams["hashes"], grams["pairs"]
+        first = F.aggregate(words, F.lit(0.0), lambda a, h: a + F.get(table, _bucket(h, buckets)))
+        second = F.aggregate(pairs, F.lit(0.0), lambda a, h: a + F.get(table, _bucket(h, buckets) + buckets))
+        return (first + second) / F.greatest(F.size(words) + F.size(pairs), F.lit(1))
+
+    llr = _let(F.struct("grams", "model"), lambda x: mean(x["grams"], x["model"]))
+    found = counted.select("*", model.alias("model")).select(*[c for c in counted.columns if c != "grams"], llr.alias("llr"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return found.withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr"
