@@ -16,6 +16,7 @@ from feltloom.llm.quality import quality
 from feltloom.llm.simhash import near_duplicates
 from feltloom.llm.store import store_digests
 from feltloom.llm.token_counts import token_counts
+from feltloom.llm.toxicity import toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_digests(documents(spark, sf_dir), "word_bpe_49k.json", 2)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), "byte_bpe_50k.tiktoken")
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_token_store": op8_token_store,
+    "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
