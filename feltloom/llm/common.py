@@ -9,7 +9,8 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: \x20 and \x09-\x0D.
@@ -63,6 +64,21 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def keep_rows(docs: DataFrame, text_hash: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, text_hash) is in ``kept`` (one row each), one if they repeat.
+
+    The rows travel as one struct, so no column of theirs can clash. A doc_id's rows meet in one task;
+    a hot text doesn't, as the id is part of the key.
+    """
+    keys = ("key_id", "key_none", "key_hash")
+    doc_id = F.col("doc_id").cast("long")
+    key = lambda h: [F.coalesce(doc_id, F.lit(0)).alias(keys[0]), doc_id.isNull().alias(keys[1]), h.alias(keys[2])]
+    rows = docs.select(*key(text_hash), F.struct("*").alias("row"))
+    found = rows.join(kept.select(*key(F.col("text_hash"))), list(keys))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0]))
+    return found.withColumn("first", first).where("first = 1").select("row.*")
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterable[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
 
@@ -72,7 +88,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = [len(x) if x is not None else 0 for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+        sizes = [n or 0 for n in pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()]
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > most:

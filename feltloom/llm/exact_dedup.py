@@ -23,10 +23,10 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import WHITE, WHITE_BYTES, id_text
+from feltloom.llm.common import WHITE, WHITE_BYTES, id_text, keep_rows
 
 #: Bytes of strings that one trie may hold before it is flushed (map side) or spills (owner side).
 TRIE_BYTES = 48 << 20
@@ -220,13 +220,21 @@ def owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     return dealt.mapInArrow(_owners(trie_bytes), "text_sha256 string, best_chars long, keep_id long, n long")
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of the normalised text."""
+    return F.sha2(F.translate(F.coalesce(text.cast("string"), F.lit("")), WHITE, "").cast("binary"), 256)
+
+
+def drop_exact_duplicates(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """``docs``, one row of each group of equal texts."""
+    best = owners(docs, trie_bytes).select(F.col("keep_id").alias("doc_id"), F.xxhash64("text_sha256", "best_chars").alias("text_hash"))
+    chars = F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long")
+    return keep_rows(docs, F.xxhash64(digest(F.col("text")), chars), best)
+
+
 def exact_dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_chars: one row per document."""
-    members = id_text(docs).select(
-        "doc_id",
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
-        F.sha2(F.translate(F.coalesce("text", F.lit("")), WHITE, "").cast("binary"), 256).alias("text_sha256"),
-    )
+    members = id_text(docs).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), digest(F.col("text")).alias("text_sha256"))
     # The explicit repartition lets AQE split a hot digest in the join below it.
     joined = members.join(owners(docs, trie_bytes), "text_sha256").repartition("doc_id")
     best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("best_chars"))

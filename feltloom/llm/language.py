@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import id_text, rows_of, sliced
+from feltloom.llm.common import id_text, importable, rows_of, sliced
 from feltloom.llm.sampling import bounded_ids, fold
 
 #: The bounded sample: documents, characters and windows of each, words of a window.
@@ -38,6 +38,8 @@ FEATURES, SPLICED, EPOCHS, STEP, DECAY = 1 << 16, 0.25, 3, 0.5, 1e-6
 #: Words of a worker's emission cache; bytes of text labelled at a time.
 CACHE_WORDS, SLICE_BYTES = 300_000, 6 << 20
 UNDETERMINED = "und"
+#: Mean posterior under which a document has no language worth keeping.
+LEAST_SCORE = 0.4
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +304,14 @@ def label_documents(rows: DataFrame, text: str, field: Field) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*rows.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType())
-    return rows.withColumn("lang_text", F.col(text)).mapInArrow(_predict(Shared(rows.sparkSession, field), len(rows.columns)), schema)
+    return rows.withColumn("lang_text", F.col(text).cast("string")).mapInArrow(_predict(Shared(rows.sparkSession, field), len(rows.columns)), schema)
+
+
+def drop_undetermined(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without those of no determined language, or of a score under ``least``."""
+    importable(docs.sparkSession)
+    found = label_documents(docs.select(F.struct("*").alias("row")), "row.text", fit(docs))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select("row.*")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import id_text, rows_of, write_shared
+from feltloom.llm.common import id_text, keep_rows, rows_of, write_shared
 
 SHINGLE, SEED = 3, 42
 
@@ -58,11 +58,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t) for (t,) in rows_of(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, text_hash (which tells rows of one doc_id apart), fp."""
+    rows = id_text(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -99,12 +101,31 @@ def components(edges: DataFrame) -> DataFrame:
         )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id: one row per document."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp of every document; fp, root, component_id of every distinct fingerprint)."""
     rows = write_shared(fingerprints(docs), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = components(links(distinct.select("fp")))
     classed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = classed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_print = classed.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return rows, classed.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id: one row per document."""
+    rows, by_print = classes(docs)
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash: of each component the row that stays, that of the smallest doc_id (null last)."""
+    rows, by_print = classes(docs)
+    # The smallest row of each fingerprint first: a hot fingerprint is one row per task before the join.
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row"))
+    best = least.join(by_print.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    return best.select("row.doc_id", "row.text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs``, one row of each component."""
+    return keep_rows(docs, F.xxhash64(F.col("text").cast("string")), representatives(docs))

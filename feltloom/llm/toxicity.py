@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import id_text, rows_of, sliced
+from feltloom.llm.common import id_text, importable, rows_of, sliced
 from feltloom.llm.language import Shared, letters
 from feltloom.llm.sampling import bounded_ids, fold
 
@@ -354,7 +354,14 @@ def score_documents(rows: DataFrame, text: str, network: Network) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType([*rows.schema.fields]).add("tox_score", DoubleType())
-    return rows.withColumn("tox_text", F.col(text)).mapInArrow(_score(Shared(rows.sparkSession, network), len(rows.columns)), schema)
+    return rows.withColumn("tox_text", F.col(text).cast("string")).mapInArrow(_score(Shared(rows.sparkSession, network), len(rows.columns)), schema)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without those predicted toxic."""
+    importable(docs.sparkSession)
+    found = score_documents(docs.select(F.struct("*").alias("row")), "row.text", fit(docs, labels))
+    return found.where("tox_score < 0.5").select("row.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
