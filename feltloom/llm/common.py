@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -98,6 +98,32 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
         yield batch.slice(start)
 
 
+_kept: dict = {}
+
+
+def worker_cache(key: tuple, build: Callable):
+    """What a Python worker keeps from one task to the next: one thing, that of the operator it last served.
+
+    Workers outlive queries and serve several operators, so each new key drops what was kept for the last.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+class Shared:
+    """A broadcast value with a key that no other broadcast of the application has."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.broadcast = spark.sparkContext.broadcast(value)
+        self.key = self.broadcast._jbroadcast.id()
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
 def vocabulary(name: str) -> str:
     """The path of a public vocabulary file, looked up where the code runs."""
     if os.sep in name:

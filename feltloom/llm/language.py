@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import id_text, importable, rows_of, sliced
+from feltloom.llm.common import Shared, id_text, importable, rows_of, sliced, worker_cache
 from feltloom.llm.sampling import bounded_ids, fold
 
 #: The bounded sample: documents, characters and windows of each, words of a window.
@@ -36,7 +36,7 @@ TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_WINDOWS, TRAIN_WORDS = 4000, 20_000, 4, 32
 #: Hashed features; share of spliced windows; passes; step; decay.
 FEATURES, SPLICED, EPOCHS, STEP, DECAY = 1 << 16, 0.25, 3, 0.5, 1e-6
 #: Words of a worker's emission cache; bytes of text labelled at a time.
-CACHE_WORDS, SLICE_BYTES = 300_000, 6 << 20
+CACHE_WORDS, SLICE_BYTES = 200_000, 3 << 20
 UNDETERMINED = "und"
 #: Mean posterior under which a document has no language worth keeping.
 LEAST_SCORE = 0.4
@@ -257,28 +257,6 @@ class Labeller:
         return results
 
 
-_labellers: dict[int, Labeller] = {}
-
-
-def _labeller(shared) -> Labeller:
-    if shared.key not in _labellers:
-        _labellers.clear()
-        _labellers[shared.key] = Labeller(shared.value)
-    return _labellers[shared.key]
-
-
-class Shared:
-    """A broadcast model with a key, so that each worker keeps one predictor for it."""
-
-    def __init__(self, spark, model):
-        self.broadcast = spark.sparkContext.broadcast(model)
-        self.key = id(self.broadcast)
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
 def fit(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Field:
     """Learn from text and non-null lang of documents whose crc32(doc_id) mod 4 is not 2."""
     ids = bounded_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull()), most)
@@ -290,7 +268,7 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Field:
 
 def _predict(shared: Shared, carried: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = _labeller(shared)
+        labeller = worker_cache(("language", shared.key), lambda: Labeller(shared.value))
         for batch in sliced(batches, "lang_text", SLICE_BYTES):
             found = labeller.predict([t for (t,) in rows_of(batch, "lang_text")])
             columns = [batch.column(i) for i in range(carried)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import id_text, rows_of, sliced
+from feltloom.llm.common import Shared, id_text, rows_of, sliced, worker_cache
 from feltloom.llm.tokens import PieceCache, safe_split, tokenizer
 
 #: The bounded sample that the frequent pieces are taken from, and the size of the table.
@@ -61,15 +61,9 @@ def frequent_lengths(docs: DataFrame, model: str, sample: int = SAMPLE_DOCUMENTS
     return FrequentLengths(dict(zip(pieces, lengths(model, pieces))) if pieces else {})
 
 
-_caches: dict[tuple, PieceCache] = {}
-
-
-def _count(model: str, key: int, frequent):
+def _count(model: str, frequent: Shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (model, key) not in _caches:
-            _caches.clear()
-            _caches[model, key] = PieceCache(functools.partial(lengths, model), fixed=frequent.value.table())
-        cache = _caches[model, key]
+        cache = worker_cache(("counts", model, frequent.key), lambda: PieceCache(functools.partial(lengths, model), fixed=frequent.value.table()))
         for batch in sliced(batches, "text", SLICE_BYTES):
             texts = ["" if t is None else t for (t,) in rows_of(batch, "text")]
             cut = [safe_split(t) for t in texts]
@@ -85,6 +79,6 @@ def _count(model: str, key: int, frequent):
 def token_counts(docs: DataFrame, model: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
     rows = id_text(docs)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(rows, model))
-    counted = rows.mapInArrow(_count(model, id(frequent), frequent), "doc_id long, n_bytes long, n_tokens long")
+    frequent = Shared(docs.sparkSession, frequent_lengths(rows, model))
+    counted = rows.mapInArrow(_count(model, frequent), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

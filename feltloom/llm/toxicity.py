@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import id_text, importable, rows_of, sliced
-from feltloom.llm.language import Shared, letters
+from feltloom.llm.common import Shared, id_text, importable, rows_of, sliced, worker_cache
+from feltloom.llm.language import letters
 from feltloom.llm.sampling import bounded_ids, fold
 
 #: Words of a window, and from one window to the next.
@@ -41,7 +41,7 @@ BUCKETS, INPUT, STATE, ATTENTION = 1 << 16, 10, 8, 8
 #: Passes over the sample (more if it is small: at least BATCHES batches), windows drawn of each document, documents of a batch, step.
 EPOCHS, BATCHES, BAG, BATCH, STEP = 6, 300, 4, 64, 0.05
 #: Words of a worker's cache; bytes of text scored at a time; windows at a time.
-CACHE_WORDS, SLICE_BYTES, AT_ONCE = 250_000, 4 << 20, 1024
+CACHE_WORDS, SLICE_BYTES, AT_ONCE = 150_000, 3 << 20, 1024
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,10 +245,9 @@ def train(rows: list[tuple[str, int]], seed: int = 0) -> Network:
     network, draw = Network(seed), np.random.default_rng(seed)
     if not len(rows) or labels.min() == labels.max():
         return network
-    words = [[w for w in map(letters, t.split()) if w] for t, _ in rows]
-    distinct = sorted({w for x in words for w in x})
-    where = {w: i + 1 for i, w in enumerate(distinct)}  # row 0 pads
-    at = [np.array([where[w] for w in x], np.int64) for x in words]
+    where: dict[str, int] = {}  # row 0 pads
+    at = [np.array([where.setdefault(w, len(where) + 1) for w in map(letters, t.split()) if w], np.int64) for t, _ in rows]
+    distinct = list(where)
     whole, char, owner = features(distinct) if distinct else (np.zeros(0, np.int64),) * 3
     counts = np.bincount(owner, minlength=len(distinct)).astype(np.float32)
     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
@@ -321,15 +320,9 @@ def train(rows: list[tuple[str, int]], seed: int = 0) -> Network:
     return network
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _score(shared: Shared, carried: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.key not in _scorers:
-            _scorers.clear()
-            _scorers[shared.key] = Scorer(shared.value)
-        scorer = _scorers[shared.key]
+        scorer = worker_cache(("toxicity", shared.key), lambda: Scorer(shared.value))
         for batch in sliced(batches, "tox_text", SLICE_BYTES):
             found = scorer.scores([t for (t,) in rows_of(batch, "tox_text")])
             columns = [batch.column(i) for i in range(carried)]
