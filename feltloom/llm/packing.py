@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feltloom.llm.common import id_text, rows_of, vocabulary, write_shared
-from feltloom.llm.tokens import tokenizer
+from feltloom.llm.tokens import byte_names, tokenizer
 
 #: Ids of a sequence, ids of a unit, and pieces that are laid end to end together.
 SEQUENCE, GRAIN, BLOCK = 2048, 4, 256
@@ -50,9 +50,7 @@ def _fast(model: str):
 
     with open(vocabulary(model), encoding="utf-8") as file:
         whole = json.load(file)
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-    others = (b for b in range(256) if b not in set(plain))
-    to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    to_byte = byte_names()
     special = {t["content"]: t["id"] for t in whole["added_tokens"]}
     ranks = {bytes(to_byte[c] for c in name): i for name, i in whole["model"]["vocab"].items() if name not in special}
     return tiktoken.Encoding(model, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)

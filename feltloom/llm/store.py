@@ -21,7 +21,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -31,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import id_text, importable, rows_of, shared_dir, sliced, write_shared
-from feltloom.llm.tokens import PieceCache, lower_halves, tokenizer
+from feltloom.llm.common import id_text, importable, rows_of, shared_dir, sliced, worker_cache, write_shared
+from feltloom.llm.tokens import WordCache, word_ranks
 
 #: Ids of a chunk: least, a power of two that chunks have on average beyond it, most.
 LEAST, MEAN, MOST = 128, 512, 2048
@@ -43,24 +45,28 @@ SLICE_BYTES = 4 << 20
 _PACK = "part int, place long, kind int, doc_id long, rid long, start long, n long, digest binary, sizes binary, payload binary"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+@functools.cache
+def _mixed() -> np.ndarray:
     """A fixed random-looking 64-bit number for each id."""
-    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (np.arange(1 << 8 * ID_TYPE.itemsize, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the rolling hash of the last ids has its low bits clear."""
-    n = len(ids)
-    rolled = np.zeros(n, np.uint64)
-    mixed = _mix(ids)
-    for k in range(min(WINDOW, n)):
-        rolled[k:] += mixed[: n - k] << np.uint64(k)
-    marks = np.flatnonzero((rolled >> np.uint64(20)) & np.uint64(MEAN - 1) == 0) + 1
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the rolling hash of the last WINDOW ids has its low bits clear."""
+    rolled, k = _mixed()[ids], 1
+    while k < WINDOW:  # sums of 2, 4, 8, 16 ids, each shifted by its distance
+        rolled[k:] = rolled[k:] + (rolled[:-k] << np.uint64(k))
+        k *= 2
+    return np.flatnonzero((rolled >> np.uint64(20)) & np.uint64(MEAN - 1) == 0) + 1
+
+
+def bounded(found: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids: the marks, but none within LEAST ids of the last end nor further than MOST."""
     ends, last = [], 0
-    for mark in [*marks.tolist(), n]:
+    for mark in [*found, n]:
         while mark - last > MOST:
             last += MOST
             ends.append(last)
@@ -70,6 +76,21 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    return bounded(marks(ids).tolist(), len(ids))
+
+
+def cuts_of(streams: np.ndarray, ends: list[int]) -> list[list[int]]:
+    """The same for many streams, one after another up to ``ends``: none of a stream's first WINDOW ids, whose
+    hashes reach into the stream before, can end a chunk."""
+    found, out, start = marks(streams), [], 0
+    at = np.searchsorted(found, np.array(ends), side="right").tolist()
+    for i, j, end in zip([0, *at], at, ends):
+        out.append(bounded((found[i:j] - start).tolist(), end - start))
+        start = end
+    return out
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Root over addresses; an odd one out moves up as it is."""
     level = leaves or [hashlib.sha256(b"").digest()]
@@ -79,29 +100,32 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _encode(model: str, pieces: list[str]) -> list[bytes]:
-    return [np.array(e.ids, ID_TYPE).tobytes() for e in tokenizer(model).encode_batch_fast(pieces, add_special_tokens=False)]
+def _encode(model: str, piece: str) -> bytes:
+    return array(ID_TYPE.char, word_ranks(model).ids(piece)).tobytes()
 
 
-@functools.cache
-def _cache(model: str) -> PieceCache:
-    return PieceCache(functools.partial(_encode, model), cut=lower_halves)
+def _cache(model: str) -> WordCache:
+    """The worker's cache for a model, for one batch."""
+    kept = worker_cache(("words", model), lambda: [WordCache(functools.partial(_encode, model))])
+    kept[0] = kept[0].next()
+    return kept[0]
 
 
 def _stage(model: str, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Encode and chunk; pieces between spaces and line feeds encode alone, as this model drops white space."""
-        cache, rid, last = _cache(model), TaskContext.get().partitionId() << 40, np.array([end], ID_TYPE).tobytes()
+        """Encode and chunk; pieces between spaces and line feeds encode alone, as such models drop white space."""
+        compress = zstandard.ZstdCompressor(level=2).compress
+        rid, last = TaskContext.get().partitionId() << 40, np.array([end], ID_TYPE).tobytes()
         for batch in sliced(batches, "text", SLICE_BYTES):
             cut = [(t or "").replace("\n", " ").split(" ") for (t,) in rows_of(batch, "text")]
-            get = cache.fill(p for c in cut for p in c)
-            rows = []
-            for (doc,), pieces in zip(rows_of(batch, "doc_id"), cut):
-                raw = b"".join(map(get, pieces)) + last
-                ends = [e * ID_TYPE.itemsize for e in cuts(np.frombuffer(raw, ID_TYPE))]
-                digests = b"".join(hashlib.sha256(raw[a:b]).digest() for a, b in zip([0, *ends], ends))
-                sizes = np.diff(np.array([0, *ends], "<i4")) // ID_TYPE.itemsize
-                rows.append((rid, doc, len(raw) // ID_TYPE.itemsize, digests, sizes.astype("<i4").tobytes(), zstandard.compress(raw, 3)))
+            rows, width = [], ID_TYPE.itemsize
+            get = _cache(model).__getitem__
+            raws = [b"".join(map(get, pieces)) + last for pieces in cut]
+            each = cuts_of(np.frombuffer(b"".join(raws), ID_TYPE), list(accumulate(len(raw) // width for raw in raws)))
+            for (doc,), raw, ends in zip(rows_of(batch, "doc_id"), raws, each):
+                digests = b"".join([hashlib.sha256(raw[a * width : b * width]).digest() for a, b in zip([0, *ends], ends)])
+                sizes = array("i", [b - a for a, b in zip([0, *ends], ends)]).tobytes()
+                rows.append((rid, doc, len(raw) // width, digests, sizes, compress(raw)))
                 rid += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["rid", "doc_id", "n", "digests", "sizes", "payload"])
@@ -112,6 +136,7 @@ def _stage(model: str, end: int):
 def _packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by document: first what it owns, then the document; out come its recipe and its own chunks."""
     part, place, start, owned = TaskContext.get().partitionId(), 0, 0, {}
+    decompress = zstandard.ZstdDecompressor().decompress
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     names = [x.split()[0] for x in _PACK.split(", ")]
     rows, size = [], 0
@@ -124,7 +149,7 @@ def _packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = [digests[i : i + 32] for i in range(0, len(digests), 32)]
             rows.append((part, place, 0, doc, rid, start, n, merkle_root(each), sizes, digests))
             place, start = place + 1, start + n
-            raw = zstandard.decompress(payload) if mine else b""
+            raw = decompress(payload) if mine else b""
             at = 0
             for i, (digest, count) in enumerate(zip(each, np.frombuffer(sizes, "<i4").tolist())):
                 if i in mine:
@@ -194,18 +219,18 @@ def _power(n: int) -> int:
 
 def combine_crc32(first: int, second: int, second_bytes: int) -> int:
     """The CRC-32 of two byte strings one after the other, from their own."""
-    return _multiply(_power(8 * second_bytes), first) ^ second
+    return (_multiply(_power(8 * second_bytes), first) if first else 0) ^ second
 
 
 def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for n, chunks in rows_of(batch, "n", "chunks"):
+        for n, crcs, lengths in rows_of(batch, "n", "crcs", "lengths"):
+            if None in crcs:
+                raise ValueError("a chunk of a recipe is not in the store")
             total, count = 0, 0
-            for c in sorted(chunks, key=lambda c: c["seq"]):
-                if c["crc"] is None:
-                    raise ValueError("a chunk of a recipe is not in the store")
-                total, count = combine_crc32(total, c["crc"], 4 * c["len"]), count + c["len"]
+            for crc, length in zip(crcs, lengths):
+                total, count = combine_crc32(total, crc, 4 * length), count + length
             if count != n:
                 raise ValueError("a recipe's chunks do not add up")
             found.append(total)
@@ -257,8 +282,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     recipes, chunks, _ = read_store(spark, path)
     checked = chunks.mapInArrow(_read_chunk, "digest binary, crc long, len long")
     joined = _references(recipes).join(checked, "digest", "left")
-    whole = joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n").alias("n"), F.collect_list(F.struct("seq", "crc", "len")).alias("chunks"))
-    found = whole.select("doc_id", "start", "n", "chunks").mapInArrow(_combine, "doc_id long, start long, n long, ids_crc32 long")
+    whole = joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "crc", "len"))).alias("chunks"))
+    found = whole.select("doc_id", "start", "n", F.col("chunks.crc").alias("crcs"), F.col("chunks.len").alias("lengths")).mapInArrow(_combine, "doc_id long, start long, n long, ids_crc32 long")
     return found.select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
 

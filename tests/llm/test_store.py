@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from feltloom.llm.store import MOST, combine_crc32, cuts, digests, merkle_root, read_documents, read_store, store_digests, write_store
+from feltloom.llm.store import MOST, combine_crc32, cuts, cuts_of, digests, merkle_root, read_documents, read_store, store_digests, write_store
 from feltloom.llm.tokens import tokenizer
 
 from helpers import SCHEMA, make_documents
@@ -64,6 +64,8 @@ def test_cuts_follow_content():
     assert len(set(ends_a) & set(ends_b)) > 0.8 * len(ends_b)
     assert cuts(np.array([2], np.uint16)) == [1]
     assert cuts(np.zeros(5000, np.uint16))[-1] == 5000
+    streams = [a, a[:100], b, a[:1], b[:5000]]
+    assert cuts_of(np.concatenate(streams), np.cumsum([len(s) for s in streams]).tolist()) == [cuts(s) for s in streams]
 
 
 @given(st.binary(max_size=200), st.binary(max_size=200))

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from feltloom.llm.byte_bpe import encode_decode
 from feltloom.llm.token_counts import token_counts
-from feltloom.llm.tokens import PieceCache, halves, lower_halves, safe_split, tokenizer
+from feltloom.llm.tokens import PieceCache, WordCache, safe_split, tokenizer, word_ranks
 
 from helpers import SCHEMA, make_documents
 
@@ -57,10 +57,31 @@ def test_pieces_encode_like_the_whole(text):
 @given(st.lists(st.text(st.sampled_from(list("aB' ,.é1-")), max_size=6), max_size=8))
 def test_cache_values_are_the_librarys(pieces):
     pieces = [*pieces, "<|ENDOFTEXT|>", "<|endoftext|>."]
-    for model, cut in (("byte_bpe_50k.json", halves), ("word_bpe_49k.json", lower_halves)):
-        encode = lambda xs: [tuple(e.ids) for e in tokenizer(model).encode_batch(xs, add_special_tokens=False)]  # noqa: B023, E731
-        get = PieceCache(encode, 5, cut=cut).fill(pieces)
-        assert [get(p) for p in pieces] == encode(pieces)
+    encode = lambda xs: [tuple(e.ids) for e in tokenizer("byte_bpe_50k.json").encode_batch(xs, add_special_tokens=False)]
+    get = PieceCache(encode, 5).fill(pieces)
+    assert [get(p) for p in pieces] == encode(pieces)
+
+
+ODD = [*"abcdeABtthhsnaaé1²,.'-#", "\u0130", "\u03a3", "\u0301", "\xa0", "\x1c", "\t", "ß", "東", "'s", "'LL", "<|startoftext|>", "<|STARTOFTEXT|>", "ing", "tion", "er", "\u01c5", "\u0345"]
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(ODD), max_size=14))
+def test_word_ranks_are_the_librarys(parts):
+    piece = "".join(parts)
+    assert word_ranks("word_bpe_49k.json").ids(piece) == tokenizer("word_bpe_49k.json").encode(piece, add_special_tokens=False).ids
+
+
+def test_word_cache():
+    ranks = word_ranks("word_bpe_49k.json")
+    cache = WordCache(lambda p: b"".join(b"%d;" % i for i in ranks.ids(p)))
+    draw = random.Random(1)
+    for _ in range(200):
+        pieces = draw.choices(["a", "A.", "b,", "", "..", "Été", "été.", "Σ", "<|ENDOFTEXT|>", "<|endoftext|>.", "C" * draw.randint(1, 9)], k=6)
+        cache = cache.next(4)
+        got = [cache[p] for p in pieces]
+        assert got == [b"".join(b"%d;" % i for i in tokenizer("word_bpe_49k.json").encode(p, add_special_tokens=False).ids) for p in pieces]
+        assert len(cache) <= 4 + 12
 
 
 def test_cache_generations():
