@@ -22,7 +22,7 @@ def long_date(ts: Column | str) -> Column:
 
 
 def italian_date(d: Column | str) -> Column:
-    """``5 ott 2026``, whatever the locale."""
+    """``5 Ott 2026``, whatever the locale."""
     return F.concat_ws(" ", F.day(_c(d)).cast("string"), F.element_at(F.array(*map(F.lit, ITALIAN_MONTHS)), F.month(_c(d))), F.year(_c(d)).cast("string"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Unicode white space, which Java's \s and trim() cover only in part.
 SPACE = r"[\s\p{Z}\x{0085}\x{000B}]"
-ITALIAN_MONTHS = "gen feb mar apr mag giu lug ago set ott nov dic".split()
+ITALIAN_MONTHS = "Gen Feb Mar Apr Mag Giu Lug Ago Set Ott Nov Dic".split()
 EDITION_MARKS = " ,;:."
 
 
@@ -40,13 +40,20 @@ def clean_name(x: Column | str) -> Column:
     return F.btrim(_c(x), F.lit(EDITION_MARKS))
 
 
-def edition_aliases(x: Column | str, most: int = 6) -> Column:
-    """The name and what is left of it as bracketed or trailing edition marks go, one at a time."""
-    pattern = r"(?i)\s*(?:[(\[][^()\[\]]*[)\]]|\b(?:ep|lp|single|album|remixes|deluxe(?: edition)?))\s*$"
-    names = [clean_name(_c(x))]
+def trim_edition(x: Column | str) -> Column:
+    """A title without one trailing bracketed part, or one trailing format word."""
+    t = F.trim(_c(x))
+    bracketed = F.regexp_extract(t, r"(?s)^(.+)(?:\([^(]*\)|\[[^\[]*\])$", 1)
+    word = F.regexp_extract(t, r"(?is)^(.*\S)\s+(?:ep|lp|single|e\.p\.)$", 1)
+    return F.when(t.rlike(r"(?s)^.+(?:\([^(]*\)|\[[^\[]*\])$"), F.trim(bracketed)).when(word != "", collapse_space(word)).otherwise(t)
+
+
+def album_names(artist: Column | str, title: Column | str, most: int = 6) -> Column:
+    """``artist:title`` of a title and of what is left as its edition marks go, one at a time."""
+    titles = [_c(title)]
     for _ in range(most - 1):
-        names.append(clean_name(F.regexp_replace(names[-1], pattern, "")))
-    return F.filter(F.array_distinct(F.array(*names)), lambda n: n != "")
+        titles.append(F.regexp_replace(clean_name(trim_edition(titles[-1])), "[ \\-\u2013\u2014]+$", ""))
+    return F.array_distinct(F.filter(F.array(*[prose_slug(artist, t) for t in titles]), lambda n: n.isNotNull()))
 
 
 def unix_lines(x: Column | str) -> Column:
@@ -71,16 +78,25 @@ def tidy_text(x: Column | str) -> Column:
 
 
 def strip_marker(subject: Column | str, marker: str) -> Column:
-    """A thread's name without the first marker and the dashes around it."""
-    found = F.regexp_replace(_c(subject), f"(?i)^(.*?){marker}", "$1")
-    return F.btrim(collapse_space(found), F.lit(" -–—"))
+    """A thread's name without the first marker (any case) and the dashes before what follows it."""
+    found = F.regexp_replace(_c(subject), rf"(?is)^(.*?)\Q{marker}\E", "$1")
+    return F.when(F.lower(_c(subject)).contains(marker), F.btrim(F.regexp_replace(found, "^[ \\-\u2013\u2014\t]+", ""))).otherwise(F.btrim(_c(subject)))
+
 
+def title_line(text: Column | str, name: str = "", marker: str = "") -> Column:
+    """Of the lines before the first quotation, but those that only say ``name``: the first that tells an edition, else the first."""
+    lines = plain_lines(text)
+    if marker:
+        lines = F.transform(lines, lambda v: strip_marker(v, marker))
+    kept = F.filter(F.transform(lines, lambda v: collapse_space(v)), lambda v: (v != "") & (fold_name(v) != fold_name(F.lit(name)) if name else F.lit(True)))
 
-def title_line(text: Column | str, skip: str = r"(?i)^(?:https?://|previous\b|last\b)") -> Column:
-    """The first line fit for a title: before any quotation, not a link, with a letter; else the first line."""
-    lines = F.element_at(F.transform(F.array(tidy_lines(text)), lambda a: F.filter(a, lambda v, i: ~F.exists(F.slice(a, F.lit(1), i + 1), lambda w: w.startswith(">")))), 1)
-    fit = F.filter(lines, lambda v: (v != "") & ~v.rlike(skip) & v.rlike(r"\p{L}"))
-    return F.coalesce(F.get(fit, F.lit(0)), F.get(tidy_lines(text), F.lit(0)), F.lit(""))
+    def pick(a: Column) -> Column:
+        quoted = F.array_position(F.transform(a, lambda v: v.startswith(">")), True)
+        before = F.when(quoted > 0, F.slice(a, F.lit(1), (quoted - 1).cast("int"))).otherwise(a)
+        edition = F.filter(before, lambda v: F.lower(v).contains("dition"))
+        return F.coalesce(F.get(edition, F.lit(0)), F.get(before, F.lit(0)), F.lit(""))
+
+    return F.element_at(F.transform(F.array(kept), pick), 1)
 
 
 def join_parts(*parts: Column | str, by: str = " · ") -> Column:
@@ -88,14 +104,14 @@ def join_parts(*parts: Column | str, by: str = " · ") -> Column:
 
 
 def join_titles(heading: Column | str, subtitle: Column | str) -> Column:
-    """Heading and subtitle, but one of them if they say the same."""
-    h, s = collapse_space(heading), collapse_space(subtitle)
-    return F.when((F.lower(h) == F.lower(s)) | (s == ""), h).when(h == "", s).otherwise(F.concat(h, F.lit(": "), s))
+    """Heading and subtitle, but the heading alone if they say the same."""
+    h, s = _c(heading), F.coalesce(_c(subtitle), F.lit(""))
+    return F.when((s == "") | (F.lower(h) == F.lower(s)), h).otherwise(F.concat(h, F.lit(" \u2014 "), s))
 
 
 def stars(rating: Column | str) -> Column:
-    value = F.btrim(F.regexp_replace(_c(rating), r"(?i)\s*stars?\s*", " "))
-    return F.when(value == "", F.lit("")).otherwise(F.concat(value, F.when(value == "1", F.lit(" star")).otherwise(F.lit(" stars"))))
+    r = _c(rating)
+    return F.when((r == "") | F.lower(r).contains("star"), r).otherwise(F.concat(r, F.lit(" stars")))
 
 
 def labelled(text: Column | str, label: str) -> Column:
@@ -104,8 +120,11 @@ def labelled(text: Column | str, label: str) -> Column:
 
 
 def tidy_punctuation(x: Column | str) -> Column:
-    """White space before closing marks and after opening ones goes."""
-    return collapse_space(F.regexp_replace(F.regexp_replace(_c(x), r"\s+([,.;:)\]])", "$1"), r"([(\[])\s+", "$1"))
+    """No space before a comma or inside round brackets."""
+    text = collapse_space(x)
+    for wide, narrow in ((" ,", ","), ("( ", "("), (" )", ")")):
+        text = F.replace(text, F.lit(wide), F.lit(narrow))
+    return text
 
 
 def genre_description(genre: Column | str) -> Column:

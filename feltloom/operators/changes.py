@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feltloom.functions.arrays import edge_diff
+from feltloom.functions.arrays import edge_diff, let
 from feltloom.functions.text import escape_html
 
 # The sections of a recommendation, in the order they are shown.
@@ -57,12 +57,51 @@ def numeric_order(guid: str = "guid") -> list[Column]:
     return [F.col(guid).cast("bigint").asc()]
 
 
+#: What removed and added lines look like.
+GONE, NEW = "#b42318", "#067647"
+
+
+def _section(name: str):
+    return lambda lines: F.when(F.size(lines) > 0, F.concat(F.lit(f'<h3>{name}</h3><pre style="white-space:pre-wrap">'), F.array_join(lines, "\n"), F.lit("</pre>")))
+
+
 def render_sections(old: Column, new: Column) -> Column:
     """HTML of the sections that differ between two structs of string arrays; empty if none does."""
     parts = []
     for name in SECTIONS:
         field = name.lower().replace(" ", "_")
         before, after = (F.coalesce(x[field], F.array().cast("array<string>")) for x in (old, new))
-        lines = edge_diff(before, after)
-        parts.append(F.when(F.size(lines) > 0, F.concat(F.lit(f"<h4>{name}</h4><ul>"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<li>"), escape_html(x), F.lit("</li>"))), ""), F.lit("</ul>"))).otherwise(F.lit("")))
-    return F.concat(*parts)
+        colour = lambda line: F.when(line.startswith("+ "), F.lit(NEW)).otherwise(F.lit(GONE))
+        shown = F.transform(edge_diff(before, after), lambda x: F.concat(F.lit('<span style="color:'), colour(x), F.lit('">'), escape_html(x), F.lit("</span>")))
+        parts.append(let(shown, _section(name)))
+    return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), "\n\n")
+
+
+def render_notes(notice: str, notes: Column) -> Column:
+    """A notice, and the notes below it if there are any."""
+    body = F.concat(F.lit('<h3>Notes</h3><pre style="white-space:pre-wrap">'), F.array_join(F.transform(notes, escape_html), "\n"), F.lit("</pre>"))
+    return F.concat(F.lit(f"<p>{notice}</p>"), F.when(F.size(notes) > 0, body).otherwise(F.lit("")))
+
+
+def render_note_diff(old: Column, new: Column) -> Column:
+    lines = F.transform(edge_diff(old, new), escape_html)
+    body = let(lines, lambda x: F.when(F.size(x) > 0, F.concat(F.lit('<pre style="white-space:pre-wrap">'), F.array_join(x, "\n"), F.lit("</pre>"))).otherwise(F.lit("")))
+    return F.concat(F.lit("<p>Notes changed.</p>"), body)
+
+
+def stack_events(events: DataFrame, link: str) -> DataFrame:
+    """Membership and note events of a curated list; old and new are structs of title and notes."""
+    shown = F.coalesce(F.col("new.title"), F.col("old.title"))
+    label = F.when(F.col("kind") == "added", "Added: ").when(F.col("kind") == "removed", "Removed: ").otherwise("Notes updated: ")
+    said = (
+        F.when(F.col("kind") == "added", render_notes("Added to the stack.", F.col("new.notes")))
+        .when(F.col("kind") == "removed", render_notes("Removed from the stack.", F.col("old.notes")))
+        .otherwise(render_note_diff(F.col("old.notes"), F.col("new.notes")))
+    )
+    changed = events.where((F.col("kind") != "updated") | ~F.col("old.notes").eqNullSafe(F.col("new.notes")))
+    return changed.select("source_id", "epoch", "guid", "kind", F.concat(label, shown).alias("title"), F.concat(F.lit(link), "guid").alias("link"), said.alias("description"))
+
+
+def section_events(events: DataFrame) -> DataFrame:
+    """Events of entities whose sections differ; one without a difference is none, even if it came or went."""
+    return events.withColumn("description", render_sections(F.col("old"), F.col("new"))).where("description <> ''")

@@ -314,16 +314,15 @@ def edge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.size("d").cast("bigint").alias("n"), F.md5(F.array_join("d", "\n")).alias("diff"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[\s\p{Z}\x{0085}\x0b]+', ' ', 'g'))) AS a FROM documents),
-    s AS (SELECT doc_id, list_filter(a, lambda x, i: x <> '' OR (i > 1 AND a[i - 1] <> '')) AS a FROM l)
-    SELECT doc_id, md5(coalesce(list_filter(a, lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(?:https?://|previous\b|last\b)') AND regexp_matches(x, '\p{L}'))[1], a[1], '')) AS title
-    FROM (SELECT doc_id, list_filter(a, lambda x, i: len(list_filter(a[1:i], lambda w: starts_with(w, '>'))) = 0) AS a FROM s)""")
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[\s\p{Z}\x{0085}\x0b]+', ' ', 'g'))), lambda x: x <> '') AS a FROM documents),
+    b AS (SELECT doc_id, CASE WHEN q > 0 THEN a[1:q - 1] ELSE a END AS a FROM (SELECT doc_id, a, coalesce(list_position(list_transform(a, lambda x: starts_with(x, '>')), true), 0) AS q FROM l))
+    SELECT doc_id, md5(coalesce(list_filter(a, lambda x: contains(lower(x), 'dition'))[1], a[1], '')) AS title FROM b""")
 def pick_title_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.title_line("text")).alias("title"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S +0000') AS rfc, strftime(o_orderdate, '%-d %B %Y') AS long_date,
-    CAST(day(o_orderdate) AS VARCHAR) || ' ' || (['gen', 'feb', 'mar', 'apr', 'mag', 'giu', 'lug', 'ago', 'set', 'ott', 'nov', 'dic'])[month(o_orderdate)] || ' ' || CAST(year(o_orderdate) AS VARCHAR) AS italian FROM orders""")
+    CAST(day(o_orderdate) AS VARCHAR) || ' ' || (['Gen', 'Feb', 'Mar', 'Apr', 'Mag', 'Giu', 'Lug', 'Ago', 'Set', 'Ott', 'Nov', 'Dic'])[month(o_orderdate)] || ' ' || CAST(year(o_orderdate) AS VARCHAR) AS italian FROM orders""")
 def date_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("o_orderdate").cast("timestamp")
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.rfc1123z(at).alias("rfc"), dates.long_date(at).alias("long_date"), dates.italian_date("o_orderdate").alias("italian"))
