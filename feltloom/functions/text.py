@@ -155,3 +155,15 @@ def positive_id(x: Column | str) -> Column:
     """A canonical positive 64-bit id as text, or null."""
     value = _c(x).try_cast("bigint")
     return F.when((value > 0) & (value.cast("string") == _c(x)), value.cast("string"))
+
+
+def last_match(x: Column | str, pattern: str, group: int = 1) -> Column:
+    """The last match of a pattern, or null."""
+    return F.try_element_at(F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(group)), F.lit(-1))
+
+
+def version_parts(x: Column | str) -> Column:
+    """``v1.2.3`` as a struct that compares like the version; null for anything else."""
+    parts = F.split(F.regexp_extract(_c(x), r"^v?(\d+\.\d+\.\d+)$", 1), r"\.")
+    number = lambda i: F.get(parts, F.lit(i)).try_cast("int")
+    return F.when(_c(x).rlike(r"^v?\d+\.\d+\.\d+$"), F.struct(number(0).alias("major"), number(1).alias("minor"), number(2).alias("patch")))

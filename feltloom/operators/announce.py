@@ -76,3 +76,14 @@ def batches(items: DataFrame, by: list[str], order: str, size: int = ENRICH_BATC
 def forget_departed(held: Column, on_page: Column) -> Column:
     """Of a map of held items those that are still on the page."""
     return F.map_filter(held, lambda k, v: F.array_contains(on_page, k))
+
+
+def every_batch_read(requested: DataFrame, read: DataFrame) -> DataFrame:
+    """source_id, epoch, ok: batch lookups are all or nothing; one that is missing, or gave another number of rows, fails the epoch."""
+    joined = requested.join(read.withColumnRenamed("n", "n_read"), ["source_id", "epoch", "batch"], "left")
+    return joined.groupBy("source_id", "epoch").agg(F.min(F.coalesce(F.col("n_read") == F.col("n"), F.lit(False))).alias("ok"))
+
+
+def same_identity(before: Column, after: Column) -> Column:
+    """``after``; reading it fails if enrichment changed an identity."""
+    return F.when(before.eqNullSafe(after), after).otherwise(F.raise_error(F.concat(F.lit("enrichment changes the identity "), before)))

@@ -398,3 +398,99 @@ def rss_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = history.prune(_orders(spark, sf_dir), F.col("live"))
     items = kept.select("source_id", "guid", F.col("pub_date").cast("timestamp").alias("pub_date"), F.concat(F.lit("Order "), "guid").alias("title"), F.concat(F.lit("/orders/"), "guid").alias("link"), F.lit("").alias("description"))
     return render.rss_feeds(sources, items).select("source_id", "etag")
+
+
+@query(f"""WITH e AS ({_DAILY}), c AS (SELECT source_id, epoch, event_id, CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 304 WHEN 'error' THEN 429 WHEN 'signup' THEN 503 ELSE 500 END AS code, props FROM e)
+    SELECT event_id, CASE WHEN code = 200 THEN 'modified' WHEN code = 304 THEN 'unchanged' WHEN code IN (429, 503) THEN 'throttled' ELSE 'error' END AS outcome,
+           last_value(CASE WHEN code = 200 THEN props END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY event_id) AS etag FROM c""")
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status classes, and the validator in force after each response."""
+    code = F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 304).when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 503).otherwise(500)
+    log = _daily(spark, sf_dir).select("source_id", F.col("event_id").alias("epoch"), code.alias("status"), F.when(code == 200, F.col("props")).alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    return log.join(gates.validators(log).select("source_id", "epoch", F.col("etag").alias("kept")), ["source_id", "epoch"]).select(F.col("epoch").alias("event_id"), gates.status_of(F.col("status")).alias("outcome"), F.col("kept").alias("etag"))
+
+
+@query(f"""WITH e AS ({_DAILY}) SELECT source_id, event_type AS guid, max(epoch) AS epoch, arg_max(event_id, event_id) AS event_id FROM e GROUP BY 1, 2""")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last observation of each identity wins, all fields."""
+    rows = _daily(spark, sf_dir).select("source_id", F.col("event_type").alias("guid"), F.col("event_id").alias("epoch"), F.struct("epoch", "event_id").alias("row"))
+    return history.merge_observed(rows).select("source_id", "guid", "row.epoch", "row.event_id")
+
+
+@query(f"""WITH e AS ({_DAILY}) SELECT DISTINCT source_id, event_type AS guid FROM e WHERE event_type <> 'error'
+    AND epoch = (SELECT max(epoch) FROM e x WHERE x.source_id = e.source_id)""")
+def live_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of each source's last non-empty epoch, without empty ones."""
+    guid = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
+    return history.live_items(_daily(spark, sf_dir).select("source_id", "epoch", guid.alias("guid")))
+
+
+@query("""SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def unannounced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that were not booked before: an anti join."""
+    return announce.unannounced(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
+
+
+@query("""WITH c AS (SELECT p_partkey, string_split(p_name, ' ') AS names FROM part), b AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part WHERE p_partkey % 17 = 0 AND p_size < 10)
+    SELECT p_partkey FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE list_contains(names, name))""")
+def unannounced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates none of whose names is booked."""
+    named = table(spark, sf_dir, "part").select(F.lit(0).alias("source_id"), F.col("p_partkey").alias("guid"), "p_size", F.split("p_name", " ").alias("names"))
+    booked = named.where("guid % 17 = 0 and p_size < 10").select("source_id", F.explode("names").alias("name")).distinct()
+    return announce.unannounced_names(named, booked).select(F.col("guid").alias("p_partkey"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations),
+    t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) AS nth FROM r WHERE role = 'assistant' AND run > 0)
+    SELECT t.conv_id, t.turn, md5(u.text) AS artist FROM t JOIN r u ON u.conv_id = t.conv_id AND u.run = t.run AND u.role = 'user' WHERE nth = 1""")
+def pair_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first answer after each question, with the question."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.md5("text").alias("said"))
+    return projection.pair_next(rows, ["conv_id"], "turn", F.col("role") == "user", F.col("role") == "assistant", "said").select("conv_id", "turn", "artist")
+
+
+@query("""SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag))) AS flags, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) END AS status, strftime(min(l_shipdate), '%Y-%m-%d') AS first_day FROM lineitem GROUP BY 1""")
+def distinct_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted sets per entity, the one value that all agree on, the earliest day."""
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("f"), F.collect_list("l_linestatus").alias("s"), F.min("l_shipdate").alias("d"))
+    return one.select("l_orderkey", arrays.sorted_set(F.col("f")).alias("flags"), arrays.single_value(F.col("s")).alias("status"), _day("d").alias("first_day"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter([p_brand, CASE WHEN p_size > 25 THEN p_type ELSE '' END, CASE WHEN p_size % 2 = 0 THEN p_name END], lambda x: x IS NOT NULL AND x <> ''), ' · ') AS line,
+    CASE WHEN p_size = 1 THEN '' ELSE 'Genre: ' || p_type END AS genre, CASE WHEN lower(p_type) = lower(p_name) THEN p_type ELSE p_type || ' — ' || p_name END AS title FROM part""")
+def part_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = text.join_parts("p_brand", F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(""), F.when(F.col("p_size") % 2 == 0, F.col("p_name")))
+    genre = text.genre_description(F.when(F.col("p_size") == 1, F.lit("")).otherwise(F.col("p_type")))
+    return table(spark, sf_dir, "part").select("p_partkey", line.alias("line"), genre.alias("genre"), text.join_titles("p_type", "p_name").alias("title"))
+
+
+@query(f"""SELECT doc_id, md5({_ESC.format("text")}) AS escaped, CAST(length({_xml("text")}) AS BIGINT) AS xml_chars FROM documents""")
+def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.escape_html("text")).alias("escaped"), F.length(text.escape_xml("text")).cast("bigint").alias("xml_chars"))
+
+
+@query(f"""WITH {_STATE}, o AS (SELECT source_id, epoch, guid, kind, row_number() OVER (PARTITION BY source_id, epoch ORDER BY kind = 'removed', CASE WHEN kind <> 'removed' THEN new END, CASE WHEN kind = 'removed' THEN guid END) AS place FROM events_of)
+    SELECT source_id, epoch, guid, place FROM o""")
+def change_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is on the page as it stands there, then what is gone by id."""
+    events = _changes(spark, sf_dir).withColumn("ord", F.col("new"))
+    place = F.row_number().over(Window.partitionBy("source_id", "epoch").orderBy(*changes.in_page_order(events)))
+    return events.select("source_id", "epoch", "guid", place.cast("bigint").alias("place"))
+
+
+@query("""WITH h AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS page, list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderstatus <> 'F') AS held FROM orders GROUP BY 1)
+    SELECT o_custkey, CAST(coalesce(len(list_filter(held, lambda x: x % 3 = 0)), 0) AS BIGINT) AS kept, CAST(len(list_distinct(list_concat(page, coalesce(held, [])))) AS BIGINT) AS booked FROM h""")
+def held_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held items that left the page are forgotten; booked is the union."""
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("page"), F.collect_list(F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey"))).alias("held"))
+    held = F.map_from_arrays("held", F.transform("held", lambda x: x.cast("string")))
+    on_page = F.filter("page", lambda x: x % 3 == 0)
+    return rows.select("o_custkey", F.cardinality(announce.forget_departed(held, on_page)).cast("bigint").alias("kept"), F.size(F.array_union("page", "held")).cast("bigint").alias("booked"))
+
+
+@query("""SELECT o_orderkey, CAST(regexp_extract(o_orderpriority, '^([0-9]+)', 1) AS INTEGER) AS level, 'order:' || CAST(o_orderkey AS VARCHAR) AS guid,
+    strftime(least(o_orderdate, o_orderdate + INTERVAL 3 DAY), '%Y-%m-%d') AS pub_date FROM orders""")
+def order_guids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = text.last_match("o_orderpriority", "([0-9]+)").cast("int")
+    own = F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", level.alias("level"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("guid"), _day(dates.publication_date(own, observed="o_orderdate")).alias("pub_date"))
