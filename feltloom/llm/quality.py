@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feltloom.llm.sampling import bounded_ids
+
 #: Documents of the trusted sample; buckets of each n-gram order; pseudo-counts; nats per n-gram.
 TRUSTED, BUCKETS, PRIOR, THRESHOLD = 20_000, 1 << 18, 5.0, -0.25
 _SPACE = r"[\x20\x09-\x0D]"
@@ -74,8 +76,8 @@ def _hashes(words: Column) -> Column:
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     """At most ``most`` ids of quality 1, those of the smallest hashes."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    return good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    return bounded_ids(good, most).select(F.col("doc_id").alias("trusted_id"))
 
 
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = TRUSTED, prior: float = PRIOR) -> DataFrame:

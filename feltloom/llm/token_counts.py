@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feltloom.llm.common import Shared, id_text, rows_of, sliced, worker_cache
+from feltloom.llm.sampling import bounded_ids
 from feltloom.llm.tokens import PieceCache, safe_split, tokenizer
 
 #: The bounded sample that the frequent pieces are taken from, and the size of the table.
@@ -51,7 +52,7 @@ class FrequentLengths:
 
 def frequent_lengths(docs: DataFrame, model: str, sample: int = SAMPLE_DOCUMENTS, entries: int = TABLE_ENTRIES) -> FrequentLengths:
     """Fit the first tier on ``sample`` documents, those of the smallest hashed ids."""
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = bounded_ids(docs, sample)
     seen: Counter = Counter()
     # At most ``sample`` ids are broadcast; of each of their texts 8 KB are enough for the table.
     texts = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.substring("text", 1, 8192)).limit(2 * sample)
