@@ -16,7 +16,6 @@ returned as it is; rows are kept apart even if repeated; an empty table gives an
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import id_text, rows_of, sliced
+from feltloom.llm.common import id_text, rows_of, scratch_table, sliced
 from feltloom.llm.tokens import rank_encoding
 
 #: Bytes of text in a block: it bounds the dictionary and the memory that puts a block together.
@@ -163,7 +162,7 @@ def encode_decode(docs: DataFrame, model: str = "byte_bpe_50k.tiktoken") -> Data
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"feltloom_words_{uuid.uuid4().hex}"
+    name = scratch_table(spark, "words")
     cut = id_text(docs).mapInArrow(_cut(partitions), "block long, bucket int, doc_id long, n long, payload binary")
     # A bucketed table in the shared warehouse: the later meeting by block reads it in place.
     cut.write.bucketBy(partitions, "block").option("compression", "zstd").saveAsTable(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -32,13 +34,38 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_scratch: list[Callable[[], object]] = []
+
+
+@atexit.register
+def _clean_up() -> None:
+    """When the driver ends, what its queries wrote for themselves goes."""
+    for remove in _scratch:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            remove()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _scratch.append(lambda: target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return path
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new table name in the shared warehouse, dropped when the driver ends."""
+    table = f"feltloom_{name}_{uuid.uuid4().hex}"
+    _scratch.append(lambda: spark.sql(f"DROP TABLE IF EXISTS {table}"))
+    return table
+
+
 def write_shared(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a durable cut of the lineage.
 
     Every executor sees the files, so a lost executor costs no recomputation.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
