@@ -3,9 +3,10 @@
 A rolling hash over the ids cuts each document's id stream into chunks, so equal passages give equal
 chunks wherever they stand. A chunk's address is the SHA-256 of its ids (little-endian, ``ID_TYPE``).
 The store is a set of Parquet pack files in ascending doc_id order: each document's recipe (its chunk
-addresses, lengths and the root of a Merkle tree over the addresses), followed by the chunks that no
-earlier document has. Every chunk is stored once. Reading back checks each stored chunk against its
-address and each recipe against its root, and the manifest of the parts against a root over theirs.
+addresses, lengths and the root of a Merkle tree over the addresses), followed by the chunks it owns: of
+the documents that have a chunk, the one that was read first does. Every chunk is stored once. The
+manifest seals each part: its documents, ids and roots. Reading back checks each stored chunk against its
+address, each recipe against its root and each part against the manifest.
 
 The encoded documents are staged once; who owns a chunk is decided on addresses alone (partial
 minimum, so a chunk of a third of the documents is one row per task), and the payload is shuffled
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
@@ -33,16 +33,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import id_text, importable, rows_of, shared_dir, sliced, worker_cache, write_shared
-from feltloom.llm.tokens import WordCache, word_ranks
+from feltloom.llm.common import id_text, importable, rows_of, scratch_path, sliced, worker_cache, write_shared
+from feltloom.llm.tokens import PieceCache, word_ranks
 
 #: Ids of a chunk: least, a power of two that chunks have on average beyond it, most.
 LEAST, MEAN, MOST = 128, 512, 2048
 #: Ids that the rolling hash looks at.
 WINDOW = 16
 ID_TYPE = np.dtype("<u2")
-SLICE_BYTES = 4 << 20
-_PACK = "part int, place long, kind int, doc_id long, rid long, start long, n long, digest binary, sizes binary, payload binary"
+SLICE_BYTES = 2 << 20
+#: A document's number is its task's and its place there; a chunk's place is that and its place in the document.
+ROW_BITS, SEQ_BITS = 23, 20
+#: Recipes have sizes and digests, chunks a payload; a scan of recipes never reads payloads.
+_PACK = "part int, place long, kind int, doc_id long, rid long, start long, n long, digest binary, sizes binary, digests binary, payload binary"
 
 
 @functools.cache
@@ -100,33 +103,24 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _encode(model: str, piece: str) -> bytes:
-    return array(ID_TYPE.char, word_ranks(model).ids(piece)).tobytes()
-
-
-def _cache(model: str) -> WordCache:
-    """The worker's cache for a model, for one batch."""
-    kept = worker_cache(("words", model), lambda: [WordCache(functools.partial(_encode, model))])
-    kept[0] = kept[0].next()
-    return kept[0]
-
-
 def _stage(model: str, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Encode and chunk; pieces between spaces and line feeds encode alone, as such models drop white space."""
-        compress = zstandard.ZstdCompressor(level=2).compress
-        rid, last = TaskContext.get().partitionId() << 40, np.array([end], ID_TYPE).tobytes()
+        """Encode and chunk; words between white space encode alone, as such models drop white space."""
+        compress, ranks = zstandard.ZstdCompressor(level=1).compress, word_ranks(model)
+        cache = worker_cache(("words", model), lambda: PieceCache(ranks.raw, cut=False))
+        pieces = lambda words: map(cache.fill(words), words)
+        rid, last, width = TaskContext.get().partitionId() << ROW_BITS, np.array([end], ID_TYPE).tobytes(), ID_TYPE.itemsize
         for batch in sliced(batches, "text", SLICE_BYTES):
-            cut = [(t or "").replace("\n", " ").split(" ") for (t,) in rows_of(batch, "text")]
-            rows, width = [], ID_TYPE.itemsize
-            get = _cache(model).__getitem__
-            raws = [b"".join(map(get, pieces)) + last for pieces in cut]
+            rows = []
+            raws = [ranks.text(t or "", pieces) + last for (t,) in rows_of(batch, "text")]
             each = cuts_of(np.frombuffer(b"".join(raws), ID_TYPE), list(accumulate(len(raw) // width for raw in raws)))
             for (doc,), raw, ends in zip(rows_of(batch, "doc_id"), raws, each):
                 digests = b"".join([hashlib.sha256(raw[a * width : b * width]).digest() for a, b in zip([0, *ends], ends)])
                 sizes = array("i", [b - a for a, b in zip([0, *ends], ends)]).tobytes()
                 rows.append((rid, doc, len(raw) // width, digests, sizes, compress(raw)))
                 rid += 1
+                if len(ends) >> SEQ_BITS or not rid & (1 << ROW_BITS) - 1:
+                    raise ValueError("more chunks in a document or documents in a task than the store can number")
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["rid", "doc_id", "n", "digests", "sizes", "payload"])
 
@@ -137,7 +131,7 @@ def _packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by document: first what it owns, then the document; out come its recipe and its own chunks."""
     part, place, start, owned = TaskContext.get().partitionId(), 0, 0, {}
     decompress = zstandard.ZstdDecompressor().decompress
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     names = [x.split()[0] for x in _PACK.split(", ")]
     rows, size = [], 0
     for batch in batches:
@@ -147,13 +141,13 @@ def _packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             mine = owned.get(rid, ())
             each = [digests[i : i + 32] for i in range(0, len(digests), 32)]
-            rows.append((part, place, 0, doc, rid, start, n, merkle_root(each), sizes, digests))
+            rows.append((part, place, 0, doc, rid, start, n, merkle_root(each), sizes, digests, None))
             place, start = place + 1, start + n
             raw = decompress(payload) if mine else b""
             at = 0
             for i, (digest, count) in enumerate(zip(each, np.frombuffer(sizes, "<i4").tolist())):
                 if i in mine:
-                    rows.append((part, place, 1, doc, rid, None, count, digest, None, raw[at : at + count * ID_TYPE.itemsize]))
+                    rows.append((part, place, 1, doc, rid, None, count, digest, None, None, raw[at : at + count * ID_TYPE.itemsize]))
                     place += 1
                 at += count * ID_TYPE.itemsize
             size += len(digests) + len(raw)
@@ -169,17 +163,24 @@ def write_store(docs: DataFrame, path: str, model: str = "word_bpe_49k.json", en
     spark = docs.sparkSession
     staged = write_shared(id_text(docs).mapInArrow(_stage(model, end), "rid long, doc_id long, n long, digests binary, sizes binary, payload binary"), "encoded")
     refs = staged.select("doc_id", "rid", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("digests") / 32 - 1).cast("int")), lambda i: F.substring("digests", i * 32 + 1, F.lit(32)))).alias("seq", "digest"))
-    first = refs.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "seq")).alias("at"))
-    owners = first.groupBy("at.rid").agg(F.first("at.doc_id").alias("doc_id"), F.collect_list("at.seq").alias("owned"))
+    # A chunk's owner: the place that was read first, one number, so that hash aggregates can find it.
+    place = F.call_function("shiftleft", F.col("rid"), F.lit(SEQ_BITS)) + F.col("seq")
+    first = refs.groupBy("digest").agg(F.min(place).alias("place"), F.min_by("doc_id", place).alias("doc_id"))
+    owned = F.collect_list(F.col("place").bitwiseAND(F.lit((1 << SEQ_BITS) - 1)).cast("int")).alias("owned")
+    owners = first.groupBy(F.shiftright("place", SEQ_BITS).alias("rid"), "doc_id").agg(owned)
     both = staged.withColumn("owned", F.lit(None).cast("array<int>")).unionByName(owners, allowMissingColumns=True)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = (F.col("doc_id").asc_nulls_last(), F.col("rid"))
     dealt = both.repartitionByRange(partitions, *order).sortWithinPartitions(*order, F.col("owned").isNull())
     dealt.select("doc_id", "rid", "n", "digests", "sizes", "payload", "owned").mapInArrow(_packs, _PACK).write.option("compression", "zstd").parquet(f"{path}/packs")
     recipes = spark.read.schema(_PACK).parquet(f"{path}/packs").where("kind = 0")
-    # One row for each part: how many documents and ids, and a digest over its documents' roots in order.
-    parts = recipes.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n").alias("ids"), F.expr("sha2(array_join(transform(array_sort(collect_list(struct(place, digest))), x -> hex(x.digest)), ''), 256)").alias("root"))
-    parts.coalesce(1).write.parquet(f"{path}/manifest")
+    _sealed(recipes).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def _sealed(recipes: DataFrame) -> DataFrame:
+    """One row for each part: how many documents and ids, and a seal over its documents' places and roots."""
+    seal = F.sum(F.xxhash64("place", "n", "digest").cast("decimal(38,0)")).cast("string")
+    return recipes.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n").alias("ids"), seal.alias("seal"))
 
 
 def _read_chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +240,7 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _check_recipe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for digest, digests in rows_of(batch, "digest", "payload"):
+        for digest, digests in rows_of(batch, "digest", "digests"):
             if merkle_root([digests[i : i + 32] for i in range(0, len(digests), 32)]) != digest:
                 raise ValueError("a recipe does not match its Merkle root")
         yield batch
@@ -248,16 +249,19 @@ def _check_recipe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(recipes with their global start, chunks, manifest) as stored."""
     importable(spark)
-    packs, manifest = spark.read.schema(_PACK).parquet(f"{path}/packs"), spark.read.schema("part int, documents long, ids long, root string").parquet(f"{path}/manifest")
+    packs, manifest = spark.read.schema(_PACK).parquet(f"{path}/packs"), spark.read.schema("part int, documents long, ids long, seal string").parquet(f"{path}/manifest")
     # One row a part, as many as the writer had partitions: small enough for one task and a broadcast.
-    before = manifest.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    recipes = packs.where("kind = 0").select("part", "rid", "doc_id", "start", "n", "digest", "sizes", "payload").mapInArrow(_check_recipe, "part int, rid long, doc_id long, start long, n long, digest binary, sizes binary, payload binary")
+    found = _sealed(packs.where("kind = 0").select("part", "place", "n", "digest")).select("part", *[F.col(c).alias(f"found_{c}") for c in ("documents", "ids", "seal")])
+    same = F.col("seal").eqNullSafe(F.col("found_seal")) & F.col("documents").eqNullSafe(F.col("found_documents")) & F.col("ids").eqNullSafe(F.col("found_ids"))
+    whole = manifest.join(found, "part", "full_outer").where(F.when(same, True).otherwise(F.raise_error(F.lit("a part does not match the manifest")).cast("boolean")))
+    before = whole.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
+    recipes = packs.where("kind = 0").select("part", "rid", "doc_id", "start", "n", "digest", "digests").mapInArrow(_check_recipe, "part int, rid long, doc_id long, start long, n long, digest binary, digests binary")
     placed = recipes.join(F.broadcast(before), "part").withColumn("start", F.col("start") + F.col("before"))
     return placed, packs.where("kind = 1").select("digest", "payload"), manifest
 
 
 def _references(recipes: DataFrame) -> DataFrame:
-    each = F.transform(F.sequence(F.lit(0), (F.length("payload") / 32 - 1).cast("int")), lambda i: F.substring("payload", i * 32 + 1, F.lit(32)))
+    each = F.transform(F.sequence(F.lit(0), (F.length("digests") / 32 - 1).cast("int")), lambda i: F.substring("digests", i * 32 + 1, F.lit(32)))
     return recipes.select("rid", "doc_id", "start", "n", F.posexplode(each).alias("seq", "digest"))
 
 
@@ -289,6 +293,6 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 def store_digests(docs: DataFrame, model: str = "word_bpe_49k.json", end: int = 2) -> DataFrame:
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "store")
     write_store(docs, path, model, end)
     return digests(spark, path)

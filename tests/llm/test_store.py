@@ -35,7 +35,7 @@ def test_round_trip(spark, tmp_path):
     recipes, chunks, manifest = read_store(spark, path)
     stored = [r.digest for r in chunks.collect()]
     assert len(stored) == len(set(stored))  # unique chunks once
-    used = {bytes(r.payload[i : i + 32]) for r in recipes.collect() for i in range(0, len(r.payload), 32)}
+    used = {bytes(r.digests[i : i + 32]) for r in recipes.collect() for i in range(0, len(r.digests), 32)}
     assert used == set(map(bytes, stored))
     assert sum(r.ids for r in manifest.collect()) == sum(r[2] for r in whole)
 
@@ -55,6 +55,16 @@ def test_a_damaged_chunk_is_found(spark, tmp_path):
         digests(spark, bad).collect()
 
 
+def test_a_lost_recipe_is_found(spark, tmp_path):
+    frame, _ = make_documents(spark)
+    good, bad = f"file://{tmp_path}/good", f"file://{tmp_path}/bad"
+    write_store(frame, good)
+    spark.read.parquet(f"{good}/packs").where("not (kind = 0 and doc_id = 3)").write.parquet(f"{bad}/packs")
+    spark.read.parquet(f"{good}/manifest").write.parquet(f"{bad}/manifest")
+    with pytest.raises(Exception, match="does not match the manifest"):
+        digests(spark, bad).collect()
+
+
 def test_cuts_follow_content():
     draw = random.Random(2)
     body = [draw.randrange(40_000) for _ in range(20_000)]

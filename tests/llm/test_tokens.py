@@ -3,6 +3,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from feltloom.llm.byte_bpe import encode_decode
 from feltloom.llm.token_counts import token_counts
-from feltloom.llm.tokens import PieceCache, WordCache, safe_split, tokenizer, word_ranks
+from feltloom.llm.tokens import PieceCache, safe_split, tokenizer, word_ranks
 
 from helpers import SCHEMA, make_documents
 
@@ -62,26 +63,22 @@ def test_cache_values_are_the_librarys(pieces):
     assert [get(p) for p in pieces] == encode(pieces)
 
 
-ODD = [*"abcdeABtthhsnaaé1²,.'-#", "\u0130", "\u03a3", "\u0301", "\xa0", "\x1c", "\t", "ß", "東", "'s", "'LL", "<|startoftext|>", "<|STARTOFTEXT|>", "ing", "tion", "er", "\u01c5", "\u0345"]
+ODD = [*"abcdeABtthhsnaaé1²,.'-#", "\u0130", "\u03a3", "\u0301", "\xa0", "\x1c", "\t", "ß", "東", "'s", "'LL", "<|startoftext|>", "<|STARTOFTEXT|>", "ing", "tion", "er", "\u01c5", "\u0345", "\uf8ff", "\x00"]
 
 
 @settings(max_examples=1000, deadline=None)
 @given(st.lists(st.sampled_from(ODD), max_size=14))
 def test_word_ranks_are_the_librarys(parts):
-    piece = "".join(parts)
-    assert word_ranks("word_bpe_49k.json").ids(piece) == tokenizer("word_bpe_49k.json").encode(piece, add_special_tokens=False).ids
-
-
-def test_word_cache():
-    ranks = word_ranks("word_bpe_49k.json")
-    cache = WordCache(lambda p: b"".join(b"%d;" % i for i in ranks.ids(p)))
-    draw = random.Random(1)
-    for _ in range(200):
-        pieces = draw.choices(["a", "A.", "b,", "", "..", "Été", "été.", "Σ", "<|ENDOFTEXT|>", "<|endoftext|>.", "C" * draw.randint(1, 9)], k=6)
-        cache = cache.next(4)
-        got = [cache[p] for p in pieces]
-        assert got == [b"".join(b"%d;" % i for i in tokenizer("word_bpe_49k.json").encode(p, add_special_tokens=False).ids) for p in pieces]
-        assert len(cache) <= 4 + 12
+    pieces = ["".join(parts[:7]), "".join(parts[7:]), "", "plain", "Word.", "a.,"]
+    raw = word_ranks("word_bpe_49k.json").raw(pieces)
+    assert [np.frombuffer(r, "<u2").tolist() for r in raw] == [e.ids for e in tokenizer("word_bpe_49k.json").encode_batch(pieces, add_special_tokens=False)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([*ODD, " ", " ", "\n", "word", "Ünd", ". ", ", ", "..", ".,", "ª"]), max_size=30))
+def test_whole_texts_are_the_librarys(parts):
+    text, ranks = "".join(parts), word_ranks("word_bpe_49k.json")
+    assert np.frombuffer(ranks.text(text, ranks.raw), "<u2").tolist() == tokenizer("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
 
 
 def test_cache_generations():
