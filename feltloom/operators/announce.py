@@ -17,12 +17,12 @@ NOT_QUARANTINABLE = ["throttled", "cancelled"]
 def appearances(observed: DataFrame, key: str = "guid") -> DataFrame:
     """The first epoch of each identity, and the source's own first epoch."""
     first = observed.groupBy("source_id", key).agg(F.min("epoch").alias("first_epoch"))
-    return first.withColumn("baseline", F.min("first_epoch").over(Window.partitionBy("source_id")))
+    return first.join(observed.groupBy("source_id").agg(F.min("epoch").alias("baseline")), "source_id")
 
 
 def announce_numbers(observed: DataFrame) -> DataFrame:
     """At first the newest number alone; later every number above that one, when it first appears."""
-    first = observed.groupBy("source_id").agg(F.min("epoch").alias("baseline"), F.min_by("epoch", "epoch").alias("e"))
+    first = observed.groupBy("source_id").agg(F.min("epoch").alias("baseline"))
     initial = observed.join(first, "source_id").where("epoch = baseline").groupBy("source_id", "baseline").agg(F.max("number").alias("initial"))
     seen = observed.groupBy("source_id", "number").agg(F.min("epoch").alias("epoch"))
     return seen.join(initial, "source_id").where("number > initial or number = initial and epoch = baseline").select("source_id", "number", "epoch")

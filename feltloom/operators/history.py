@@ -33,9 +33,16 @@ def live_items(observed: DataFrame) -> DataFrame:
 
 
 def prune(items: DataFrame, live: Column, stored: int = STORED_LIMIT) -> DataFrame:
-    """Survivors: live items, and the newest ``stored`` of all items of the source (live ones count)."""
+    """Survivors: live items, and the newest ``stored`` of all items of the source (live ones count).
+
+    The rank alone is filtered first, which Spark limits per task before the shuffle: a source with a third
+    of all rows sends ``stored`` rows of each task. Live items beyond it are then found by key.
+    """
     limit = stored if stored > 0 else STORED_LIMIT
-    return items.withColumn("live", live).withColumn("rank", F.row_number().over(newest_first())).where(F.col("live") | (F.col("rank") <= limit)).drop("rank")
+    flagged = items.withColumn("live", live)
+    newest = flagged.withColumn("rank", F.row_number().over(newest_first())).where(F.col("rank") <= limit).drop("rank")
+    older = flagged.where("live").join(newest.select(*KEYS), KEYS, "left_anti")
+    return newest.unionByName(older)
 
 
 def visible(items: DataFrame, min_live: int = MIN_LIVE_REPLIES, limit: int = VISIBLE_LIMIT) -> DataFrame:
