@@ -173,3 +173,24 @@ def test_rebuild(spark):
     moved = spark.createDataFrame([("9", "old", '{"no":1,"sub":"new"}')], stored.schema)
     with pytest.raises(Exception, match="changes its guid"):
         rebuild.rebuild(moved, "no bigint, sub string", lambda x: {"title": x["sub"], "guid": x["no"].cast("string")}, ["title"]).collect()
+
+
+def test_enrichment_rules(spark):
+    asked = spark.createDataFrame([("s", 0, 0, 50), ("s", 0, 1, 3), ("s", 1, 0, 2), ("t", 0, 0, 1)], "source_id string, epoch bigint, batch bigint, n bigint")
+    read = spark.createDataFrame([("s", 0, 0, 50), ("s", 0, 1, 3), ("s", 1, 0, 1)], "source_id string, epoch bigint, batch bigint, n bigint")
+    assert {(r.source_id, r.epoch): r.ok for r in announce.every_batch_read(asked, read).collect()} == {("s", 0): True, ("s", 1): False, ("t", 0): False}
+    numbered = announce.batches(spark.range(120).select(F.lit("s").alias("source_id"), "id"), ["source_id"], "id")
+    assert {r.batch: r["count"] for r in numbered.groupBy("batch").count().collect()} == {0: 50, 1: 50, 2: 20}
+    pair = spark.createDataFrame([("a", "a"), ("b", "c")], "x string, y string")
+    assert pair.where("x = 'a'").select(announce.same_identity(F.col("x"), F.col("y"))).first()[0] == "a"
+    with pytest.raises(Exception, match="changes the identity"):
+        pair.select(announce.same_identity(F.col("x"), F.col("y"))).collect()
+
+
+def test_small_text_functions(spark):
+    from feltloom.functions import text
+
+    frame = spark.createDataFrame([("1 Entries of 12 Entries", "v1.10.0"), ("none", "1.9"), ("3 Entry", "1.9.9")], "x string, v string")
+    got = frame.select(text.last_match("x", "([0-9]+)\\s+Entr(?:y|ies)").alias("n"), text.version_parts("v").alias("v")).collect()
+    assert [r.n for r in got] == ["12", None, "3"] and got[1].v is None and tuple(got[0].v) == (1, 10, 0)
+    assert frame.where("v <> '1.9'").agg(F.max(text.version_parts("v"))).first()[0] == (1, 10, 0)
