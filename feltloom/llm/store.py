@@ -41,7 +41,7 @@ LEAST, MEAN, MOST = 128, 512, 2048
 #: Ids that the rolling hash looks at.
 WINDOW = 16
 ID_TYPE = np.dtype("<u2")
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: A document's number is its task's and its place there; a chunk's place is that and its place in the document.
 ROW_BITS, SEQ_BITS = 23, 20
 #: Recipes have sizes and digests, chunks a payload; a scan of recipes never reads payloads.
@@ -108,11 +108,10 @@ def _stage(model: str, end: int):
         """Encode and chunk; words between white space encode alone, as such models drop white space."""
         compress, ranks = zstandard.ZstdCompressor(level=1).compress, word_ranks(model)
         cache = worker_cache(("words", model), lambda: PieceCache(ranks.raw, cut=False))
-        pieces = lambda words: map(cache.fill(words), words)
         rid, last, width = TaskContext.get().partitionId() << ROW_BITS, np.array([end], ID_TYPE).tobytes(), ID_TYPE.itemsize
         for batch in sliced(batches, "text", SLICE_BYTES):
             rows = []
-            raws = [ranks.text(t or "", pieces) + last for (t,) in rows_of(batch, "text")]
+            raws = [raw + last for raw in ranks.texts([t or "" for (t,) in rows_of(batch, "text")], cache.fill)]
             each = cuts_of(np.frombuffer(b"".join(raws), ID_TYPE), list(accumulate(len(raw) // width for raw in raws)))
             for (doc,), raw, ends in zip(rows_of(batch, "doc_id"), raws, each):
                 digests = b"".join([hashlib.sha256(raw[a * width : b * width]).digest() for a, b in zip([0, *ends], ends)])
@@ -226,7 +225,9 @@ def combine_crc32(first: int, second: int, second_bytes: int) -> int:
 def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for n, crcs, lengths in rows_of(batch, "n", "crcs", "lengths"):
+        for n, crcs, lengths, root, digests in rows_of(batch, "n", "crcs", "lengths", "digest", "digests"):
+            if merkle_root([digests[i : i + 32] for i in range(0, len(digests), 32)]) != root:
+                raise ValueError("a recipe does not match its Merkle root")
             if None in crcs:
                 raise ValueError("a chunk of a recipe is not in the store")
             total, count = 0, 0
@@ -238,14 +239,6 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array(found, pa.int64())], names=["doc_id", "start", "n", "ids_crc32"])
 
 
-def _check_recipe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for digest, digests in rows_of(batch, "digest", "digests"):
-            if merkle_root([digests[i : i + 32] for i in range(0, len(digests), 32)]) != digest:
-                raise ValueError("a recipe does not match its Merkle root")
-        yield batch
-
-
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(recipes with their global start, chunks, manifest) as stored."""
     importable(spark)
@@ -255,20 +248,21 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     same = F.col("seal").eqNullSafe(F.col("found_seal")) & F.col("documents").eqNullSafe(F.col("found_documents")) & F.col("ids").eqNullSafe(F.col("found_ids"))
     whole = manifest.join(found, "part", "full_outer").where(F.when(same, True).otherwise(F.raise_error(F.lit("a part does not match the manifest")).cast("boolean")))
     before = whole.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    recipes = packs.where("kind = 0").select("part", "rid", "doc_id", "start", "n", "digest", "digests").mapInArrow(_check_recipe, "part int, rid long, doc_id long, start long, n long, digest binary, digests binary")
+    recipes = packs.where("kind = 0").select("part", "rid", "doc_id", "start", "n", "digest", "digests")
     placed = recipes.join(F.broadcast(before), "part").withColumn("start", F.col("start") + F.col("before"))
     return placed, packs.where("kind = 1").select("digest", "payload"), manifest
 
 
 def _references(recipes: DataFrame) -> DataFrame:
     each = F.transform(F.sequence(F.lit(0), (F.length("digests") / 32 - 1).cast("int")), lambda i: F.substring("digests", i * 32 + 1, F.lit(32)))
-    return recipes.select("rid", "doc_id", "start", "n", F.posexplode(each).alias("seq", "digest"))
+    return recipes.select("rid", F.posexplode(each).alias("seq", "digest"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n, ids: the documents put together again from the store."""
     recipes, chunks, _ = read_store(spark, path)
-    found = _references(recipes).join(chunks, "digest").groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("all"))
+    lists = _references(recipes).join(chunks, "digest").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("all"))
+    found = recipes.join(lists, "rid")
 
     def run(batches):
         for batch in batches:
@@ -286,8 +280,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     recipes, chunks, _ = read_store(spark, path)
     checked = chunks.mapInArrow(_read_chunk, "digest binary, crc long, len long")
     joined = _references(recipes).join(checked, "digest", "left")
-    whole = joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "crc", "len"))).alias("chunks"))
-    found = whole.select("doc_id", "start", "n", F.col("chunks.crc").alias("crcs"), F.col("chunks.len").alias("lengths")).mapInArrow(_combine, "doc_id long, start long, n long, ids_crc32 long")
+    lists = joined.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("seq", "crc", "len"))).alias("chunks"))
+    whole = recipes.join(lists, "rid")
+    found = whole.select("doc_id", "start", "n", F.col("chunks.crc").alias("crcs"), F.col("chunks.len").alias("lengths"), "digest", "digests").mapInArrow(_combine, "doc_id long, start long, n long, ids_crc32 long")
     return found.select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
 

@@ -9,6 +9,8 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -88,8 +90,9 @@ class WordRanks:
         self.name, self.find = name, regex.compile(self.PATTERN).findall
         self.encoding = tiktoken.Encoding(name, pat_str=f"[^{self.END}]+{self.END}", mergeable_ranks=ranks, special_tokens={})
 
-    def _joined(self, text: str) -> str | None:
-        """The words of a plain text, each closed, or None: letters of Latin-1, white space, and lone full stops and commas."""
+    @staticmethod
+    def _joined(text: str) -> str | None:
+        """The words of a plain text between spaces, or None: letters of Latin-1, white space, and lone full stops and commas."""
         low = text.lower()
         if not low.replace(" ", "").replace("\n", "").replace(".", "").replace(",", "").isalpha() or ".." in low or ",," in low or ".," in low or ",." in low:
             return None
@@ -98,18 +101,40 @@ class WordRanks:
                 low.encode("latin-1")
             except UnicodeEncodeError:
                 return None
-        end = self.END
-        return low.replace(".", f"{end}.{end}").replace(",", f"{end},{end}").replace(" ", end).replace("\n", end) + end
-
-    def text(self, text: str, pieces: Callable[[list[str]], Iterable[bytes]]) -> bytes:
-        """The ids of a whole text as little-endian 16-bit integers. Plain texts and lines go to the encoder in
-        one call; the others by ``pieces``, between their spaces."""
-        joined = self._joined(text)
-        if joined is not None:
-            return self.encoding.encode_to_numpy(joined, disallowed_special=()).astype("<u2").tobytes()
-        if "\n" in text:
-            return b"".join([self.text(line, pieces) for line in text.split("\n") if line])
-        return b"".join(pieces(text.split(" ")))
+        return low.replace(".", " . ").replace(",", " , ").replace("\n", " ")
+
+    def _plain(self, joined: list[str]) -> list[bytes]:
+        """The ids of plain texts: each distinct word of all of them is encoded once, and laid out by place."""
+        lists = pc.split_pattern(pa.array(joined, pa.string()), " ")
+        coded = lists.values.dictionary_encode()
+        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        counts, ids = np.zeros(len(names), np.int64), np.zeros(0, np.uint32)
+        if words := [n for n in names if n]:
+            ids = np.asarray(self.encoding.encode_to_numpy(self.END.join(words) + self.END, disallowed_special=()))
+            counts[[i for i, n in enumerate(names) if n]] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        begin, each = np.cumsum(counts) - counts, counts[index]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.arange(ends[-1]) + np.repeat(begin[index] - ends[:-1], each)
+        stream, cuts = ids[at].astype("<u2").tobytes(), (2 * ends[lists.offsets.to_numpy()]).tolist()
+        return [stream[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def texts(self, texts: list[str], fill: Callable[[list[str]], Callable[[str], bytes]]) -> list[bytes]:
+        """The ids of whole texts as little-endian 16-bit integers. Plain texts, and plain lines of the others,
+        are encoded together; the pieces between the spaces of what is left are looked up through ``fill``."""
+        units, owner = [], []
+        for i, text in enumerate(texts):
+            joined = self._joined(text)
+            own = [(text, joined)] if joined is not None or "\n" not in text else [(line, self._joined(line)) for line in text.split("\n") if line]
+            units += own
+            owner += [i] * len(own)
+        plain = [joined for _, joined in units if joined is not None]
+        ready = iter(self._plain(plain) if plain else ())
+        others = [text.split(" ") for text, joined in units if joined is None]
+        rest, get = iter(others), fill([p for words in others for p in words])
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, (_, joined) in zip(owner, units):
+            out[i].append(next(ready) if joined is not None else b"".join(map(get, next(rest))))
+        return [b"".join(parts) for parts in out]
 
     def raw(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as little-endian 16-bit integers."""

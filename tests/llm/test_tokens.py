@@ -77,8 +77,10 @@ def test_word_ranks_are_the_librarys(parts):
 @settings(max_examples=500, deadline=None)
 @given(st.lists(st.sampled_from([*ODD, " ", " ", "\n", "word", "Ünd", ". ", ", ", "..", ".,", "ª"]), max_size=30))
 def test_whole_texts_are_the_librarys(parts):
-    text, ranks = "".join(parts), word_ranks("word_bpe_49k.json")
-    assert np.frombuffer(ranks.text(text, ranks.raw), "<u2").tolist() == tokenizer("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+    ranks = word_ranks("word_bpe_49k.json")
+    texts = ["".join(parts), "".join(parts[:9]), "", "Plain words, and a stop.\n" + "".join(parts[9:]), " plain  again "]
+    got = [np.frombuffer(r, "<u2").tolist() for r in ranks.texts(texts, PieceCache(ranks.raw, 10, cut=False).fill)]
+    assert got == [e.ids for e in tokenizer("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
 
 
 def test_cache_generations():
