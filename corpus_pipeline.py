@@ -18,7 +18,7 @@ from feltloom.llm.common import documents, write_shared
 from feltloom.llm.exact_dedup import drop_exact_duplicates
 from feltloom.llm.language import drop_undetermined
 from feltloom.llm.packing import pack
-from feltloom.llm.simhash import drop_near_duplicates
+from feltloom.llm.similar import drop_similar
 from feltloom.llm.toxicity import drop_toxic
 
 
@@ -35,7 +35,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_similar(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,16 +32,16 @@ from feltloom.llm.common import id_text, keep_rows, rows_of, write_shared
 SHINGLE, SEED = 3, 42
 
 
-def hashes(text: str) -> np.ndarray:
+def hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = list(accumulate((len(w) + 1 for w in words), initial=0))
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(ends, ends[SHINGLE:])], np.uint64)
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(ends, ends[shingle:])], np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
