@@ -3,7 +3,7 @@
 A word enters as the sum of two learned inputs: an embedding of the word and the mean of the embeddings
 of its character n-grams (with word borders), both hashed. Two gated recurrent units read a window of
 ``WINDOW`` words from either end, attention pools their states, and a logistic unit scores the window.
-All overlapping windows of a text are scored, ``STRIDE`` words apart, the last one ending with the text;
+All overlapping windows of a text are scored: one begins at every word, ``STRIDE`` = 1, the last one ends with the text;
 the document's score is that of its worst window.
 
 The network is trained here in numpy (back-propagation through time, AdaGrad steps) on a bounded sample
@@ -33,15 +33,15 @@ from feltloom.llm.language import letters
 from feltloom.llm.sampling import bounded_ids, fold
 
 #: Words of a window, and from one window to the next.
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 1
 #: The bounded sample: documents of each label, characters of each.
 TRAIN_EACH, TRAIN_CHARS = 2500, 12_000
 #: Hashed rows of either embedding, size of an input, of a state, of the attention.
 BUCKETS, INPUT, STATE, ATTENTION = 1 << 16, 10, 8, 8
 #: Passes over the sample (more if it is small: at least BATCHES batches), windows drawn of each document, documents of a batch, step.
 EPOCHS, BATCHES, BAG, BATCH, STEP = 6, 300, 4, 64, 0.05
-#: Words of a worker's cache; bytes of text scored at a time; windows at a time.
-CACHE_WORDS, SLICE_BYTES, AT_ONCE = 150_000, 3 << 20, 1024
+#: Words of a worker's cache; bytes of text scored at a time; windows of short texts and of long ones at a time.
+CACHE_WORDS, SLICE_BYTES, AT_ONCE, SLIDE_ONCE = 150_000, 3 << 20, 1024, 2048
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,6 +139,41 @@ class Network:
         logits = pooled @ d["out"] + d["level"][0]
         return (logits, states, look, weight, pooled, kept) if keep else logits
 
+    def slide(self, x: np.ndarray) -> np.ndarray:
+        """Logits of the windows that begin at each word, of gates x (gates of both directions, word)."""
+        d, s, m = self.dense, STATE, x.shape[1] - WINDOW + 1
+        states = np.empty((2, WINDOW, s, m), np.float32)
+        zr, rh, c = np.empty((2 * s, m), np.float32), np.empty((s, m), np.float32), np.empty((s, m), np.float32)
+        for way, own in ((0, "f"), (1, "b")):
+            # A gate is (tanh(half its input) + 1) / 2; the halves are taken into the matrices where they can be.
+            gates, candidate = np.ascontiguousarray(0.5 * d[own + "gates"].T), np.ascontiguousarray(0.5 * d[own + "candidate"].T)
+            half, plain = 0.5 * x[3 * s * way : 3 * s * way + 2 * s], x[3 * s * way + 2 * s : 3 * s * (way + 1)]
+            h = np.zeros((s, m), np.float32)
+            for t in range(WINDOW) if way == 0 else range(WINDOW - 1, -1, -1):
+                np.matmul(gates, h, out=zr)
+                zr += half[:, t : t + m]
+                np.tanh(zr, out=zr)
+                zr += 1
+                np.multiply(zr[s:], h, out=rh)
+                np.matmul(candidate, rh, out=c)
+                c += plain[:, t : t + m]
+                np.tanh(c, out=c)
+                c -= h
+                c *= zr[:s]
+                c *= 0.5
+                h = np.add(h, c, out=states[way, t])
+        (ahead, back), (level, other) = [np.ascontiguousarray(p.T) for p in (d["look"][:s], d["look"][s:])], (d["out"][:s], d["out"][s:])
+        weight, value = np.empty((WINDOW, m), np.float32), np.empty((WINDOW, m), np.float32)
+        for t in range(WINDOW):
+            look = ahead @ states[0, t]
+            look += back @ states[1, t]
+            np.tanh(look, out=look)
+            np.matmul(d["query"], look, out=weight[t])
+            value[t] = level @ states[0, t] + other @ states[1, t]
+        weight -= weight.max(axis=0)
+        np.exp(weight, out=weight)
+        return (weight * value).sum(axis=0) / weight.sum(axis=0) + d["level"][0]
+
     def backward(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of the mean logistic loss by the dense parameters and by x."""
         d, s = self.dense, STATE
@@ -211,18 +246,17 @@ class Scorer:
         """Of each text the worst window's."""
         words = self.words(texts)
         out = np.full(len(texts), -np.inf)
-        short, long_at, long_doc = [], [], []
-        for i, w in enumerate(words):
-            if len(w) < WINDOW:
-                short.append(i)
-            else:
-                begin = np.array(starts(len(w)))
-                long_at.append(w[begin[:, None] + np.arange(WINDOW)])
-                long_doc.append(np.full(len(begin), i))
-        if long_at:
-            at, doc = np.concatenate(long_at), np.concatenate(long_doc)
-            for k in range(0, len(at), AT_ONCE):
-                np.maximum.at(out, doc[k : k + AT_ONCE], self.network.forward(*self.windows(at[k : k + AT_ONCE])))
+        short = [i for i, w in enumerate(words) if len(w) < WINDOW]
+        long = [i for i, w in enumerate(words) if len(w) >= WINDOW]
+        if long:
+            # Windows slide over all these texts in a row; those across a border are left out.
+            at, doc = np.concatenate([words[i] for i in long]), np.repeat(long, [len(words[i]) for i in long])
+            for k in range(0, len(at) - WINDOW + 1, SLIDE_ONCE):
+                part = at[k : k + SLIDE_ONCE + WINDOW - 1]
+                found = self.network.slide(np.ascontiguousarray(self.table[part].T))
+                own = doc[k : k + len(found)]
+                whole = own == doc[k + WINDOW - 1 : k + WINDOW - 1 + len(found)]
+                np.maximum.at(out, own[whole], found[whole])
         short.sort(key=lambda i: len(words[i]))
         for k in range(0, len(short), AT_ONCE):
             some = short[k : k + AT_ONCE]

@@ -90,6 +90,19 @@ def test_scores_are_those_of_the_worst_window(network):
             assert score >= 1 / (1 + np.exp(-worst)) - 1e-4 and score > 0.5
 
 
+def test_every_window_is_scored(network):
+    """The score of a passage does not depend on where it begins."""
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices(CLEAN, k=n) + draw.choices(BAD + CLEAN, k=40) + draw.choices(CLEAN, k=150)) for n in (0, 5, 24, 31, 60, 97)]
+    texts += [" ".join(draw.choices(CLEAN, k=n)) for n in (WINDOW - 1, WINDOW, WINDOW + 1)]
+    got = Scorer(network).logits(texts)
+    for text, logit in zip(texts, got):
+        words = text.split()
+        spans = [words[b : b + WINDOW] for b in range(max(1, len(words) - WINDOW + 1))]
+        worst = max(float(network.forward(network.gates(w)[:, None], np.ones((len(w), 1), np.float32))[0]) for w in spans)
+        assert abs(worst - logit) < 1e-3
+
+
 def test_whole_table(spark):
     made = corpus(0, 240)
     rows = [(i, t, None, None, None) for i, (t, _) in enumerate(made)] + [(900, None, None, None, None), (901, "", None, None, None), (None, made[0][0], None, None, None), (3, made[3][0], None, None, None)]
