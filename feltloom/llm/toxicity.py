@@ -8,8 +8,9 @@ the document's score is that of its worst window.
 
 The network is trained here in numpy (back-propagation through time, AdaGrad steps) on a bounded sample
 of labelled rows: ``TRAIN_EACH`` documents of either label, those of the smallest hashed ids in the
-training fold, ``TRAIN_CHARS`` characters of each. A document is a bag of windows: each pass trains on
-the one that the network finds worst. The threshold is set on the sample so that 0.5 gives the best F1.
+training fold, whole. A document is a bag of windows: each pass trains on the worst of those drawn. The
+threshold is set on the scores of the sample's whole texts so that 0.5 gives the best F1, each document
+counting for as many as its label has in the training fold.
 Scoring takes whole texts in one pass without a shuffle; the weights (under 6 MB) are broadcast. Since
 nothing but the word decides what it adds to the gates, workers keep that per distinct word.
 
@@ -34,8 +35,8 @@ from feltloom.llm.sampling import bounded_ids, fold
 
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 64, 1
-#: The bounded sample: documents of each label, characters of each.
-TRAIN_EACH, TRAIN_CHARS = 2500, 12_000
+#: The bounded sample: documents of each label.
+TRAIN_EACH = 2500
 #: Hashed rows of either embedding, size of an input, of a state, of the attention.
 BUCKETS, INPUT, STATE, ATTENTION = 1 << 16, 10, 8, 8
 #: Passes over the sample (more if it is small: at least BATCHES batches), windows drawn of each document, documents of a batch, step.
@@ -272,8 +273,8 @@ class Scorer:
         return _sigmoid(self.logits(texts))
 
 
-def train(rows: list[tuple[str, int]], seed: int = 0) -> Network:
-    """Fit a network on (text, label) rows."""
+def train(rows: list[tuple[str, int]], seed: int = 0, totals: tuple[float, float] | None = None) -> Network:
+    """Fit a network on (text, label) rows; ``totals``: documents of label 0 and 1 that they stand for."""
     rows = sorted((t or "", int(label)) for t, label in rows)
     labels = np.array([label for _, label in rows], np.float32)
     network, draw = Network(seed), np.random.default_rng(seed)
@@ -346,8 +347,10 @@ def train(rows: list[tuple[str, int]], seed: int = 0) -> Network:
     # Set the level so that a score of 0.5 gives the best F1 on the sample, midway to the next document.
     found = np.concatenate([Scorer(network).logits([t for t, _ in rows[i : i + 200]]) for i in range(0, len(rows), 200)])
     best = np.argsort(-found, kind="stable")
-    hits = np.cumsum(labels[best])
-    f1 = 2 * hits / (np.arange(1, len(best) + 1) + labels.sum())
+    stands = np.ones(2) if totals is None else np.array(totals) / np.bincount(labels.astype(int), minlength=2)
+    counts = stands[labels[best].astype(int)]
+    hits = np.cumsum(labels[best] * counts)
+    f1 = 2 * hits / (np.cumsum(counts) + hits[-1])
     k = int(np.argmax(f1))
     cut = found[best[k]] if k + 1 == len(best) else (found[best[k]] + found[best[k + 1]]) / 2
     network.dense["level"] -= np.float32(cut)
@@ -370,10 +373,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_EACH) -> Network:
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull())
     each = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = bounded_ids(each.where("toxic = 1"), most).withColumn("toxic", F.lit(1)).union(bounded_ids(each.where("toxic = 0"), most).withColumn("toxic", F.lit(0)))
-    rows = id_text(docs).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    counts = each.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    rows = id_text(docs)
     # 2 * most ids are broadcast; an id that is repeated comes back as often as it stands, up to twice the sample.
     sample = rows.join(F.broadcast(ids), "doc_id").select("text", "toxic").limit(4 * most)
-    return train([(r.text, r.toxic) for r in sample.collect()])
+    return train([(r.text, r.toxic) for r in sample.collect()], totals=tuple(counts))
 
 
 def score_documents(rows: DataFrame, text: str, network: Network) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from feltloom.llm import toxicity as toxicity_module
 from feltloom.llm.toxicity import STATE, STRIDE, WINDOW, Network, Scorer, score_documents, starts, toxicity, train
 from feltloom.llm.language import letters
 
@@ -103,6 +104,25 @@ def test_every_window_is_scored(network):
         assert abs(worst - logit) < 1e-3
 
 
+def test_sample_holds_whole_texts_and_true_counts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity_module, "train", lambda rows, seed=0, totals=None: seen.update(rows=rows, totals=totals))
+    long = "stone " * 5000 + "blarg"
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, long if i == ids[0] else "hill", None, None, None) for i in ids], SCHEMA)
+    labels = spark.createDataFrame([(i, None, int(k < 20)) for k, i in enumerate(ids)], LABELS)
+    toxicity_module.fit(docs, labels, 30)
+    assert seen["totals"] == (len(ids) - 20, 20) and len(seen["rows"]) == 50
+    assert long in {t for t, _ in seen["rows"]}
+
+
+def test_threshold_weighs_labels_by_true_counts():
+    rows = [(t, y if i % 4 else 1 - y) for i, (t, y) in enumerate(corpus(0, 240))]
+    even, rare = train(rows), train(rows, totals=(100_000, sum(y for _, y in rows)))
+    predicted = [int((Scorer(n).logits([t for t, _ in rows]) >= 0).sum()) for n in (even, rare)]
+    assert predicted[1] < predicted[0]
+
+
 def test_whole_table(spark):
     made = corpus(0, 240)
     rows = [(i, t, None, None, None) for i, (t, _) in enumerate(made)] + [(900, None, None, None, None), (901, "", None, None, None), (None, made[0][0], None, None, None), (3, made[3][0], None, None, None)]
