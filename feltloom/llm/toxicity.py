@@ -1,23 +1,28 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word enters as the sum of two learned inputs: an embedding of the word and the mean of the embeddings
-of its character n-grams (with word borders), both hashed. Two gated recurrent units read a window of
-``WINDOW`` words from either end, attention pools their states, and a logistic unit scores the window.
-All overlapping windows of a text are scored: one begins at every word, ``STRIDE`` = 1, the last one ends with the text;
-the document's score is that of its worst window.
-
-The network is trained here in numpy (back-propagation through time, AdaGrad steps) on a bounded sample
-of labelled rows: ``TRAIN_EACH`` documents of either label, those of the smallest hashed ids in the
-training fold, whole. A document is a bag of windows: each pass trains on the worst of those drawn. The
-threshold is set on the scores of the sample's whole texts so that 0.5 gives the best F1, each document
-counting for as many as its label has in the training fold.
+of its character n-grams (with word borders), both hashed. Two gated recurrent units read the text from
+either end and leave two states at each word. Attention pools the states of a window of ``WINDOW`` words,
+and a logistic unit scores the window. All overlapping windows of a text are scored: one begins at every word
+(``STRIDE`` = 1), the last one ends with the text; the document's score is that of its worst window. Windows share
+the states of their words, so a window costs a difference of two running sums.
+
+The units read a text in spans of ``SPAN`` words, each begun ``LEAD`` words early (from its own end too), from a
+state of zero: a state depends on 64 to 320 words before it, whatever the length of the text, and long texts
+are read at many places at a time. A text of up to ``SPAN`` words is one span.
+
+The network is trained here in numpy (back-propagation through time, AdaGrad steps) in one task, on a bounded
+sample of labelled rows: ``TRAIN_EACH`` documents of either label, those of the smallest hashed ids in the
+training fold, whole. A document is a bag of stretches of ``STRETCH`` words: each pass trains on the worst window
+of those drawn. The threshold is set on the scores of the sample's whole texts so that 0.5 gives the best F1, each
+document counting for as many as its label has in the training fold.
 Scoring takes whole texts in one pass without a shuffle; the weights (under 6 MB) are broadcast. Since
 nothing but the word decides what it adds to the gates, workers keep that per distinct word.
 
 Defined results: a null or empty text, or one without letters, has the score of an empty window; with
 nothing labelled every score is 0. A null doc_id is in no fold: it is scored, not held out, and not
-learned from. Repeated rows get the same score each; several labels of a document count as toxic if
-one does; an empty table gives an empty result; extra columns are ignored.
+learned from. Repeated rows get the same score each; of a labelled id that is repeated the greatest text is learned from;
+several labels of a document count as toxic if one does; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +36,20 @@ from pyspark.sql import functions as F
 
 from feltloom.llm.common import Shared, id_text, importable, rows_of, sliced, worker_cache
 from feltloom.llm.language import letters
-from feltloom.llm.sampling import bounded_ids, fold
+from feltloom.llm.sampling import bounded_ids, fitted_in_task, fold
 
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 64, 1
+#: Words of a span and read before it; of a stretch that is trained on.
+SPAN, LEAD, STRETCH = 256, 64, 128
 #: The bounded sample: documents of each label.
 TRAIN_EACH = 2500
 #: Hashed rows of either embedding, size of an input, of a state, of the attention.
 BUCKETS, INPUT, STATE, ATTENTION = 1 << 16, 10, 8, 8
-#: Passes over the sample (more if it is small: at least BATCHES batches), windows drawn of each document, documents of a batch, step.
-EPOCHS, BATCHES, BAG, BATCH, STEP = 6, 300, 4, 64, 0.05
-#: Words of a worker's cache; bytes of text scored at a time; windows of short texts and of long ones at a time.
-CACHE_WORDS, SLICE_BYTES, AT_ONCE, SLIDE_ONCE = 150_000, 3 << 20, 1024, 2048
+#: Passes over the sample (more if it is small: at least BATCHES batches), stretches drawn of each document, documents of a batch, step.
+EPOCHS, BATCHES, BAG, BATCH, STEP = 6, 300, 2, 64, 0.05
+#: Words of a worker's cache; bytes of text scored at a time; spans read at a time.
+CACHE_WORDS, SLICE_BYTES, AT_ONCE = 150_000, 2 << 20, 2048
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,6 +82,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def pool(level: np.ndarray, valued: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in columns of ``sizes`` words: the worst window's pooled value, its first word, its attention in sum."""
+    steps, n = level.shape
+    sums = [np.concatenate([np.zeros((1, n)), np.cumsum(v, axis=0)]) for v in (level, valued)]
+    first = np.arange(max(1, steps - WINDOW + 1))
+    last = np.minimum(first + WINDOW, steps)
+    total, value = (v[last] - v[first] for v in sums)
+    found = np.where(first[:, None] <= np.maximum(0, sizes - WINDOW), value / np.maximum(total, 1e-300), -np.inf)
+    worst = found.argmax(axis=0)
+    columns = np.arange(n)
+    return found[worst, columns], worst, np.maximum(total[worst, columns], 1e-300)
+
+
 class Network:
     """Parameters; of the gate matrices, columns are update, reset and candidate."""
 
@@ -129,51 +149,69 @@ class Network:
                     kept.append((way, t, h, zr, c))
                 states[t, :, s * way : s * (way + 1)] = h = new
         look = np.tanh(states.reshape(-1, 2 * s) @ d["look"]).reshape(steps, n, -1)
-        weight = look @ d["query"]
-        if not full:
-            weight = np.where(mask > 0, weight, -1e9)
-        weight = np.exp(weight - weight.max(axis=0))
-        weight /= weight.sum(axis=0)
-        if not full:
-            weight *= mask
+        level = np.exp((look @ d["query"]).astype(np.float64)) * mask
+        worst, first, total = pool(level, level * (states @ d["out"]), mask.sum(axis=0).astype(int))
+        logits = (worst + d["level"][0]).astype(np.float32)
+        if not keep:
+            return logits
+        inside = (np.arange(steps)[:, None] >= first) & (np.arange(steps)[:, None] < first + WINDOW)
+        weight = (level * inside / total).astype(np.float32)
         pooled = np.einsum("tn,tnk->nk", weight, states)
-        logits = pooled @ d["out"] + d["level"][0]
-        return (logits, states, look, weight, pooled, kept) if keep else logits
-
-    def slide(self, x: np.ndarray) -> np.ndarray:
-        """Logits of the windows that begin at each word, of gates x (gates of both directions, word)."""
-        d, s, m = self.dense, STATE, x.shape[1] - WINDOW + 1
-        states = np.empty((2, WINDOW, s, m), np.float32)
-        zr, rh, c = np.empty((2 * s, m), np.float32), np.empty((s, m), np.float32), np.empty((s, m), np.float32)
+        return logits, states, look, weight, pooled, kept
+
+    def read(self, table: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every word of texts of ``sizes`` words: how much attention it gets (before pooling), and its state's part of a logit.
+
+        ``table``: what words add to the gates; ``at``: rows of it, all texts in a row.
+        """
+        d, s, n = self.dense, STATE, len(at)
+        base = np.cumsum(sizes) - sizes
+        spans = -(-sizes // SPAN)
+        of = np.repeat(np.arange(len(sizes)), spans)
+        core = (np.arange(len(of)) - np.repeat(np.cumsum(spans) - spans, spans)) * SPAN
+        core_end = np.minimum(core + SPAN, sizes[of])
+        states = np.empty((2 * s, n), np.float32)
         for way, own in ((0, "f"), (1, "b")):
             # A gate is (tanh(half its input) + 1) / 2; the halves are taken into the matrices where they can be.
             gates, candidate = np.ascontiguousarray(0.5 * d[own + "gates"].T), np.ascontiguousarray(0.5 * d[own + "candidate"].T)
-            half, plain = 0.5 * x[3 * s * way : 3 * s * way + 2 * s], x[3 * s * way + 2 * s : 3 * s * (way + 1)]
-            h = np.zeros((s, m), np.float32)
-            for t in range(WINDOW) if way == 0 else range(WINDOW - 1, -1, -1):
-                np.matmul(gates, h, out=zr)
-                zr += half[:, t : t + m]
-                np.tanh(zr, out=zr)
-                zr += 1
-                np.multiply(zr[s:], h, out=rh)
-                np.matmul(candidate, rh, out=c)
-                c += plain[:, t : t + m]
-                np.tanh(c, out=c)
-                c -= h
-                c *= zr[:s]
-                c *= 0.5
-                h = np.add(h, c, out=states[way, t])
-        (ahead, back), (level, other) = [np.ascontiguousarray(p.T) for p in (d["look"][:s], d["look"][s:])], (d["out"][:s], d["out"][s:])
-        weight, value = np.empty((WINDOW, m), np.float32), np.empty((WINDOW, m), np.float32)
-        for t in range(WINDOW):
-            look = ahead @ states[0, t]
-            look += back @ states[1, t]
-            np.tanh(look, out=look)
-            np.matmul(d["query"], look, out=weight[t])
-            value[t] = level @ states[0, t] + other @ states[1, t]
-        weight -= weight.max(axis=0)
-        np.exp(weight, out=weight)
-        return (weight * value).sum(axis=0) / weight.sum(axis=0) + d["level"][0]
+            added, mine = table[:, 3 * s * way : 3 * s * (way + 1)], states[s * way : s * (way + 1)]
+            if way == 0:
+                lead = core - np.maximum(core - LEAD, 0)
+                begin, step = base[of] + core - lead, 1
+            else:
+                lead = np.minimum(core_end + LEAD, sizes[of]) - core_end
+                begin, step = base[of] + core_end + lead - 1, -1
+            long = lead + core_end - core
+            order = np.argsort(-long, kind="stable")
+            for k in range(0, len(order), AT_ONCE):
+                some = order[k : k + AT_ONCE]
+                length, start, early = long[some], begin[some], lead[some]
+                h = np.zeros((s, len(some)), np.float32)
+                for t in range(int(length[0])):
+                    m = int(np.searchsorted(-length, -t, "left"))  # spans that are longer than t
+                    place = start[:m] + step * t
+                    x = np.ascontiguousarray(added[at[place]].T)
+                    h = h[:, :m]
+                    zr = gates @ h
+                    x[: 2 * s] *= 0.5
+                    zr += x[: 2 * s]
+                    np.tanh(zr, out=zr)
+                    zr += 1
+                    c = candidate @ (zr[s:] * h)
+                    c += x[2 * s :]
+                    np.tanh(c, out=c)
+                    c -= h
+                    c *= zr[:s]
+                    c *= 0.5
+                    h = h + c
+                    if t >= LEAD:
+                        mine[:, place] = h
+                    else:
+                        counts = early[:m] <= t
+                        mine[:, place[counts]] = h[:, counts]
+        look = np.ascontiguousarray(d["look"].T) @ states
+        np.tanh(look, out=look)
+        return np.exp((d["query"] @ look).astype(np.float64)), d["out"] @ states
 
     def backward(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of the mean logistic loss by the dense parameters and by x."""
@@ -239,32 +277,24 @@ class Scorer:
         found = [np.fromiter(map(get, x), np.int32, len(x)) for x in pieces]
         return [x[x > 0] for x in found]
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """x and mask of windows given as table rows, padded with 0."""
-        return self.table[at.T], (at.T > 0).astype(np.float32)
-
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """Of each text the worst window's."""
         words = self.words(texts)
-        out = np.full(len(texts), -np.inf)
-        short = [i for i, w in enumerate(words) if len(w) < WINDOW]
-        long = [i for i, w in enumerate(words) if len(w) >= WINDOW]
-        if long:
-            # Windows slide over all these texts in a row; those across a border are left out.
-            at, doc = np.concatenate([words[i] for i in long]), np.repeat(long, [len(words[i]) for i in long])
-            for k in range(0, len(at) - WINDOW + 1, SLIDE_ONCE):
-                part = at[k : k + SLIDE_ONCE + WINDOW - 1]
-                found = self.network.slide(np.ascontiguousarray(self.table[part].T))
-                own = doc[k : k + len(found)]
-                whole = own == doc[k + WINDOW - 1 : k + WINDOW - 1 + len(found)]
-                np.maximum.at(out, own[whole], found[whole])
-        short.sort(key=lambda i: len(words[i]))
-        for k in range(0, len(short), AT_ONCE):
-            some = short[k : k + AT_ONCE]
-            at = np.zeros((len(some), max(1, len(words[some[-1]]))), np.int32)
-            for j, i in enumerate(some):
-                at[j, : len(words[i])] = words[i]
-            out[some] = self.network.forward(*self.windows(at))
+        sizes = np.array([len(w) for w in words], np.int64)
+        out = np.full(len(texts), float(self.network.dense["level"][0]))
+        full = np.flatnonzero(sizes)
+        if not len(full):
+            return out
+        at, sizes = np.concatenate([words[i] for i in full]), sizes[full]
+        level, value = self.network.read(self.table, at, sizes)
+        sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (level, level * value)]
+        base = np.cumsum(sizes) - sizes
+        counts = np.maximum(1, sizes - WINDOW + 1)
+        ends = np.cumsum(counts)
+        first = np.arange(ends[-1]) + np.repeat(base - (ends - counts), counts)
+        last = first + np.repeat(np.minimum(sizes, WINDOW), counts)
+        total, pooled = (v[last] - v[first] for v in sums)
+        out[full] += np.maximum.reduceat(pooled / total, ends - counts)
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -281,7 +311,8 @@ def train(rows: list[tuple[str, int]], seed: int = 0, totals: tuple[float, float
     if not len(rows) or labels.min() == labels.max():
         return network
     where: dict[str, int] = {}  # row 0 pads
-    at = [np.array([where.setdefault(w, len(where) + 1) for w in map(letters, t.split()) if w], np.int64) for t, _ in rows]
+    known = {p: letters(p) for p in {p for t, _ in rows for p in t.split()}}
+    at = [np.array([where.setdefault(w, len(where) + 1) for w in map(known.__getitem__, t.split()) if w], np.int64) for t, _ in rows]
     distinct = list(where)
     whole, char, owner = features(distinct) if distinct else (np.zeros(0, np.int64),) * 3
     counts = np.bincount(owner, minlength=len(distinct)).astype(np.float32)
@@ -300,10 +331,10 @@ def train(rows: list[tuple[str, int]], seed: int = 0, totals: tuple[float, float
         sums = np.stack([np.bincount(own, network.char[flat, k], len(used)) for k in range(INPUT)], axis=1)
         return network.word[whole[used]] + (sums / counts[used][:, None]).astype(np.float32), flat, own
 
-    def window(x: np.ndarray) -> np.ndarray:
-        begin = int(draw.integers(0, max(1, len(x) - WINDOW + 1)))
-        out = np.zeros(WINDOW, np.int64)
-        own = x[begin : begin + WINDOW]
+    def stretch(x: np.ndarray) -> np.ndarray:
+        begin = int(draw.integers(0, max(1, len(x) - STRETCH + 1)))
+        out = np.zeros(STRETCH, np.int64)
+        own = x[begin : begin + STRETCH]
         out[: len(own)] = own
         return out
 
@@ -312,7 +343,7 @@ def train(rows: list[tuple[str, int]], seed: int = 0, totals: tuple[float, float
         shuffled = draw.permutation(len(rows))
         for i in range(0, len(shuffled), BATCH):
             some = shuffled[i : i + BATCH]
-            bag = [(j, window(at[doc])) for j, doc in enumerate(some.tolist()) for _ in range(min(BAG, len(starts(len(at[doc])))))]
+            bag = [(j, stretch(at[doc])) for j, doc in enumerate(some.tolist()) for _ in range(BAG if len(at[doc]) > STRETCH else 1)]
             picks, of = np.stack([b for _, b in bag]), np.array([j for j, _ in bag])
             used = np.unique(picks)
             used = used[used > 0] - 1
@@ -323,9 +354,11 @@ def train(rows: list[tuple[str, int]], seed: int = 0, totals: tuple[float, float
             table = padded @ network.dense["into"] + network.dense["bias"]
             table[0] = 0
             rows_at = local[picks]
+            rows_at = rows_at[:, : max(1, int((rows_at > 0).sum(axis=1).max()))]
             logits = network.forward(table[rows_at.T], (rows_at.T > 0).astype(np.float32))
             best = np.array([np.flatnonzero(of == j)[np.argmax(logits[of == j])] for j in range(len(some))])
             chosen = rows_at[best]
+            chosen = chosen[:, : max(1, int((chosen > 0).sum(axis=1).max()))]
             x, mask = table[chosen.T], (chosen.T > 0).astype(np.float32)
             g, by_x, _ = network.backward(x, mask, labels[some], weight[some])
             by_x *= mask[:, :, None]
@@ -373,11 +406,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_EACH) -> Network:
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull())
     each = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = bounded_ids(each.where("toxic = 1"), most).withColumn("toxic", F.lit(1)).union(bounded_ids(each.where("toxic = 0"), most).withColumn("toxic", F.lit(0)))
-    counts = each.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    rows = id_text(docs)
-    # 2 * most ids are broadcast; an id that is repeated comes back as often as it stands, up to twice the sample.
-    sample = rows.join(F.broadcast(ids), "doc_id").select("text", "toxic").limit(4 * most)
-    return train([(r.text, r.toxic) for r in sample.collect()], totals=tuple(counts))
+    counts = tuple(each.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first())
+    # 2 * most ids are broadcast; an id that is repeated gives one text.
+    sample = id_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    return fitted_in_task(sample.select("text", "toxic"), lambda rows: train(rows, totals=counts), Network)
 
 
 def score_documents(rows: DataFrame, text: str, network: Network) -> DataFrame:
