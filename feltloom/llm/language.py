@@ -7,8 +7,8 @@ most posterior mass over its words, its score the mean posterior; mixed texts ar
 word (``label_words``).
 
 The field is trained in numpy by stochastic gradient on a bounded sample of labelled rows
-(``TRAIN_DOCUMENTS``, those of the smallest hashed ids in the training fold; ``TRAIN_CHARS`` characters
-and ``TRAIN_WINDOWS`` windows of ``TRAIN_WORDS`` words of each). A document's label stands for all of
+(``TRAIN_DOCUMENTS``, those of the smallest hashed ids in the training fold; whole texts, of which
+``TRAIN_WINDOWS`` windows of ``TRAIN_WORDS`` words of each). A document's label stands for all of
 its words; some windows are spliced from two documents, which teaches the transitions. Every document
 is then labelled whole, whatever its length, in one pass without a shuffle. The weights (under 4 MB for
 each eight languages) are broadcast.
@@ -29,17 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feltloom.llm.common import Shared, id_text, importable, rows_of, sliced, worker_cache
-from feltloom.llm.sampling import bounded_ids, fold
+from feltloom.llm.sampling import bounded_ids, fitted_in_task, fold
 
-#: The bounded sample: documents, characters and windows of each, words of a window.
-TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_WINDOWS, TRAIN_WORDS = 4000, 20_000, 4, 32
+#: The bounded sample: documents, windows of each, words of a window.
+TRAIN_DOCUMENTS, TRAIN_WINDOWS, TRAIN_WORDS = 4000, 4, 32
 #: Hashed features; share of spliced windows; passes; step; decay.
 FEATURES, SPLICED, EPOCHS, STEP, DECAY = 1 << 16, 0.25, 3, 0.5, 1e-6
 #: Words of a worker's emission cache; bytes of text labelled at a time.
 CACHE_WORDS, SLICE_BYTES = 200_000, 3 << 20
 UNDETERMINED = "und"
-#: Mean posterior under which a document has no language worth keeping.
-LEAST_SCORE = 0.4
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,10 +258,10 @@ class Labeller:
 def fit(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Field:
     """Learn from text and non-null lang of documents whose crc32(doc_id) mod 4 is not 2."""
     ids = bounded_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull()), most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang").where("lang is not null")
-    # ``most`` ids are broadcast; an id that is repeated comes back as often as it stands, up to twice the sample.
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").limit(2 * most)
-    return train([(r.text, r.lang) for r in sample.collect()])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null")
+    # ``most`` ids are broadcast; an id that is repeated gives its greatest row.
+    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", "lang")).alias("row"))
+    return fitted_in_task(sample.select("row.text", "row.lang"), train, lambda: Field([]))
 
 
 def _predict(shared: Shared, carried: int):
@@ -285,11 +283,11 @@ def label_documents(rows: DataFrame, text: str, field: Field) -> DataFrame:
     return rows.withColumn("lang_text", F.col(text).cast("string")).mapInArrow(_predict(Shared(rows.sparkSession, field), len(rows.columns)), schema)
 
 
-def drop_undetermined(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without those of no determined language, or of a score under ``least``."""
+def drop_undetermined(docs: DataFrame) -> DataFrame:
+    """``docs`` without those of no determined language: a text without letters has none, a mixed one has that of most words."""
     importable(docs.sparkSession)
     found = label_documents(docs.select(F.struct("*").alias("row")), "row.text", fit(docs))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select("row.*")
+    return found.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
