@@ -106,6 +106,34 @@ def keep_rows(docs: DataFrame, text_hash: Column, kept: DataFrame) -> DataFrame:
     return found.withColumn("first", first).where("first = 1").select("row.*")
 
 
+#: Rows of a few numbers each up to which a table is broadcast.
+FEW_ROWS = 2_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys`` (a few numbers a row, written before), marked for a broadcast if they are counted and few."""
+    return F.broadcast(keys) if keys.count() <= FEW_ROWS else keys
+
+
+def drop_rows(docs: DataFrame, text_hash: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, text_hash) is in ``gone``, and one of rows that repeat.
+
+    Few keys are broadcast and the texts stay where they are; many are joined. Only rows that repeat are shuffled.
+    """
+    key = ["key_id", "key_none", "key_hash"]
+    doc_id = F.col("doc_id").cast("long")
+    keyed = lambda h: [F.coalesce(doc_id, F.lit(0)).alias(key[0]), doc_id.isNull().alias(key[1]), h.alias(key[2])]
+    rows = docs.select(*keyed(text_hash), F.struct("*").alias("row"))
+    away = write_shared(gone.select(*keyed(F.col("text_hash"))), "gone")
+    left = rows.join(few(away), key, "left_anti")
+    again = write_shared(left.groupBy(*key).count().where("count > 1").drop("count"), "again")
+    if again.isEmpty():
+        return left.select("row.*")
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(key[0]))
+    once = left.join(few(again), key, "left_semi").withColumn("first", first).where("first = 1")
+    return left.join(few(again), key, "left_anti").select("row").union(once.select("row")).select("row.*")
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterable[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
 

@@ -46,7 +46,11 @@ def hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None) -> int:
     """The signed 64-bit fingerprint."""
-    h = hashes(text or "")
+    return packed(hashes(text or ""))
+
+
+def packed(h: np.ndarray) -> int:
+    """The signed fingerprint of shingle hashes: of each bit, whether more than half of them have it."""
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)

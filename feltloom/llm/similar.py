@@ -1,14 +1,18 @@
-"""Near copies by an exact similarity join of shingle sets.
+"""Near copies of a given similarity: SimHash balls first, an exact join for what they cannot reach.
 
 Two texts are near copies if their sets of ``WORDS``-word shingles have a Jaccard similarity of 0.8 or
-more; components of near copies keep one row. The join is by prefixes: with the shingles of every set in
-one global order, two sets of that similarity share one of the first ``n - ceil(0.8 n) + 1`` shingles of
-each, so only sets that meet there are compared, and these exactly. Any order gives the same result. The
+more; components of near copies keep one row. The balls of ``simhash`` reach fingerprints two bits apart, which most
+texts of that similarity are not (their fingerprints differ in about ten of 64 bits, too far for any ball that can be
+emitted), so pairs that the balls find are verified and linked, and the rest comes from a join by prefixes: with the
+shingles of every set in one global order, two sets of that similarity share one of the first ``n - ceil(0.8 n) + 1``
+shingles of each, so only sets that meet there are compared, and these exactly. Any order gives the same result. The
 one used puts shingles that repeat in a bounded sample last, so that common passages seldom lead.
+A meeting counts only if the sizes, and what follows of both sets after the first shingle that they share, allow the similarity.
 
 Sets that meet at a shingle are first compared with one of them, anew as long as that links many; then
 every two that are still of different components are compared. So no pair is left out, while a large
-group of near copies costs few comparisons a member. Copies have one set and are merged beforehand.
+group of near copies costs few comparisons a member. Copies have one set and are merged beforehand. Shingles that hold
+more than a small share of the sample never meet in one task: their centres come from partial aggregates.
 
 Shingles: words as in ``simhash``; fewer words than a shingle has are one shingle. A null, empty or blank
 text has the empty set, which is similar to itself alone. Null doc_ids come last; an empty table gives an
@@ -22,17 +26,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import Shared, id_text, keep_rows, rows_of, write_shared
+from feltloom.llm.common import Shared, drop_rows, few, id_text, rows_of, write_shared
 from feltloom.llm.sampling import SLOTS
-from feltloom.llm.simhash import components, hashes
+from feltloom.llm.simhash import components, hashes, links, packed
 
 WORDS = 5
 #: Sets of the sample that orders shingles, shingles that it puts last at most.
 SAMPLE, COMMON = 4000, 50_000
+#: Of this many sets of the sample on, a shingle is heavy; pairs of a centre that one task compares.
+HEAVY, PAIRS = 20, 500
 #: A round of stars that links fewer is the last.
 FEW = 1000
 
@@ -68,14 +75,31 @@ def _prefixes(shared: Shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in batches:
-            sets = [shingles(t) for (t,) in rows_of(batch, "text")]
+            found = [hashes(t or "", WORDS) for (t,) in rows_of(batch, "text")]
+            sets = [np.unique(h).view(np.int64) for h in found]
             sids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
+            prints = pa.array([packed(h) for h in found], pa.int64())
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sids, sizes, _arrays([prefix(s, common, counts) for s in sets])], names=["doc_id", "text_hash", "sid", "n", "lead"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sids, prints, sizes, _arrays([prefix(s, common, counts) for s in sets])], names=["doc_id", "text_hash", "sid", "fp", "n", "lead"])
 
     return run
 
 
+def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of a similarity of 0.8 or more: of s shingles in sum, 9 x common >= 4 x s."""
+    last: tuple = (None, None)
+    for batch in batches:
+        kept = []
+        for i, (one, a, b) in enumerate(rows_of(batch, "one", "a", "b")):
+            if last[0] != one:
+                last = one, shingles(a)
+            x, y = last[1], shingles(b)
+            if 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)) > 0:
+                kept.append(i)
+        found = batch.select(["one", "other"]).take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.compute.min_element_wise(*found.columns), pa.compute.max_element_wise(*found.columns)], names=["lo", "hi"])
+
+
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that repeat in the sample, sorted, and how often."""
     slot = F.pmod(F.col("text_hash"), F.lit(SLOTS))
@@ -86,69 +110,101 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([g for g, _ in found], np.int64), np.array([c for _, c in found], np.int64)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (lo, hi) of a similarity of 0.8 or more: of s shingles in sum, 9 x common >= 4 x s."""
-    one, other = sets.select(F.col("sid").alias("lo"), F.col("grams").alias("a")), sets.select(F.col("sid").alias("hi"), F.col("grams").alias("b"))
-    both = pairs.join(one, "lo").join(other, "hi")
-    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("lo", "hi")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """lo, hi of the pairs (one, other) that are similar; a centre (one) of many pairs is repeated, so that these are spread."""
+    pairs = write_shared(pairs.distinct(), "pairs")
+    many = pairs.groupBy("one").agg((F.count("*") / PAIRS).cast("int").alias("parts")).where("parts > 0")
+    parts = F.coalesce("parts", F.lit(0))
+    a = texts.select(F.col("sid").alias("one"), F.col("text").alias("a")).join(many, "one", "left").select("one", "a", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
+    b = texts.select(F.col("sid").alias("other"), F.col("text").alias("b"))
+    spread = pairs.join(many, "one", "left").select("one", "other", F.pmod(F.xxhash64("other"), parts + 1).cast("int").alias("part"))
+    return spread.join(b, "other").join(a, ["one", "part"]).select("one", "other", "a", "b").mapInArrow(_similar, "lo long, hi long")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """(lo, hi) of rows with sid, n and other, other_n, if their sizes allow the similarity."""
-    fits = met.where((5 * F.col("n") >= 4 * F.col("other_n")) & (5 * F.col("other_n") >= 4 * F.col("n")))
-    return fits.select(F.least("sid", "other").alias("lo"), F.greatest("sid", "other").alias("hi")).distinct()
+    """(one, other) of rows with sid, n, pos and c (the same of the one), if sizes and places allow the similarity."""
+    n, m = F.col("n"), F.col("c.n")
+    after = F.least(n - F.col("pos"), m - F.col("c.pos"))
+    return met.where((5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * after >= 4 * (n + m)) & (F.col("sid") != F.col("c.sid"))).select(F.col("c.sid").alias("one"), F.col("sid").alias("other"))
+
+
+def meetings(sets: DataFrame, heavy: DataFrame) -> DataFrame:
+    """gram, sid, n, pos of the leading shingles that sets of fitting sizes share."""
+    leads = sets.select("sid", F.posexplode("lead").alias("pos", "gram"), "n").select("gram", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    n = F.shiftright("at", 32)
+    by_size = Window.partitionBy("gram").orderBy("at", "sid")
+    near = leads.join(F.broadcast(heavy), "gram", "left_anti").withColumn("below", F.lag(n).over(by_size)).withColumn("above", F.lead(n).over(by_size))
+    light = near.where((5 * F.col("below") >= 4 * n) | (4 * F.col("above") <= 5 * n)).select("gram", "sid", "at")
+    met = light.union(leads.join(F.broadcast(heavy), "gram"))
+    return met.select("gram", "sid", n.cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
 
 
-def roots_of_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def roots_of_sets(docs: DataFrame, rows: DataFrame, heavy: DataFrame) -> DataFrame:
     """node, root of all sets that are linked to a smaller one."""
-    by_set = rows.groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.any_value("n").alias("n"), F.any_value("lead").alias("lead"))
-    leads = by_set.select("sid", "n", "row", F.explode("lead").alias("gram"))
-    same = Window.partitionBy("gram")
-    met = leads.withColumn("least", F.min("sid").over(same)).withColumn("most", F.max("sid").over(same)).where("least != most")
-    met = write_shared(met.select("gram", "sid", "n", "row"), "meeting")
-    wanted = met.select("sid", "row.doc_id", "row.text_hash").distinct()
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
-    sets = write_shared(texts.select("sid", "text").dropDuplicates(["sid"]).mapInArrow(_whole_sets, "sid long, grams array<long>"), "sets")
-    met = met.select("gram", "sid", "n")
-    edges = met.sparkSession.createDataFrame([], "lo long, hi long")
+    by_set = rows.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("lead").alias("lead"))
+    met = write_shared(meetings(by_set, heavy), "meeting")
+    # Fingerprints two bits apart or less, by balls; sets of one fingerprint.
+    prints = write_shared(rows.where("n > 0").groupBy("sid").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "text_hash")).alias("row")), "prints")
+    first = prints.groupBy("fp").agg(F.min("sid").alias("sid"))
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("lo"), F.col("sid").alias("one")), "lo").join(first.select(F.col("fp").alias("hi"), F.col("sid").alias("other")), "hi").select("one", "other")
+    equal = prints.select("fp", F.col("sid").alias("other")).join(first.select("fp", F.col("sid").alias("one")), "fp").where("one != other").select("one", "other")
+    balls = write_shared(near.union(equal), "balls")
+    # The texts of all sets that may be compared, one of each.
+    asked = met.select("sid").union(balls.select("one")).union(balls.select("other")).distinct().join(prints.select("sid", "row"), "sid")
+    asked = write_shared(asked.select("sid", F.col("row.doc_id").alias("own_id"), F.col("row.text_hash").alias("own_hash")), "asked")
+    own = docs.join(few(asked), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    texts = write_shared(own.select("sid", "text"), "texts")
+    if texts.count() > asked.count():  # rows that repeat whole
+        texts = write_shared(texts.groupBy("sid").agg(F.min("text").alias("text")), "texts")
+    edges = write_shared(_verified(balls, texts), "similar")
+    roots = components(edges) if not edges.isEmpty() else None
     turn, last = 0, False
-    roots = None
     while True:
         now = met.withColumn("part", F.col("sid"))
         if roots is not None:
-            now = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("gram", "sid", "n", F.coalesce("root", "sid").alias("part"))
+            now = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("part"))
+        # Of a shingle whose sets are of one component nothing is left to do.
+        one = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "pos", "part")
+        state = now.groupBy("gram").agg(F.min(one).alias("c"), F.min("part").alias("least"), F.max("part").alias("most")).where("least != most")
+        open_ = now.join(state.select("gram", "c"), "gram")
         if last:
             # Every pair of different components has a member outside the component that most belong to.
-            main = now.groupBy("gram").agg(F.mode("part").alias("main"), F.min("part").alias("least"), F.max("part").alias("most")).where("least != most")
-            open_ = now.join(main.select("gram", "main"), "gram")
-            aside = open_.where("part != main").select("gram", F.col("sid").alias("other"), F.col("n").alias("other_n"), F.col("part").alias("other_part"))
-            pairs = _pairs(open_.join(aside, "gram").where("part != other_part"))
+            main = open_.groupBy("gram", "part").count().groupBy("gram").agg(F.max_by("part", "count").alias("main"))
+            aside = open_.join(main, "gram").where("part != main").select("gram", F.struct("sid", "n", "pos", "part").alias("c"))
+            pairs = _pairs(open_.drop("c").join(aside, "gram").where("part != c.part"))
         else:
-            centre = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "part")).over(Window.partitionBy("gram"))
-            starred = now.withColumn("c", centre).where("part != c.part")
-            pairs = _pairs(starred.select("sid", "n", F.col("c.sid").alias("other"), F.col("c.n").alias("other_n")))
-        new = write_shared(_verified(pairs, sets), "similar")
+            pairs = _pairs(open_.where("part != c.part"))
+        new = write_shared(_verified(pairs, texts), "similar")
         found = new.count()
-        edges = edges.union(new)
         if found:
+            edges = edges.union(new)
             roots = components(edges)
         if last:
             return roots if roots is not None else edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         turn, last = turn + 1, found < FEW
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash: of each component the row that stays, that of the smallest doc_id (null last)."""
+def dropped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash of the rows that go: all of a component but that of the smallest doc_id (null last)."""
     texts = id_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    shared = Shared(docs.sparkSession, common_shingles(texts))
-    rows = write_shared(texts.select("doc_id", "text_hash", "text").mapInArrow(_prefixes(shared), "doc_id long, text_hash long, sid long, n int, lead array<long>"), "shingles")
-    roots = roots_of_sets(texts, rows)
-    # The smallest row of each set first: a hot set is one row per task before the join.
-    least = rows.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row"))
-    best = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("row").alias("row"))
-    return best.select("row.doc_id", "row.text_hash")
+    common = common_shingles(texts)
+    spark = docs.sparkSession
+    heavy = spark.createDataFrame([(int(g),) for g, c in zip(*common) if c >= HEAVY], "gram long")
+    kinds = "doc_id long, text_hash long, sid long, fp long, n int, lead array<long>"
+    rows = write_shared(texts.select("doc_id", "text_hash", "text").mapInArrow(_prefixes(Shared(spark, common)), kinds), "shingles")
+    roots = roots_of_sets(texts, rows, heavy)
+    # The smallest row of each set first: a hot set is one row per task before the joins.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    least = rows.groupBy("sid").agg(F.min(row).alias("row"))
+    classed = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "row", F.coalesce("root", "sid").alias("root"))
+    best = classed.groupBy("root").agg(F.min("row").alias("best"), F.count("*").alias("sets"))
+    # Rows of classes of one row alone are not looked at again.
+    several = rows.groupBy("sid").agg(F.count("*").alias("rows"))
+    hot = classed.join(several, "sid").join(best, "root").where("sets > 1 or rows > 1").select("sid", "best")
+    own = rows.select("sid", "doc_id", "text_hash", row.alias("row")).join(hot, "sid")
+    return own.where("row != best").select("doc_id", "text_hash").distinct()
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
     """``docs``, one row of each component of near copies."""
-    return keep_rows(docs, F.xxhash64(F.col("text").cast("string")), representatives(docs))
+    return drop_rows(docs, F.xxhash64(F.col("text").cast("string")), dropped(docs))

@@ -10,6 +10,7 @@ from feltloom.llm.simhash import drop_near_duplicates
 
 from helpers import SCHEMA, make_documents
 from test_packing import check
+from test_similar import expected
 from test_simhash import brute_components, plain_fingerprint
 from test_toxicity import BAD, CLEAN
 
@@ -83,7 +84,7 @@ def test_every_stage_takes_effect(spark, tables):
     kept = {r.doc_id for r in seen["toxicity"]}
     assert len(kept & bad) <= 2 and len({r[0] for r in rows} - kept - bad) <= 5
     assert Counter(len(t) for _, t in survivors(spark.createDataFrame(seen["exact_dedup"], SCHEMA)).elements()) == Counter(len(t) for _, t in brute_exact(list(map(tuple, seen["toxicity"]))).elements())
-    assert Counter((r.doc_id is None, r.doc_id or 0) for r in seen["near_dedup"]) == brute_near(list(map(tuple, seen["exact_dedup"])))
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in seen["near_dedup"]) == expected(list(map(tuple, seen["exact_dedup"])))
     pieces = corpus_pipeline.packing(spark, docs, top).collect()
     check(pieces, list(map(tuple, seen["near_dedup"])), 2048)
     assert Counter(p.doc_id for p in corpus_pipeline.run(spark, top).collect()) == Counter(p.doc_id for p in pieces)
