@@ -11,7 +11,9 @@ A meeting counts only if the sizes, and what follows of both sets after the firs
 
 Sets that meet at a shingle are first compared with one of them, anew as long as that links many; then
 every two that are still of different components are compared. So no pair is left out, while a large
-group of near copies costs few comparisons a member. Copies have one set and are merged beforehand. Shingles that hold
+group of near copies costs few comparisons a member. Before any text is sent for, a pair's parity bitmaps
+(``PARITY`` bits, each the parity of the shingles hashed to it) are compared: they differ in no more bits than the sets in
+shingles, so a pair whose bitmaps differ in over a ninth of both sizes is not similar. Copies have one set and are merged beforehand. Shingles that hold
 more than a small share of the sample never meet in one task: their centres come from partial aggregates.
 
 Shingles: words as in ``simhash``; fewer words than a shingle has are one shingle. A null, empty or blank
@@ -38,6 +40,8 @@ from feltloom.llm.simhash import components, hashes, links, packed
 WORDS = 5
 #: Sets of the sample that orders shingles, shingles that it puts last at most.
 SAMPLE, COMMON = 4000, 50_000
+#: Bits of a set's parity bitmap.
+PARITY = 1024
 #: Of this many sets of the sample on, a shingle is heavy; pairs of a centre that one task compares.
 HEAVY, PAIRS = 20, 500
 #: A round of stars that links fewer is the last.
@@ -61,6 +65,12 @@ def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
     return grams[order[: n - (4 * n + 4) // 5 + 1]]
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """The bitmap as 64-bit numbers."""
+    odd = np.bincount(grams.view(np.uint64) % np.uint64(PARITY), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _arrays(found: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]), pa.int64()))
@@ -80,7 +90,7 @@ def _prefixes(shared: Shared):
             sids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
             prints = pa.array([packed(h) for h in found], pa.int64())
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sids, prints, sizes, _arrays([prefix(s, common, counts) for s in sets])], names=["doc_id", "text_hash", "sid", "fp", "n", "lead"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sids, prints, sizes, _arrays([parity(s) for s in sets]), _arrays([prefix(s, common, counts) for s in sets])], names=["doc_id", "text_hash", "sid", "fp", "n", "bits", "lead"])
 
     return run
 
@@ -110,15 +120,26 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([g for g, _ in found], np.int64), np.array([c for _, c in found], np.int64)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
     """lo, hi of the pairs (one, other) that are similar; a centre (one) of many pairs is repeated, so that these are spread."""
+    a, b = (prints.select(F.col("sid").alias(name), F.struct("n", "bits").alias(f"own_{name}")) for name in ("one", "other"))
     pairs = write_shared(pairs.distinct(), "pairs")
     many = pairs.groupBy("one").agg((F.count("*") / PAIRS).cast("int").alias("parts")).where("parts > 0")
     parts = F.coalesce("parts", F.lit(0))
-    a = texts.select(F.col("sid").alias("one"), F.col("text").alias("a")).join(many, "one", "left").select("one", "a", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
-    b = texts.select(F.col("sid").alias("other"), F.col("text").alias("b"))
     spread = pairs.join(many, "one", "left").select("one", "other", F.pmod(F.xxhash64("other"), parts + 1).cast("int").alias("part"))
-    return spread.join(b, "other").join(a, ["one", "part"]).select("one", "other", "a", "b").mapInArrow(_similar, "lo long, hi long")
+    repeated = lambda rows: rows.join(many, "one", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts))).drop("parts")
+    differ = F.aggregate(F.zip_with("own_one.bits", "own_other.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    alike = spread.join(b, "other").join(repeated(a), ["one", "part"]).where(9 * differ <= F.col("own_one.n") + F.col("own_other.n"))
+    alike = write_shared(alike.select("one", "other", "part"), "alike")
+    # The texts of all sets that are compared, one of each.
+    asked = alike.select(F.col("one").alias("sid")).union(alike.select("other")).distinct().join(prints.select("sid", "row"), "sid")
+    asked = write_shared(asked.select("sid", F.col("row.doc_id").alias("own_id"), F.col("row.text_hash").alias("own_hash")), "asked")
+    own = docs.join(few(asked), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    texts = write_shared(own.select("sid", "text"), "texts")
+    if texts.count() > asked.count():  # rows that repeat whole
+        texts = write_shared(texts.groupBy("sid").agg(F.min("text").alias("text")), "texts")
+    left, right = texts.select(F.col("sid").alias("one"), F.col("text").alias("a")), texts.select(F.col("sid").alias("other"), F.col("text").alias("b"))
+    return alike.join(right, "other").join(repeated(left), ["one", "part"]).select("one", "other", "a", "b").mapInArrow(_similar, "lo long, hi long")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -144,19 +165,12 @@ def roots_of_sets(docs: DataFrame, rows: DataFrame, heavy: DataFrame) -> DataFra
     by_set = rows.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("lead").alias("lead"))
     met = write_shared(meetings(by_set, heavy), "meeting")
     # Fingerprints two bits apart or less, by balls; sets of one fingerprint.
-    prints = write_shared(rows.where("n > 0").groupBy("sid").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "text_hash")).alias("row")), "prints")
+    prints = write_shared(rows.where("n > 0").groupBy("sid").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "prints")
     first = prints.groupBy("fp").agg(F.min("sid").alias("sid"))
     near = links(first.select("fp")).join(first.select(F.col("fp").alias("lo"), F.col("sid").alias("one")), "lo").join(first.select(F.col("fp").alias("hi"), F.col("sid").alias("other")), "hi").select("one", "other")
     equal = prints.select("fp", F.col("sid").alias("other")).join(first.select("fp", F.col("sid").alias("one")), "fp").where("one != other").select("one", "other")
     balls = write_shared(near.union(equal), "balls")
-    # The texts of all sets that may be compared, one of each.
-    asked = met.select("sid").union(balls.select("one")).union(balls.select("other")).distinct().join(prints.select("sid", "row"), "sid")
-    asked = write_shared(asked.select("sid", F.col("row.doc_id").alias("own_id"), F.col("row.text_hash").alias("own_hash")), "asked")
-    own = docs.join(few(asked), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
-    texts = write_shared(own.select("sid", "text"), "texts")
-    if texts.count() > asked.count():  # rows that repeat whole
-        texts = write_shared(texts.groupBy("sid").agg(F.min("text").alias("text")), "texts")
-    edges = write_shared(_verified(balls, texts), "similar")
+    edges = write_shared(_verified(balls, prints, docs), "similar")
     roots = components(edges) if not edges.isEmpty() else None
     turn, last = 0, False
     while True:
@@ -174,7 +188,7 @@ def roots_of_sets(docs: DataFrame, rows: DataFrame, heavy: DataFrame) -> DataFra
             pairs = _pairs(open_.drop("c").join(aside, "gram").where("part != c.part"))
         else:
             pairs = _pairs(open_.where("part != c.part"))
-        new = write_shared(_verified(pairs, texts), "similar")
+        new = write_shared(_verified(pairs, prints, docs), "similar")
         found = new.count()
         if found:
             edges = edges.union(new)
@@ -190,7 +204,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     common = common_shingles(texts)
     spark = docs.sparkSession
     heavy = spark.createDataFrame([(int(g),) for g, c in zip(*common) if c >= HEAVY], "gram long")
-    kinds = "doc_id long, text_hash long, sid long, fp long, n int, lead array<long>"
+    kinds = "doc_id long, text_hash long, sid long, fp long, n int, bits array<long>, lead array<long>"
     rows = write_shared(texts.select("doc_id", "text_hash", "text").mapInArrow(_prefixes(Shared(spark, common)), kinds), "shingles")
     roots = roots_of_sets(texts, rows, heavy)
     # The smallest row of each set first: a hot set is one row per task before the joins.

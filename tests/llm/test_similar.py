@@ -6,7 +6,7 @@ import pytest
 
 from corpus_pipeline import near_dedup
 from feltloom.llm import similar
-from feltloom.llm.similar import prefix
+from feltloom.llm.similar import parity, prefix
 
 from helpers import SCHEMA, make_documents
 
@@ -76,3 +76,12 @@ def test_prefix_has_a_common_shingle_of_any_similar_pair():
         a, b = np.sort(both[k:]).astype(np.int64), np.sort(both[: len(both) - k]).astype(np.int64)
         if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
             assert len(np.intersect1d(prefix(a, common, counts), prefix(b, common, counts)))
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 5, 400, 5000):
+        a, b = (np.unique(draw.integers(-(2**63), 2**63, n)) for _ in range(2))
+        b = np.unique(np.concatenate([a[: n * 9 // 10], b[: n // 10]]))
+        differ = int(np.bitwise_count((parity(a) ^ parity(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b))
