@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import Shared, drop_rows, few, id_text, rows_of, write_shared
+from feltloom.llm.common import Shared, drop_rows, few, id_text, rows_of, sliced, write_shared
 from feltloom.llm.sampling import SLOTS
 from feltloom.llm.simhash import components, hashes, links, packed
 
 WORDS = 5
 #: Sets of the sample that orders shingles, shingles that it puts last at most.
 SAMPLE, COMMON = 4000, 50_000
+#: Bytes of text handled at a time.
+SLICE_BYTES = 2 << 20
 #: Bits of a set's parity bitmap.
 PARITY = 1024
 #: Of this many sets of the sample on, a shingle is heavy; pairs of a centre that one task compares.
@@ -84,7 +86,7 @@ def _whole_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(shared: Shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
-        for batch in batches:
+        for batch in sliced(batches, "text", SLICE_BYTES):
             found = [hashes(t or "", WORDS) for (t,) in rows_of(batch, "text")]
             sets = [np.unique(h).view(np.int64) for h in found]
             sids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
@@ -98,7 +100,7 @@ def _prefixes(shared: Shared):
 def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of a similarity of 0.8 or more: of s shingles in sum, 9 x common >= 4 x s."""
     last: tuple = (None, None)
-    for batch in batches:
+    for batch in sliced(batches, "b", SLICE_BYTES):
         kept = []
         for i, (one, a, b) in enumerate(rows_of(batch, "one", "a", "b")):
             if last[0] != one:
