@@ -48,12 +48,16 @@ def trim_edition(x: Column | str) -> Column:
     return F.when(t.rlike(r"(?s)^.+(?:\([^(]*\)|\[[^\[]*\])$"), F.trim(bracketed)).when(word != "", collapse_space(word)).otherwise(t)
 
 
-def album_names(artist: Column | str, title: Column | str, most: int = 6) -> Column:
-    """``artist:title`` of a title and of what is left as its edition marks go, one at a time."""
-    titles = [_c(title)]
-    for _ in range(most - 1):
-        titles.append(F.regexp_replace(clean_name(trim_edition(titles[-1])), "[ \\-\u2013\u2014]+$", ""))
-    return F.array_distinct(F.filter(F.array(*[prose_slug(artist, t) for t in titles]), lambda n: n.isNotNull()))
+def album_names(artist: Column | str, title: Column | str) -> Column:
+    """``artist:title`` of a title and of what is left as its edition marks go, one at a time until none is left.
+
+    A mark takes a bracket or a space with it, so there are no more steps than the title has of these.
+    """
+    text = F.coalesce(_c(title), F.lit(""))
+    less = lambda t: F.regexp_replace(clean_name(trim_edition(t)), "[ \\-\u2013\u2014]+$", "")
+    steps = F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"[(\[\s]")))
+    titles = F.aggregate(steps, F.array_append(F.array().cast("array<string>"), text), lambda done, _: F.array_append(done, less(F.element_at(done, -1))))
+    return F.array_distinct(F.filter(F.transform(titles, lambda t: prose_slug(artist, t)), lambda n: n.isNotNull()))
 
 
 def unix_lines(x: Column | str) -> Column:

@@ -37,14 +37,20 @@ def body_within_bounds(body: Column) -> Column:
 
 
 def pages_complete(pages: DataFrame) -> DataFrame:
-    """source_id, epoch, complete from page headers (page, total_pages, total_items) and items per page (n_items, n_ids)."""
+    """source_id, epoch, complete from page headers (page, total_pages, total_items) and the ids of a page's items.
+
+    All pages from the first on, their headers alike, as many items as declared, and no id empty or there twice in the epoch,
+    on whatever pages.
+    """
+    keys = ["source_id", "epoch"]
+    named = pages.select(*keys, F.explode("ids").alias("id")).groupBy(*keys).agg(F.countDistinct("id").alias("n_ids"), F.count_if(F.coalesce(F.col("id"), F.lit("")) == "").alias("n_empty"))
     one = pages.groupBy("source_id", "epoch").agg(
         F.count("*").alias("n_pages"), F.countDistinct("page").alias("n_distinct"), F.min("page").alias("low"), F.max("page").alias("high"), F.min("total_pages").alias("least_total"),
-        F.max("total_pages").alias("most_total"), F.min("total_items").alias("least_items"), F.max("total_items").alias("most_items"), F.sum("n_items").alias("n_items"), F.sum("n_ids").alias("n_ids"),
-    )
+        F.max("total_pages").alias("most_total"), F.min("total_items").alias("least_items"), F.max("total_items").alias("most_items"), F.sum(F.size(F.coalesce("ids", F.array().cast("array<string>")))).alias("n_items"),
+    ).join(named, keys, "left").na.fill(0, ["n_ids", "n_empty"])
     complete = (
         (F.col("low") == 1) & (F.col("least_total") == F.col("most_total")) & (F.col("least_items") == F.col("most_items")) & F.col("most_total").between(0, MAX_PAGES)
-        & (F.col("n_pages") == F.greatest(F.col("most_total"), F.lit(1))) & (F.col("n_distinct") == F.col("n_pages")) & (F.col("high") == F.col("n_pages")) & (F.col("n_items") == F.col("most_items")) & (F.col("n_ids") == F.col("n_items"))
+        & (F.col("n_pages") == F.greatest(F.col("most_total"), F.lit(1))) & (F.col("n_distinct") == F.col("n_pages")) & (F.col("high") == F.col("n_pages")) & (F.col("n_items") == F.col("most_items")) & (F.col("n_ids") == F.col("n_items")) & (F.col("n_empty") == 0)
     )
     return one.select("source_id", "epoch", "n_pages", "n_items", F.coalesce(complete, F.lit(False)).alias("complete"))
 

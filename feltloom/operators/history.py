@@ -1,7 +1,7 @@
 """Catalog history: live items and the newest K ever seen, and what of it a feed shows.
 
-Batch form over all that was observed (valid as long as an item's date does not change, which the
-merge step ensures by keeping the first). Each step is one shuffle by source: the window of the rank
+Batch form over all that was observed. The merge takes an item's last row whole, its date too; the incremental form
+prunes by the dates known at the time, so both agree as long as an item's date does not move. Each step is one shuffle by source: the window of the rank
 is the only one that needs a source's rows together, and nothing wider than the item travels.
 """
 
@@ -27,9 +27,10 @@ def merge_observed(observed: DataFrame) -> DataFrame:
 
 
 def live_items(observed: DataFrame) -> DataFrame:
-    """Items of each source's last non-empty epoch: an empty observation never clears the live set."""
-    last = observed.groupBy("source_id").agg(F.max("epoch").alias("epoch"))
-    return observed.join(last, ["source_id", "epoch"], "left_semi").where("guid <> ''").select(*KEYS).distinct()
+    """Items of each source's last epoch that has any: one of nothing, or of empty ids alone, never clears the live set."""
+    named = observed.where("guid <> ''")
+    last = named.groupBy("source_id").agg(F.max("epoch").alias("epoch"))
+    return named.join(last, ["source_id", "epoch"], "left_semi").select(*KEYS).distinct()
 
 
 def prune(items: DataFrame, live: Column, stored: int = STORED_LIMIT) -> DataFrame:

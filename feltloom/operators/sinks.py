@@ -1,8 +1,9 @@
 """Durable tables on plain Parquet with an atomic commit of several at once.
 
 A commit writes each changed table to a new version directory and then one manifest file whose name is
-the commit's number; readers go by the highest manifest. Writing the manifest is the commit point: what
-was written without one is never read, and a commit that is run again for the same batch is passed over.
+the commit's number; readers go by the highest manifest. The manifest is written under a temporary name and then
+renamed, which is the commit point: a commit that dies before it leaves nothing that is read, and a commit that is run
+again for the same batch is passed over. Of older commits the last ``KEPT`` stay for readers that began on them.
 All files go through Spark's own file systems, so the store may lie anywhere that Spark can write.
 """
 
@@ -18,6 +19,9 @@ from feltloom.model import FETCH_STATE, FEED_ITEMS, KEYED_TIME, LIVE, REJECTS
 
 TABLES = {"feed_items": FEED_ITEMS, "live": LIVE, "first_seen": KEYED_TIME, "item_dates": KEYED_TIME, "fetch_state": FETCH_STATE, "rejects": REJECTS, "change_state": "source_id string, version int, revision bigint", "baseline": "source_id string, guid string, metadata string, ord int", "announced": "source_id string, guid string, name string"}
 
+#: Commits whose tables stay readable.
+KEPT = 20
+
 
 class Store:
     """Versioned tables under ``path``; absent tables are empty, absent columns null."""
@@ -38,12 +42,14 @@ class Store:
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
         if not names:
             return {"number": 0, "batch": None, "tables": {}}
-        stream = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(folder, names[-1]))
+        return self._read(fs, self.spark._jvm.org.apache.hadoop.fs.Path(folder, names[-1]))
+
+    def _read(self, fs, path) -> dict:
+        stream = fs.open(path)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return json.loads(text)
 
     def table(self, name: str) -> DataFrame:
         folder = self.manifest()["tables"].get(name)
@@ -66,14 +72,35 @@ class Store:
         fs, folder = self._fs()
         fs.mkdirs(folder)
         number = now["number"] + 1
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:08d}.json")
-        stream = fs.create(target, False)  # fails if another writer was first
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        target, draft = path(folder, f"{number:08d}.json"), path(folder, f"{number:08d}-{uuid.uuid4().hex}.tmp")
+        stream = fs.create(draft, False)
         try:
             stream.write(bytearray(json.dumps({"number": number, "batch": batch, "tables": folders}).encode()))
         finally:
             stream.close()
+        self._publish(fs, draft, target)
+        self._retire(fs, folder)
         return True
 
+    def _publish(self, fs, draft, target) -> None:
+        if fs.exists(target) or not fs.rename(draft, target):
+            fs.delete(draft, False)
+            raise RuntimeError(f"another writer committed {target.getName()} first")
+
+    def _retire(self, fs, folder) -> None:
+        """Delete manifests before the last ``KEPT``, and the tables that no later one names."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        old = names[:-KEPT]
+        if not old:
+            return
+        used = {t for name in names[-KEPT:] for t in self._read(fs, path(folder, name))["tables"].values()}
+        for name in old:
+            for table in set(self._read(fs, path(folder, name))["tables"].values()) - used:
+                fs.delete(path(f"{self.path}/{table}"), True)
+            fs.delete(path(folder, name), False)
+
 
 def replace_source(stored: DataFrame, new: DataFrame, sources: DataFrame) -> DataFrame:
     """Snapshot replace: rows of the polled sources go, even if nothing comes in their place."""

@@ -210,8 +210,8 @@ def recommendation_pages(pages: DataFrame) -> DataFrame:
         each = F.forall(found, lambda t: (F.coalesce(t["id"], F.lit("")) != "") & (F.coalesce(t["releaseGroup"], F.lit("")) != "") & t["isBest"].isNotNull())
         return F.coalesce((F.coalesce(e["id"], F.lit("")) != "") & (e["alID"] > 0) & e["trs"].isNotNull() & each & arrays.same_set(F.transform(found, lambda t: t["id"]), e["trs"]), F.lit(False))
 
-    ids = F.transform("r.items", lambda e: e["alID"])
-    return parsed.select(*KEYS, F.col("r.page").alias("page"), F.col("r.totalPages").alias("total_pages"), F.col("r.totalItems").alias("total_items"), F.size("r.items").alias("n_items"), F.size(F.array_distinct(ids)).alias("n_ids"), F.forall("r.items", sound).alias("sound"), F.col("r.items").alias("items"))
+    ids = F.transform("r.items", lambda e: e["alID"].cast("string"))
+    return parsed.select(*KEYS, F.col("r.page").alias("page"), F.col("r.totalPages").alias("total_pages"), F.col("r.totalItems").alias("total_items"), ids.alias("ids"), F.forall("r.items", sound).alias("sound"), F.col("r.items").alias("items"))
 
 
 def recommendations(pages: DataFrame) -> DataFrame:

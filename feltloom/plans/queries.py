@@ -188,18 +188,19 @@ def enrich_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.max("event_id").alias("high"))
 
 
-@query("""WITH p AS (SELECT l_orderkey AS epoch, l_linenumber AS page, count(*) AS n_items, count(DISTINCT l_partkey) AS n_ids FROM lineitem GROUP BY 1, 2),
-    t AS (SELECT epoch, max(page) AS total_pages FROM p GROUP BY 1), i AS (SELECT l_orderkey AS epoch, count(*) AS total_items FROM lineitem GROUP BY 1)
-    SELECT p.epoch, count(*) AS n_pages, CAST(sum(n_items) AS BIGINT) AS n_items,
-           min(page) = 1 AND count(*) = max(total_pages) AND sum(n_items) = max(total_items) AND sum(n_ids) = sum(n_items) AS complete
-    FROM p JOIN t ON p.epoch = t.epoch JOIN i ON p.epoch = i.epoch GROUP BY 1""")
+@query("""WITH l AS (SELECT l_orderkey AS epoch, l_linenumber AS page, CASE WHEN l_quantity = 1 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END AS id FROM lineitem),
+    t AS (SELECT epoch, CASE WHEN max(page) = 7 THEN 8 ELSE max(page) END AS total_pages FROM l GROUP BY 1)
+    SELECT epoch, count(DISTINCT page) AS n_pages, count(*) AS n_items,
+           min(page) = 1 AND count(DISTINCT page) = max(total_pages) AND max(page) = max(total_pages) AND bool_and(id <> '') AND count(DISTINCT id) = count(*) AS complete
+    FROM l JOIN t USING (epoch) GROUP BY 1""")
 def pagination_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as pages: complete if the line numbers run from 1 without a gap and no line is there twice."""
-    lines = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("source_id"), F.col("l_orderkey").alias("epoch"), F.col("l_linenumber").alias("page"), "l_partkey")
-    pages = lines.groupBy("source_id", "epoch", "page").agg(F.count("*").alias("n_items"), F.countDistinct("l_partkey").alias("n_ids"))
-    whole = Window.partitionBy("epoch")
-    declared = pages.withColumn("total_pages", F.max("page").over(whole)).withColumn("total_items", F.sum("n_items").over(whole))
-    return gates.pages_complete(declared).select("epoch", "n_pages", "n_items", "complete")
+    """Order lines as pages, the suppliers as ids: complete if all pages are there, and no id is empty or there twice on any pages."""
+    supplier = F.when(F.col("l_quantity") == 1, "").otherwise(F.col("l_suppkey").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("source_id"), F.col("l_orderkey").alias("epoch"), F.col("l_linenumber").alias("page"), supplier.alias("id"))
+    pages = lines.groupBy("source_id", "epoch", "page").agg(F.collect_list("id").alias("ids"))
+    last = F.max("page")
+    declared = lines.groupBy("epoch").agg(F.when(last == 7, 8).otherwise(last).alias("total_pages"), F.count("*").alias("total_items"))
+    return gates.pages_complete(pages.join(declared, "epoch")).select("epoch", "n_pages", F.col("n_items").cast("bigint").alias("n_items"), "complete")
 
 
 @query("""SELECT conv_id, turn, role, md5(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn)) AS heading FROM conversations""")
@@ -417,10 +418,10 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.merge_observed(rows).select("source_id", "guid", "row.epoch", "row.event_id")
 
 
-@query(f"""WITH e AS ({_DAILY}) SELECT DISTINCT source_id, event_type AS guid FROM e WHERE event_type <> 'error'
-    AND epoch = (SELECT max(epoch) FROM e x WHERE x.source_id = e.source_id)""")
+@query(f"""WITH e AS ({_DAILY}), named AS (SELECT * FROM e WHERE event_type <> 'error'), last AS (SELECT source_id, max(epoch) AS epoch FROM named GROUP BY 1)
+    SELECT DISTINCT source_id, event_type AS guid FROM named JOIN last USING (source_id, epoch)""")
 def live_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identities of each source's last non-empty epoch, without empty ones."""
+    """Identities of each source's last epoch that has any; an epoch of empty ones (errors) alone clears nothing."""
     guid = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
     return history.live_items(_daily(spark, sf_dir).select("source_id", "epoch", guid.alias("guid")))
 

@@ -97,10 +97,14 @@ def test_announcements(spark):
 
 
 def test_gates(spark):
-    pages = "source_id string, epoch bigint, page int, total_pages int, total_items int, n_items int, n_ids int"
-    rows = [("s", 0, 1, 2, 3, 2, 2), ("s", 0, 2, 2, 3, 1, 1), ("s", 1, 1, 2, 3, 2, 2), ("s", 2, 1, 2, 3, 2, 2), ("s", 2, 2, 2, 4, 1, 1), ("s", 3, 1, 1, 2, 2, 1), ("s", 4, 1, 0, 0, 0, 0)]
+    pages = "source_id string, epoch bigint, page int, total_pages int, total_items int, ids array<string>"
+    ab = ["a", "b"]
+    rows = [("s", 0, 1, 2, 3, ab), ("s", 0, 2, 2, 3, ["c"]), ("s", 1, 1, 2, 3, ab), ("s", 2, 1, 2, 3, ab), ("s", 2, 2, 2, 4, ["c"]), ("s", 3, 1, 1, 2, ["a", "a"]), ("s", 4, 1, 0, 0, [])]
+    rows += [("s", 5, 1, 2, 4, ab), ("s", 5, 2, 2, 4, ab), ("s", 6, 1, 1, 2, ["a", ""]), ("s", 7, 1, 1, 2, ["a", None]), ("s", 8, 1, 1, 0, None)]
     got = {r.epoch: r.complete for r in gates.pages_complete(spark.createDataFrame(rows, pages)).collect()}
-    assert got == {0: True, 1: False, 2: False, 3: False, 4: True}
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: True, 5: False, 6: False, 7: False, 8: True}
+    seen = spark.createDataFrame([("s", 1, "g"), ("s", 2, ""), ("s", 3, None)], "source_id string, epoch bigint, guid string")
+    assert [r.guid for r in history.live_items(seen).collect()] == ["g"]
     log = [("s", 0, 200, "e1", "m1", "x"), ("s", 1, 304, None, None, None), ("s", 2, 304, "e2", None, None), ("s", 3, 200, None, None, "x"), ("s", 4, 429, None, None, None)]
     frame = spark.createDataFrame(log, "source_id string, epoch bigint, status int, etag string, last_modified string, body string")
     assert {r.epoch: (r.etag, r.last_modified) for r in gates.validators(frame).collect()} == {0: ("e1", "m1"), 1: ("e1", "m1"), 2: ("e2", "m1"), 3: (None, None), 4: (None, None)}

@@ -78,6 +78,35 @@ def test_a_failed_commit_leaves_everything(spark, tmp_path):
     assert with_column(store.table("live"), "extra", F.lit(1)).columns == ["source_id", "guid", "extra"]
 
 
+def test_a_commit_that_dies_before_its_rename_is_not_read(spark, tmp_path, monkeypatch):
+    from feltloom.operators import sinks
+
+    monkeypatch.setattr(sinks, "KEPT", 2)
+    store = Store(spark, f"file://{tmp_path}/store")
+    row = lambda g: spark.createDataFrame([("s", g)], "source_id string, guid string")
+    store.commit({"live": row("a")}, 0)
+
+    def die(fs, draft, target):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", die)
+        with pytest.raises(OSError, match="lost"):
+            store.commit({"live": row("b")}, 1)
+    assert [r.guid for r in store.table("live").collect()] == ["a"] and store.manifest()["number"] == 1
+    for i in range(1, 5):
+        assert store.commit({"live": row(f"c{i}")}, i)
+    assert [r.guid for r in store.table("live").collect()] == ["c4"]
+    kept = [p for p in (tmp_path / "store" / "manifests").iterdir() if p.suffix == ".json"]
+    assert len(kept) == 2 and len([p for p in (tmp_path / "store" / "live").iterdir() if p.name.startswith("v0")]) <= 3
+    folder = tmp_path / "store" / "manifests"
+    other = Store(spark, f"file://{tmp_path}/store")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, _ = other._fs()
+    with pytest.raises(RuntimeError, match="another writer"):
+        other._publish(fs, path(f"file://{folder}/x.tmp"), path(f"file://{kept[0]}"))
+
+
 def test_release_stream_is_the_batch_form(spark, tmp_path):
     draw = random.Random(8)
     rows = []
