@@ -13,7 +13,8 @@ Sets that meet at a shingle are first compared with one of them, anew as long as
 every two that are still of different components are compared. So no pair is left out, while a large
 group of near copies costs few comparisons a member. Before any text is sent for, a pair's parity bitmaps
 (``PARITY`` bits, each the parity of the shingles hashed to it) are compared: they differ in no more bits than the sets in
-shingles, so a pair whose bitmaps differ in over a ninth of both sizes is not similar. Copies have one set and are merged beforehand. Shingles that hold
+shingles, so a pair whose bitmaps differ in over a ninth of both sizes is not similar. Sets of more shingles than that fill
+such a bitmap, so what is left of their pairs is compared by bitmaps as wide as the sets are large. Copies have one set and are merged beforehand. Shingles that hold
 more than a small share of the sample never meet in one task: their centres come from partial aggregates.
 
 Shingles: words as in ``simhash``; fewer words than a shingle has are one shingle. A null, empty or blank
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feltloom.llm.common import Shared, drop_rows, few, id_text, rows_of, sliced, write_shared
@@ -67,12 +68,30 @@ def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
     return grams[order[: n - (4 * n + 4) // 5 + 1]]
 
 
-def parity(grams: np.ndarray) -> np.ndarray:
+def parity(grams: np.ndarray, bits: int = PARITY) -> np.ndarray:
     """The bitmap as 64-bit numbers."""
-    odd = np.bincount(grams.view(np.uint64) % np.uint64(PARITY), minlength=PARITY) & 1
+    odd = np.bincount((grams.view(np.uint64) % np.uint64(bits)).view(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def wide_parity(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of the next power of two from the set's size on, empty if the plain one is as wide."""
+    bits = 1 << max(0, len(grams) - 1).bit_length()
+    return parity(grams, bits) if bits > PARITY else np.zeros(0, np.int64)
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """In how many bits two bitmaps of one width differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+
+
+def _narrowed(x: Column, y: Column) -> Column:
+    """``x`` as wide as ``y`` if that is half as wide: the parity of a bit modulo half the width is that of its two bits."""
+    half = F.shiftright(F.size(x), 1)
+    folded = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+    return F.when(F.size(x) > F.size(y), folded).otherwise(x)
+
+
 def _arrays(found: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]), pa.int64()))
@@ -92,7 +111,7 @@ def _prefixes(shared: Shared):
             sids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
             prints = pa.array([packed(h) for h in found], pa.int64())
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sids, prints, sizes, _arrays([parity(s) for s in sets]), _arrays([prefix(s, common, counts) for s in sets])], names=["doc_id", "text_hash", "sid", "fp", "n", "bits", "lead"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sids, prints, sizes, _arrays([parity(s) for s in sets]), _arrays([wide_parity(s) for s in sets]), _arrays([prefix(s, common, counts) for s in sets])], names=["doc_id", "text_hash", "sid", "fp", "n", "bits", "wide", "lead"])
 
     return run
 
@@ -130,9 +149,14 @@ def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame
     parts = F.coalesce("parts", F.lit(0))
     spread = pairs.join(many, "one", "left").select("one", "other", F.pmod(F.xxhash64("other"), parts + 1).cast("int").alias("part"))
     repeated = lambda rows: rows.join(many, "one", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts))).drop("parts")
-    differ = F.aggregate(F.zip_with("own_one.bits", "own_other.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    alike = spread.join(b, "other").join(repeated(a), ["one", "part"]).where(9 * differ <= F.col("own_one.n") + F.col("own_other.n"))
-    alike = write_shared(alike.select("one", "other", "part"), "alike")
+    n, m = F.col("own_one.n"), F.col("own_other.n")
+    close = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * _differ(F.col("own_one.bits"), F.col("own_other.bits")) <= n + m)
+    alike = write_shared(spread.join(b, "other").join(repeated(a), ["one", "part"]).where(close).select("one", "other", "part", (n + m).alias("both")), "alike")
+    # Large sets once more. If only one set of a pair has a wide bitmap, that is twice as wide as the plain one at most and decides no more.
+    x, y = F.col("wide_one"), F.col("wide_other")
+    c, d = (prints.where(F.size("wide") > 0).select(F.col("sid").alias(name), F.col("wide").alias(f"wide_{name}")) for name in ("one", "other"))
+    large = alike.join(d, "other", "left").join(repeated(c), ["one", "part"], "left")
+    alike = write_shared(large.where(x.isNull() | y.isNull() | (9 * _differ(_narrowed(x, y), _narrowed(y, x)) <= F.col("both"))).select("one", "other", "part"), "alike")
     # The texts of all sets that are compared, one of each.
     asked = alike.select(F.col("one").alias("sid")).union(alike.select("other")).distinct().join(prints.select("sid", "row"), "sid")
     asked = write_shared(asked.select("sid", F.col("row.doc_id").alias("own_id"), F.col("row.text_hash").alias("own_hash")), "asked")
@@ -167,7 +191,7 @@ def roots_of_sets(docs: DataFrame, rows: DataFrame, heavy: DataFrame) -> DataFra
     by_set = rows.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("lead").alias("lead"))
     met = write_shared(meetings(by_set, heavy), "meeting")
     # Fingerprints two bits apart or less, by balls; sets of one fingerprint.
-    prints = write_shared(rows.where("n > 0").groupBy("sid").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "prints")
+    prints = write_shared(rows.where("n > 0").groupBy("sid").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide")), "prints")
     first = prints.groupBy("fp").agg(F.min("sid").alias("sid"))
     near = links(first.select("fp")).join(first.select(F.col("fp").alias("lo"), F.col("sid").alias("one")), "lo").join(first.select(F.col("fp").alias("hi"), F.col("sid").alias("other")), "hi").select("one", "other")
     equal = prints.select("fp", F.col("sid").alias("other")).join(first.select("fp", F.col("sid").alias("one")), "fp").where("one != other").select("one", "other")
@@ -206,7 +230,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     common = common_shingles(texts)
     spark = docs.sparkSession
     heavy = spark.createDataFrame([(int(g),) for g, c in zip(*common) if c >= HEAVY], "gram long")
-    kinds = "doc_id long, text_hash long, sid long, fp long, n int, bits array<long>, lead array<long>"
+    kinds = "doc_id long, text_hash long, sid long, fp long, n int, bits array<long>, wide array<long>, lead array<long>"
     rows = write_shared(texts.select("doc_id", "text_hash", "text").mapInArrow(_prefixes(Shared(spark, common)), kinds), "shingles")
     roots = roots_of_sets(texts, rows, heavy)
     # The smallest row of each set first: a hot set is one row per task before the joins.

@@ -3,10 +3,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpus_pipeline import near_dedup
 from feltloom.llm import similar
-from feltloom.llm.similar import parity, prefix
+from feltloom.llm.similar import parity, prefix, wide_parity
 
 from helpers import SCHEMA, make_documents
 
@@ -85,3 +86,25 @@ def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
         b = np.unique(np.concatenate([a[: n * 9 // 10], b[: n // 10]]))
         differ = int(np.bitwise_count((parity(a) ^ parity(b)).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b))
+
+
+def test_wide_bitmaps_fold_and_bound_as_plain_ones_do(spark):
+    draw = np.random.default_rng(4)
+    a = np.unique(draw.integers(-(2**63), 2**63, 4300))
+    b = a[: 4000]
+    assert (len(wide_parity(a)), len(wide_parity(b)), len(wide_parity(b[:1024]))) == (8192 // 64, 4096 // 64, 0)
+    sets = [(wide_parity(x).tolist(), wide_parity(y).tolist()) for x, y in ((a, b), (b, a), (a, a))]
+    rows = spark.createDataFrame(sets, "x array<long>, y array<long>")
+    differ = [r[0] for r in rows.select(similar._differ(similar._narrowed(F.col("x"), F.col("y")), similar._narrowed(F.col("y"), F.col("x")))).collect()]
+    assert differ == [int(np.bitwise_count((parity(a, 4096) ^ parity(b, 4096)).view(np.uint64)).sum())] * 2 + [0]
+
+
+def test_large_sets_match_brute_force(spark):
+    draw = random.Random(12)
+    passage, rows = [f"p{i}" for i in range(900)], []
+    for size in (900, 1100, 1300, 2100, 3000):
+        for _ in range(3):
+            base = passage + [f"w{draw.randrange(10**6)}" for _ in range(size)]
+            for end in (0, size // 20, size // 7, size // 3):
+                rows.append((len(rows), " ".join(base[end:]), None, None, None))
+    assert kept(spark.createDataFrame(rows, SCHEMA)) == expected(rows)
