@@ -513,35 +513,51 @@ def video_title(title: Column, author: Column) -> Column:
     return F.coalesce(found, F.concat(a, F.lit(" — "), t))
 
 
+def _claims(guids: Iterable[str], names: dict) -> pd.DataFrame:
+    """guid, name: a named release claims the name that it is, an album those known for it, a track none."""
+    of = lambda guid: [guid.partition(":named:")[2]] if ":named:" in guid else names.get(guid, [])
+    return pd.DataFrame([(g, n) for g in guids for n in of(g)], columns=["guid", "name"], dtype=object)
+
+
+def first_holders(claims: pd.DataFrame) -> set[int]:
+    """Of claims (place, name) the places that hold all their names, where an earlier place goes before a later one.
+
+    In rounds over the graph of shared names: who is first at each of its names holds them, and who
+    shares one with a holder is out. The first of all open places is always a holder, so a round ends some.
+    """
+    held: set[int] = set()
+    while len(claims):
+        first = claims.groupby("name").place.transform("min") == claims.place
+        holds = first.groupby(claims.place).transform("all")
+        held |= set(claims.place[holds])
+        met = claims.place[claims.name.isin(claims.name[holds])]
+        claims = claims[~claims.place.isin(met)]
+    return held
+
+
 def decide_releases(state: dict, items: list[dict]) -> list[dict]:
-    """One poll of the release feed: books every candidate, returns those to announce.
+    """One poll of the release feed: books every candidate, returns those to announce, in page order.
 
     ``state`` has announced (set of guids) and names (guid to names) and is changed in place; items are in
-    page order with guid and names. The order within a poll matters, so this is a fold, not a join.
+    page order with guid and names. What was booked holds its names; so do the page's albums against
+    releases that are only named; the rest is settled by ``first_holders``.
     """
-    announced, names = state["announced"], state["names"]
-    for item in items:
-        if ":album:" in item["guid"] and item.get("names") is not None and len(item["names"]):
-            names[item["guid"]] = list(item["names"])
-    of = lambda guid: [guid.split(":named:")[1]] if ":named:" in guid else names.get(guid, [])
-    known = {n for g in announced for n in of(g)}
-    played = {n for i in items if ":album:" in i["guid"] for n in of(i["guid"])}
-    out, seen = [], set()
-    for item in items:
-        guid = item["guid"]
-        if guid in announced or guid in seen:
-            continue
-        seen.add(guid)
-        announced.add(guid)
-        if ":named:" in guid and of(guid)[0] in played or any(n in known for n in of(guid)):
-            continue
-        known.update(of(guid))
-        out.append(item)
-    return out
+    page = pd.DataFrame({"guid": pd.Series([i["guid"] for i in items], dtype=object)})
+    albums = page.guid.str.contains(":album:", regex=False)
+    state["names"].update({i["guid"]: list(i["names"]) for i, album in zip(items, albums) if album and i.get("names") is not None and len(i["names"])})
+    taken = set(_claims(state["announced"], state["names"]).name)
+    played = set(_claims(page.guid[albums], state["names"]).name)
+    new = page[~page.guid.isin(state["announced"]) & ~page.guid.duplicated()]
+    claims = _claims(new.guid, state["names"])
+    claims["place"] = claims.guid.map(dict(zip(new.guid, new.index)))
+    barred = claims.name.isin(taken) | claims.guid.str.contains(":named:", regex=False) & claims.name.isin(played)
+    free = set(new.index) - set(claims.place) | first_holders(claims[~claims.place.isin(claims.place[barred])])
+    state["announced"].update(new.guid)
+    return [items[place] for place in sorted(free)]
 
 
 def announce_releases(observed: DataFrame) -> DataFrame:
-    """source_id, epoch, guid over all epochs (columns source_id, epoch, ord, guid, names): a fold per source."""
+    """source_id, epoch, guid over all epochs (columns source_id, epoch, ord, guid, names): a fold of polls per source."""
     html.importable(observed.sparkSession)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:

@@ -165,3 +165,33 @@ def test_page_log(spark):
     assert ok.count() == 3 and rejects.count() == 0
     ready, missing = pages.item_pages(spark.createDataFrame([("s", 0, "g", "https://a/1"), ("s", 0, "h", "https://a/2")], "source_id string, epoch bigint, guid string, link string"), found)
     assert [r.page_body for r in ready.collect()] == ["x"] and [r.guid for r in missing.collect()] == ["h"]
+
+
+def test_release_names_have_one_holder():
+    """Against the rule itself: who is published shares no name with what was booked or published before; who is not, does."""
+    import random
+
+    draw = random.Random(3)
+    state = {"announced": set(), "names": {}}
+    for _ in range(200):
+        booked, items = set(state["announced"]), []
+        for _ in range(draw.randrange(1, 9)):
+            name = f"n{draw.randrange(30)}"
+            kind = draw.choice(["named", "album", "track"])
+            items.append({"guid": f"s:named:{name}" if kind == "named" else f"s:{kind}:{draw.randrange(60)}", "names": draw.sample([f"n{i}" for i in range(30)], draw.randrange(4)) if kind == "album" else None})
+        shown = [i["guid"] for i in flows.decide_releases(state, items)]
+        of = lambda g: {g.split(":named:")[1]} if ":named:" in g else set(state["names"].get(g, []))
+        held = set().union(*map(of, booked))
+        played = set().union(*(of(i["guid"]) for i in items if ":album:" in i["guid"]))
+        page = list(dict.fromkeys(i["guid"] for i in items))
+        assert shown == [g for g in page if g in set(shown)] and state["announced"] == booked | set(page)
+        for g in page:
+            before = held.union(*(of(x) for x in shown if page.index(x) < page.index(g)))
+            assert (g in shown) == (g not in booked and not of(g) & before and not (":named:" in g and of(g) & played))
+        if draw.random() < 0.05:
+            state = {"announced": set(), "names": {}}
+
+
+def test_nothing_to_decide():
+    state = {"announced": set(), "names": {}}
+    assert flows.decide_releases(state, []) == [] and state == {"announced": set(), "names": {}}
