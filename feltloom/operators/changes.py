@@ -99,9 +99,33 @@ def stack_events(events: DataFrame, link: str) -> DataFrame:
         .otherwise(render_note_diff(F.col("old.notes"), F.col("new.notes")))
     )
     changed = events.where((F.col("kind") != "updated") | ~F.col("old.notes").eqNullSafe(F.col("new.notes")))
-    return changed.select("source_id", "epoch", "guid", "kind", F.concat(label, shown).alias("title"), F.concat(F.lit(link), "guid").alias("link"), said.alias("description"))
+    rest = [c for c in events.columns if c not in ("old", "new", "title", "link", "description")]
+    return changed.select(*rest, F.concat(label, shown).alias("title"), F.concat(F.lit(link), "guid").alias("link"), said.alias("description"))
 
 
 def section_events(events: DataFrame) -> DataFrame:
     """Events of entities whose sections differ; one without a difference is none, even if it came or went."""
     return events.withColumn("description", render_sections(F.col("old"), F.col("new"))).where("description <> ''")
+
+
+#: A recommendation's sections as they are saved.
+SAVED_SECTIONS = f"struct<{','.join(s.lower().replace(' ', '_') + ':array<string>' for s in SECTIONS)}>"
+STACK_LINK = "https://myanimelist.net/anime/"
+
+
+def shown(events: DataFrame) -> DataFrame:
+    """source_id, epoch, guid, kind, title, link, description, metadata: what a feed shows of events.
+
+    ``old`` and ``new`` are structs of title, link and metadata (saved JSON), null on the side that has no such entity.
+    Recommendations show the sections that differ, stacks their notes, any other source the kind; what shows nothing is no event.
+    """
+    columns = ["source_id", "epoch", "guid", "kind", "title", "link", "description", "metadata"]
+    either = lambda c: F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}"))
+    each = events.withColumn("metadata", F.to_json(F.struct(F.col("old.metadata").alias("old"), F.col("new.metadata").alias("new"))))
+    saved = lambda c, schema: F.from_json(F.col(f"{c}.metadata"), schema)
+    is_sections, is_stack = F.col("source_id") == "seadex", F.col("source_id").startswith("mal-stack-")
+    sections = each.where(is_sections).withColumns({"title": either("title"), "link": either("link"), "old": saved("old", SAVED_SECTIONS), "new": saved("new", SAVED_SECTIONS)})
+    card = lambda c: F.struct(F.col(f"{c}.title").alias("title"), F.coalesce(saved(c, "struct<notes:array<string>>")["notes"], F.array().cast("array<string>")).alias("notes"))
+    stacks = each.where(is_stack).withColumns({"old": card("old"), "new": card("new")})
+    plain = each.where(~is_sections & ~is_stack).withColumns({"title": F.col("kind"), "link": either("link"), "description": F.lit("")})
+    return section_events(sections).select(*columns).unionByName(stack_events(stacks, STACK_LINK).select(*columns)).unionByName(plain.select(*columns))

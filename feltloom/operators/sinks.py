@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from feltloom.model import FETCH_STATE, FEED_ITEMS, KEYED_TIME, LIVE, REJECTS
 
-TABLES = {"feed_items": FEED_ITEMS, "live": LIVE, "first_seen": KEYED_TIME, "item_dates": KEYED_TIME, "fetch_state": FETCH_STATE, "rejects": REJECTS, "change_state": "source_id string, version int, revision bigint", "baseline": "source_id string, guid string, metadata string, ord int", "announced": "source_id string, guid string, name string"}
+TABLES = {"feed_items": FEED_ITEMS, "live": LIVE, "first_seen": KEYED_TIME, "item_dates": KEYED_TIME, "fetch_state": FETCH_STATE, "rejects": REJECTS, "change_state": "source_id string, version int, revision bigint", "baseline": "source_id string, guid string, title string, link string, metadata string, ord int", "announced": "source_id string, guid string, name string"}
 
 #: Commits whose tables stay readable.
 KEPT = 20
@@ -27,7 +27,7 @@ class Store:
     """Versioned tables under ``path``; absent tables are empty, absent columns null."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.cuts = spark, path.rstrip("/"), []
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -58,8 +58,23 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
 
+    def cut(self, frame: DataFrame) -> DataFrame:
+        """``frame``, written beside the tables until the next commit has ended: work that a commit's tables share is done once."""
+        folder = f"{self.path}/cuts/{uuid.uuid4().hex}"
+        self.cuts.append(folder)
+        frame.write.parquet(folder)
+        return self.spark.read.schema(frame.schema).parquet(folder)
+
     def commit(self, tables: dict[str, DataFrame], batch: int | None = None) -> bool:
         """Write all of ``tables`` (whole new contents), then the manifest. False if ``batch`` was committed before."""
+        try:
+            return self._commit(tables, batch)
+        finally:
+            fs, _ = self._fs()
+            while self.cuts:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.cuts.pop()), True)
+
+    def _commit(self, tables: dict[str, DataFrame], batch: int | None) -> bool:
         now = self.manifest()
         if batch is not None and now["batch"] is not None and batch <= now["batch"]:
             return False
@@ -102,6 +117,23 @@ class Store:
             fs.delete(path(folder, name), False)
 
 
+class Draft:
+    """What a step sees and changes of a store, for several steps to be committed at once; ``views`` stand for whole tables."""
+
+    def __init__(self, store: Store, views: dict[str, DataFrame] | None = None):
+        self.store, self.changed = store, dict(views or {})
+
+    def table(self, name: str) -> DataFrame:
+        return self.changed[name] if name in self.changed else self.store.table(name)
+
+    def cut(self, frame: DataFrame) -> DataFrame:
+        return self.store.cut(frame)
+
+    def commit(self, tables: dict[str, DataFrame], batch: int | None = None) -> bool:
+        self.changed |= tables
+        return True
+
+
 def replace_source(stored: DataFrame, new: DataFrame, sources: DataFrame) -> DataFrame:
     """Snapshot replace: rows of the polled sources go, even if nothing comes in their place."""
     return stored.join(sources.select("source_id").distinct(), "source_id", "left_anti").unionByName(new, allowMissingColumns=True)

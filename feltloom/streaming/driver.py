@@ -7,7 +7,7 @@ and what is new; replaying all batches gives what the batch form gives over all
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,34 +27,47 @@ def project(store: sinks.Store, observed: DataFrame, batch: int | None = None) -
     return store.commit({"feed_items": items, "first_seen": seen}, batch)
 
 
-def keep_history(store: sinks.Store, observed: DataFrame, batch: int | None = None, stored: int = STORED_LIMIT) -> bool:
-    """Upsert, replace the live set of sources that showed anything, prune. An empty observation changes nothing."""
+def keep_history(store: sinks.Store, observed: DataFrame, batch: int | None = None, stored: int = STORED_LIMIT, rebuilt: DataFrame | None = None) -> bool:
+    """Upsert, replace the live set of sources that showed anything, prune these. An empty observation changes nothing.
+
+    ``rebuilt``: stored rows derived anew, which replace what they were before the new ones come.
+    """
     shown = observed.where("guid <> ''")
-    items = sinks.upsert(store.table("feed_items"), history.merge_observed(shown).select(*ITEM), ["source_id", "guid"])
-    live = sinks.replace_source(store.table("live"), history.live_items(shown), shown.select("source_id"))
+    polled = shown.select("source_id").distinct()
+    before = store.table("feed_items")
+    own = before.join(polled, "source_id", "left_semi")
+    if rebuilt is not None:
+        own = sinks.upsert(own, rebuilt.join(polled, "source_id", "left_semi").select(*ITEM), ["source_id", "guid"])
+    items = sinks.upsert(own, history.merge_observed(shown).select(*ITEM), ["source_id", "guid"])
+    live = sinks.replace_source(store.table("live"), history.live_items(shown), polled)
     pruned = history.prune(history.with_live(items, live), F.col("live"), stored)
-    return store.commit({"feed_items": pruned.select(*ITEM), "live": live}, batch)
+    return store.commit({"feed_items": before.join(polled, "source_id", "left_anti").unionByName(pruned.select(*ITEM)), "live": live}, batch)
 
 
 def watch_changes(store: sinks.Store, observed: DataFrame, versions: DataFrame, batch: int | None = None) -> bool:
-    """One epoch of each source at most. The first observation, and the first of another version, is a silent baseline."""
+    """Any number of epochs of each source, compared as in the batch form; the stored baseline is the epoch before them.
+
+    The first observation, and the first of another version (``versions``: source_id, version), is a silent baseline.
+    """
     state = store.table("change_state")
-    polled = observed.select("source_id", "epoch").distinct().join(versions, "source_id").join(state.select("source_id", F.col("version").alias("old_version"), "revision"), "source_id", "left")
-    comparable = polled.where("old_version = version").select("source_id")
-    before = store.table("baseline").join(comparable, "source_id", "left_semi")
-    after = observed.join(comparable, "source_id", "left_semi")
-    events = changes.compare(before, after, ["source_id", "guid"], "metadata").join(polled.select("source_id", "epoch", "revision"), "source_id")
-    numbered = events.withColumn("revision", F.coalesce("revision", F.lit(0)) + 1)
-    published = numbered.select(
-        "source_id", F.concat_ws(":", "source_id", F.col("revision").cast("string"), "guid").alias("guid"), F.col("kind").alias("title"), F.lit("").alias("link"), F.lit("").alias("description"),
-        F.to_json(F.struct("old", "new")).alias("metadata"), F.lit(None).cast("timestamp").alias("pub_date"), F.lit(0).alias("replies"),
-    )
-    changed = events.select("source_id").distinct().withColumn("changed", F.lit(1))
-    new_state = polled.join(changed, "source_id", "left").select("source_id", "version", (F.coalesce("revision", F.lit(0)) + F.coalesce("changed", F.lit(0))).cast("bigint").alias("revision"))
+    epochs = observed.groupBy("source_id", "epoch").agg(F.min("observed_at").alias("at")).join(versions.select("source_id", "version"), "source_id")
+    before = epochs.groupBy("source_id").agg((F.min("epoch") - 1).alias("epoch"))
+    entity = ["source_id", "epoch", "guid", F.struct("title", "link", "metadata").alias("value")]
+    rows = store.table("baseline").join(before, "source_id").select(*entity).unionByName(observed.select(*entity))
+    compared = state.join(before, "source_id").select("source_id", "epoch", "version").unionByName(epochs.select("source_id", "epoch", "version"))
+    raw = store.cut(changes.change_events(rows, compared, "value"))
+    events = changes.revisions(store.cut(changes.shown(raw)))
+    past = state.select("source_id", F.col("revision").alias("past"))
+    numbered = events.join(past, "source_id", "left").join(epochs.select("source_id", "epoch", "at"), ["source_id", "epoch"])
+    numbered = numbered.withColumn("revision", F.coalesce("past", F.lit(0)) + F.col("revision"))
+    published = numbered.select("source_id", F.concat_ws(":", "source_id", F.col("revision").cast("string"), "guid").alias("guid"), "title", "link", "description", "metadata", F.col("at").alias("pub_date"), F.lit(0).alias("replies"))
+    last = epochs.groupBy("source_id").agg(F.max_by("version", "epoch").alias("version")).join(past, "source_id", "left")
+    moved = numbered.groupBy("source_id").agg(F.max("revision").alias("revision"))
+    new_state = last.join(moved, "source_id", "left").select("source_id", "version", F.coalesce("revision", "past", F.lit(0)).cast("bigint").alias("revision"))
     return store.commit(
         {
             "feed_items": sinks.insert_ignore(store.table("feed_items"), published, ["source_id", "guid"]),
-            "baseline": sinks.replace_source(store.table("baseline"), observed.select("source_id", "guid", "metadata", "ord"), observed.select("source_id")),
+            "baseline": sinks.replace_source(store.table("baseline"), projection.latest_epoch(observed).select("source_id", "guid", "title", "link", "metadata", "ord"), observed.select("source_id")),
             "change_state": sinks.upsert(state, new_state, ["source_id"]),
         },
         batch,
@@ -62,21 +75,33 @@ def watch_changes(store: sinks.Store, observed: DataFrame, versions: DataFrame,
 
 
 def announce_new(store: sinks.Store, observed: DataFrame, batch: int | None = None, publishable: str = "true") -> bool:
-    """Publish identities that were not booked before; a source's first poll is a silent baseline. All that was seen is booked."""
+    """Publish identities that were not booked before; a source's first poll is a silent baseline. All that was seen is booked.
+
+    An epoch with an item that has no identity is no poll: it books and publishes nothing.
+    """
     booked = store.table("announced")
-    known = booked.select("source_id").distinct()
-    first = projection.keep_first(projection.drop_empty(observed), ["source_id", "guid"], "ord")
+    nameless = observed.where("coalesce(guid, '') = ''").select("source_id", "epoch").distinct()
+    whole = observed.join(nameless, ["source_id", "epoch"], "left_anti").withColumn("place", F.struct("epoch", "ord"))
+    silent = whole.groupBy("source_id").agg(F.min("epoch").alias("silent")).join(booked.select("source_id").distinct(), "source_id", "left_anti")
+    first = projection.keep_first(whole, ["source_id", "guid"], "place")
     new = announce.unannounced(first, booked.select("source_id", "guid"), ["source_id", "guid"])
-    published = new.join(known, "source_id", "left_semi").where(publishable).withColumn("pub_date", F.coalesce("pub_date", "observed_at"))
+    published = new.join(silent, "source_id", "left").where("silent is null or epoch > silent").where(publishable).withColumn("pub_date", F.coalesce("pub_date", "observed_at"))
     book = new.select("source_id", "guid", F.lit(None).cast("string").alias("name"))
     return store.commit({"feed_items": sinks.insert_ignore(store.table("feed_items"), published.select(*ITEM), ["source_id", "guid"]), "announced": sinks.insert_ignore(booked, book, ["source_id", "guid"])}, batch)
 
 
-STEPS = {"projection": project, "history": keep_history, "announcement": announce_new}
+def _change_step(store: sinks.Store, observed: DataFrame, batch: int | None = None, **options) -> bool:
+    return watch_changes(store, observed, options["versions"], batch)
+
+
+STEPS = {"projection": project, "history": keep_history, "change": _change_step, "announcement": announce_new}
 
 
 def run_stream(spark: SparkSession, path: str, store: sinks.Store, mode: str, checkpoint: str, available_now: bool = True, interval: str = "1 hour", **options) -> StreamingQuery:
-    """Read observations (Parquet, with observed_at) as they arrive under ``path`` and apply a mode's step to each micro-batch."""
+    """Read observations (Parquet, with observed_at) as they arrive under ``path`` and apply a mode's step to each micro-batch.
+
+    Change mode takes ``versions`` (source_id, version): the extraction version that is running.
+    """
     schema = spark.createDataFrame([], f"{OBSERVATIONS}, observed_at timestamp").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -89,9 +114,3 @@ def run_stream(spark: SparkSession, path: str, store: sinks.Store, mode: str, ch
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
-
-
-def latest_only(observed: DataFrame) -> DataFrame:
-    """Of a batch with several epochs of a source the last."""
-    last = Window.partitionBy("source_id")
-    return observed.withColumn("last", F.max("epoch").over(last)).where("epoch = last").drop("last")

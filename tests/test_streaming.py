@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from feltloom.operators import announce, history, projection
+from feltloom.operators import announce, changes, history, projection
 from feltloom.operators.sinks import Store, insert_unique, with_column
 from feltloom.plans import flows
 from feltloom.streaming import driver, releases
@@ -22,11 +22,11 @@ def epochs_of(seed, n=5):
     return rows
 
 
-def replay(spark, tmp_path, mode, rows):
+def replay(spark, tmp_path, mode, rows, **options):
     store = Store(spark, f"file://{tmp_path}/store")
     for e in sorted({r[1] for r in rows}):
         observed(spark, [r for r in rows if r[1] == e]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        query = driver.run_stream(spark, f"{tmp_path}/in", store, mode, f"{tmp_path}/checkpoint")
+        query = driver.run_stream(spark, f"{tmp_path}/in", store, mode, f"{tmp_path}/checkpoint", **options)
         query.awaitTermination()
         assert query.exception() is None
     return store
@@ -54,6 +54,28 @@ def test_announcement_replay_is_the_batch_form(spark, tmp_path):
     assert got == {(r.source_id, r.guid) for r in announce.announce_once(observed(spark, rows)).collect()}
 
 
+def test_change_replay_is_the_batch_form(spark, tmp_path):
+    rows = [(s, e, i, g, d, r) for s, e, i, g, d, r in epochs_of(4, 3)]
+    versions = spark.createDataFrame([("s", 1), ("t", 1)], "source_id string, version int")
+    store = replay(spark, tmp_path, "change", rows, versions=versions)
+    both = observed(spark, rows)
+    batch = changes.revisions(changes.change_events(both, both.select("source_id", "epoch").distinct().withColumn("version", F.lit(1))))
+    assert {(r.guid, r.title) for r in store.table("feed_items").collect()} == {(r.event_guid, r.kind) for r in batch.collect()}
+    whole = Store(spark, f"file://{tmp_path}/whole")  # all epochs in one batch
+    assert driver.watch_changes(whole, both, versions, 0)
+    assert {r.guid for r in whole.table("feed_items").collect()} == {r.event_guid for r in batch.collect()}
+    assert {tuple(r) for r in whole.table("change_state").collect()} == {tuple(r) for r in store.table("change_state").collect()}
+
+
+def test_announcements_of_several_epochs_at_once(spark, tmp_path):
+    rows = epochs_of(5)
+    store = Store(spark, f"file://{tmp_path}/store")
+    driver.announce_new(store, observed(spark, rows), 0)
+    assert {(r.source_id, r.guid) for r in store.table("feed_items").collect()} == {(r.source_id, r.guid) for r in announce.announce_once(observed(spark, rows)).collect()}
+    driver.announce_new(store, observed(spark, [("s", 9, 0, "new", 1, 0), ("s", 9, 1, "", 1, 0)]), 1)  # an item without identity: no poll
+    assert store.table("feed_items").where("guid = 'new'").count() == 0 == store.table("announced").where("guid = 'new'").count()
+
+
 def test_changes_step(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     versions = lambda v: spark.createDataFrame([("s", v)], "source_id string, version int")
