@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltloom.functions import arrays, text, urls
-from feltloom.operators import announce, history, sinks
+from feltloom.functions import arrays, dates, text, urls
+from feltloom.operators import announce, history, projection, sinks
 from feltloom.plans.queries import query, table
 
 _FOLD = r"regexp_replace(lower({}), '[^\p{{L}}\p{{Nd}}]+', '', 'g')"
@@ -144,3 +144,34 @@ def quarantine_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").cast("string").alias("guid"), "o_orderkey", "o_totalprice")
     ready, rejects = announce.quarantine(rows, F.col("o_totalprice") < 50000, "price", F.lit("low price"))
     return ready.select("o_orderkey", F.lit(None).cast("string").alias("reason")).unionByName(rejects.select(F.col("guid").cast("bigint").alias("o_orderkey"), "reason"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed,
+    CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 100 ELSE 0 END AS wait_s FROM orders""")
+def loose_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in the first format that fits, and Retry-After headers: numbers count, the past and the unreadable do not."""
+    day, status = F.col("o_orderdate"), F.col("o_orderstatus")
+    given = F.when(status == "F", F.date_format(day, "yyyy-MM-dd")).when(status == "O", F.date_format(day, "dd/MM/yyyy")).otherwise("soon")
+    header = F.when(status == "F", (F.col("o_orderkey") % 100).cast("string")).when(status == "O", F.lit("-5")).otherwise("later")
+    parsed = F.date_format(dates.parse_first(given, "yyyy-MM-dd", "dd/MM/yyyy"), "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select("o_orderkey", parsed.alias("parsed"), dates.retry_after_seconds(header, day).alias("wait_s"))
+
+
+@query("""SELECT o_orderkey, strftime(coalesce(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END, CASE WHEN o_orderstatus = 'O' THEN o_orderdate + INTERVAL 1 DAY END, o_orderdate + INTERVAL 2 DAY), '%Y-%m-%d') AS pub_date,
+    o_orderstatus = 'P' AS pending FROM orders""")
+def dated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item's own date, else that of its page, else when it was first seen."""
+    rows = table(spark, sf_dir, "orders").select(F.lit("s").alias("source_id"), F.col("o_orderkey").cast("string").alias("guid"), "o_orderkey", "o_orderdate", "o_orderstatus")
+    keys = ["source_id", "guid"]
+    items = rows.withColumn("pub_date", F.expr("CASE WHEN o_orderstatus = 'F' THEN o_orderdate END"))
+    seen = rows.select(*keys, F.expr("o_orderdate + INTERVAL 2 DAY").alias("first_seen"))
+    own = rows.where("o_orderstatus = 'O'").select(*keys, F.expr("o_orderdate + INTERVAL 1 DAY").alias("page_date"))
+    return projection.dated(items, seen, keys, own).select("o_orderkey", F.date_format("pub_date", "yyyy-MM-dd").alias("pub_date"), "pending")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'""")
+def minus_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an announcement poll goes on with once the unreadable items are out."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    ready, _ = announce.quarantine(rows, F.col("o_orderstatus") == "P", "metadata", F.lit("unreadable"))
+    return ready.select("o_orderkey")

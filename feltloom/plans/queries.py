@@ -432,12 +432,14 @@ def unannounced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return announce.unannounced(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
 
 
-@query("""WITH c AS (SELECT p_partkey, string_split(p_name, ' ') AS names FROM part), b AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part WHERE p_partkey % 17 = 0 AND p_size < 10)
-    SELECT p_partkey FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE list_contains(names, name))""")
+@query("""WITH c AS (SELECT p_partkey, p_brand, p_size, list_transform(string_split(p_name, ' '), lambda w: p_type || ' ' || w) AS names FROM part),
+    n AS (SELECT p_partkey, p_brand, p_size, unnest(names) AS name FROM c), b AS (SELECT DISTINCT p_brand, name FROM n WHERE p_size = 1)
+    SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM n JOIN b USING (p_brand, name))""")
 def unannounced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates none of whose names is booked."""
-    named = table(spark, sf_dir, "part").select(F.lit(0).alias("source_id"), F.col("p_partkey").alias("guid"), "p_size", F.split("p_name", " ").alias("names"))
-    booked = named.where("guid % 17 = 0 and p_size < 10").select("source_id", F.explode("names").alias("name")).distinct()
+    """Candidates of each brand none of whose names a part of the smallest size has booked."""
+    names = F.transform(F.split("p_name", " "), lambda w: F.concat(F.col("p_type"), F.lit(" "), w))
+    named = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source_id"), F.col("p_partkey").alias("guid"), "p_size", names.alias("names"))
+    booked = named.where("p_size = 1").select("source_id", F.explode("names").alias("name")).distinct()
     return announce.unannounced_names(named, booked).select(F.col("guid").alias("p_partkey"))
 
 

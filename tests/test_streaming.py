@@ -55,7 +55,7 @@ def test_announcement_replay_is_the_batch_form(spark, tmp_path):
 
 
 def test_change_replay_is_the_batch_form(spark, tmp_path):
-    rows = [(s, e, i, g, d, r) for s, e, i, g, d, r in epochs_of(4, 3)]
+    rows = [(s, e, i, g, d, r) for s, e, i, g, d, r in epochs_of(4, 2)]
     versions = spark.createDataFrame([("s", 1), ("t", 1)], "source_id string, version int")
     store = replay(spark, tmp_path, "change", rows, versions=versions)
     both = observed(spark, rows)
