@@ -12,6 +12,7 @@ from feltloom.llm.exact_dedup import exact_dedup
 from feltloom.llm.html_extract import main_text
 from feltloom.llm.language import language_id
 from feltloom.llm.packing import pack
+from feltloom.llm.periodic import periodic_runs
 from feltloom.llm.quality import quality
 from feltloom.llm.simhash import near_duplicates
 from feltloom.llm.store import store_digests
@@ -59,6 +60,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), "byte_bpe_50k.tiktoken")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(documents(spark, sf_dir), periodic=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
