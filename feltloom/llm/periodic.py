@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -57,8 +59,13 @@ def made_periodic(words: list[str], doc_id: int | None) -> list[str]:
     return words[:a] + (again * -(-(n - a) // p))[: n - a]
 
 
+def numbering() -> dict[str, int]:
+    """Gives each new word the next number."""
+    return defaultdict(count().__next__)
+
+
 def word_ids(words: list[str], known: dict[str, int]) -> np.ndarray:
-    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
 def _primes_of(q: int) -> list[int]:
@@ -101,7 +108,7 @@ def scan(ids: np.ndarray, lags: range) -> list[Run]:
 
 def runs_of(texts: list[list[str]]) -> list[list[Run]]:
     """Each text's runs, by start, then period; short texts together."""
-    known: dict[str, int] = {}
+    known = numbering()
     ids = [word_ids(words, known) for words in texts]
     out: list[list[Run]] = [[] for _ in texts]
     together = sorted((i for i in range(len(texts)) if LEAST_WORDS <= len(ids[i]) <= ALONE), key=lambda i: -len(ids[i]))
@@ -168,7 +175,7 @@ def _scan_lags(periodic: bool):
         for batch in sliced(batches, "text", SLICE_BYTES):
             rows = []
             for key, doc_id, text, low, high in rows_of(batch, "key", "doc_id", "text", "low", "high"):
-                ids = word_ids(_words(doc_id, text, periodic), {})
+                ids = word_ids(_words(doc_id, text, periodic), numbering())
                 rows += [(key, *run) for run in scan(ids, range(low, high))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), *[pa.int64()] * 3))], names=["key", "start", "length", "period"])
