@@ -48,6 +48,11 @@ def _clean_up() -> None:
             remove()
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what a query writes and leaves there."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
