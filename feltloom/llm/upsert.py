@@ -148,6 +148,21 @@ def layout(files: list[tuple[bool, int]], every: int) -> list[tuple[int, int, in
     return out
 
 
+def _spans(rows: dict[int, int], new: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int, int]]:
+    """(home, first row, last row + 1, file) for all that rewritten files of so many ``rows`` give to the new ones."""
+    out, homes = [], iter(sorted((h, n) for h, n in rows.items() if n))
+    home, left, low = -1, 0, 0
+    for target, (_, _, size, _) in enumerate(new):
+        while size:
+            if not left:
+                home, left = next(homes)
+                low = 0
+            taken = min(left, size)
+            out.append((home, low, low + taken, target))
+            low, left, size = low + taken, left - taken, size - taken
+    return out
+
+
 def apply_changes(spark: SparkSession, folder: str, changes: DataFrame, values: list[str], order: list[str], others: list[str], rule: Callable[[Column, Column], tuple[Column, Column]]) -> Table:
     """Apply the winning change of each key: set ``values``, insert, or delete.
 
@@ -170,17 +185,12 @@ def apply_changes(spark: SparkSession, folder: str, changes: DataFrame, values:
     plan = layout([(h in found, found.get(h, 0)) for h in range(len(table.files))], table.every)
     new = [p for p in plan if p[3]]
     names: dict[int, str] = {}
-    begins: list[int] = []
     if new:
-        offset, total = {}, 0  # of each rewritten file's rows among all that are written
-        for home in sorted(found):
-            offset[home], total = total, total + found[home]
-        begins = [offset[home] + start for home, start, _, _ in new]
-        before = F.broadcast(spark.createDataFrame(list(offset.items()), "home int, before long"))
+        spans = F.broadcast(spark.createDataFrame(_spans(found, new), "home int, low int, high int, target int"))
         again = _merged(spark, folder, table, acting, sorted(found), values) if sorted(found) != homes else merged
-        again = again.where("stays").join(before, "home")
-        rank = F.row_number().over(Window.partitionBy("home").orderBy("key", F.xxhash64("row"))) - 1
-        written = again.withColumn("target", range_of(F.col("before") + rank, begins)).repartitionById(len(new), F.col("target")).sortWithinPartitions("key").select("row.*")
+        ranked = again.where("stays").withColumn("rank", F.row_number().over(Window.partitionBy("home").orderBy("key", F.xxhash64("row"))) - 1)
+        aimed = ranked.join(spans, (ranked["home"] == spans["home"]) & (ranked["rank"] >= spans["low"]) & (ranked["rank"] < spans["high"]))
+        written = aimed.select("row", "target", "key").repartitionById(len(new), F.col("target")).sortWithinPartitions("key").select("row.*")
         names = _write_parts(written, folder, f"c{table.commits + 1}")
     firsts_new = _first_keys(spark, folder, table.key, names)
     files = [File(names[i := new.index(p)], firsts_new[names[i]], True) if p[3] else table.files[p[0]] for p in plan]
