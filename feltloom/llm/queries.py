@@ -19,6 +19,7 @@ from feltloom.llm.store import store_digests
 from feltloom.llm.token_counts import token_counts
 from feltloom.llm.toxicity import toxicity
 from feltloom.llm.upsert import client_upsert
+from feltloom.llm.warc import archive_report
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), "byte_bpe_50k.tiktoken")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client_upsert(spark.read.parquet(f"{sf_dir}/clients.parquet"), spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_warc": op11_warc,
     "op12_keyed_upsert": op12_keyed_upsert,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -92,3 +92,17 @@ def range_of(key: Column, starts: list[int]) -> Column:
         return pa.array(np.maximum(at, 0), pa.int32())
 
     return place(key)
+
+
+def spread_range_of(key: Column, salt: Column, starts: list[int]) -> Column:
+    """The same, but a key that begins several ranges, as it holds more rows than one, is spread over these by ``salt``."""
+    edges = np.array(starts, np.int64)
+
+    @F.arrow_udf("int")
+    def place(keys: pa.Array, salts: pa.Array) -> pa.Array:
+        values = keys.to_numpy(zero_copy_only=False)
+        last = np.maximum(np.searchsorted(edges, values, side="right") - 1, 0)
+        first = np.minimum(np.searchsorted(edges, values, side="left"), last)
+        return pa.array(first + salts.to_numpy(zero_copy_only=False) % (last - first + 1), pa.int32())
+
+    return place(key, salt)
