@@ -20,12 +20,35 @@ def appearances(observed: DataFrame, key: str = "guid") -> DataFrame:
     return first.join(observed.groupBy("source_id").agg(F.min("epoch").alias("baseline")), "source_id")
 
 
-def announce_numbers(observed: DataFrame) -> DataFrame:
-    """At first the newest number alone; later every number above that one, when it first appears."""
+def announce_numbers(observed: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """source_id, number, epoch: at first the newest number alone; later every number above that one, when it first appears.
+
+    ``initial`` (source_id, initial): what sources that were polled before began with; they have no first poll any more.
+    """
     first = observed.groupBy("source_id").agg(F.min("epoch").alias("baseline"))
-    initial = observed.join(first, "source_id").where("epoch = baseline").groupBy("source_id", "baseline").agg(F.max("number").alias("initial"))
+    if initial is not None:
+        first = first.join(initial, "source_id", "left_anti")
+    started = observed.join(first, "source_id").where("epoch = baseline").groupBy("source_id", "baseline").agg(F.max("number").alias("initial"))
+    if initial is not None:
+        started = started.unionByName(initial.select("source_id", "initial"), allowMissingColumns=True)
     seen = observed.groupBy("source_id", "number").agg(F.min("epoch").alias("epoch"))
-    return seen.join(initial, "source_id").where("number > initial or number = initial and epoch = baseline").select("source_id", "number", "epoch")
+    return seen.join(started, "source_id").where("number > initial or number = initial and epoch = baseline").select("source_id", "number", "epoch")
+
+
+def first_numbers(observed: DataFrame) -> DataFrame:
+    """source_id, initial: the newest number of each source's first epoch."""
+    newest = observed.groupBy("source_id", "epoch").agg(F.max("number").alias("number"))
+    return newest.groupBy("source_id").agg(F.min_by("number", "epoch").alias("initial"))
+
+
+def first_ready(candidates: DataFrame, ready: str, keys: tuple[str, ...] = ("source_id", "guid")) -> tuple[DataFrame, DataFrame]:
+    """(rows at the first epoch at which a candidate is ready, its rows at the epochs before, or all if it never is).
+
+    An item that can't be decided when it appears is decided at the first poll that can, once.
+    """
+    when = candidates.where(ready).groupBy(*keys).agg(F.min("epoch").alias("decided"))
+    joined = candidates.join(when, list(keys), "left")
+    return joined.where("epoch = decided").drop("decided"), joined.where("decided is null or epoch < decided").drop("decided")
 
 
 def announce_once(observed: DataFrame, publishable: Column | None = None) -> DataFrame:

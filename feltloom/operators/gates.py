@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from feltloom.model import MAX_BODY_BYTES, MAX_PAGES
 
 MODES = ("projection", "history", "change", "announcement")
+#: How an announcement source decides; without one: once, after a silent first poll.
+POLICIES = (None, "numbers", "read_once", "window", "names")
 
 
 def validate_sources(rows: list[dict]) -> None:
@@ -24,6 +26,8 @@ def validate_sources(rows: list[dict]) -> None:
             raise ValueError(f"source {name} has no known mode")
         if (row.get("history") is not None) != (row.get("mode") == "history"):
             raise ValueError(f"source {name}: a history policy belongs to history mode")
+        if row.get("policy") not in POLICIES or row.get("policy") and row["mode"] != "announcement":
+            raise ValueError(f"source {name} has no such policy")
         if not (row.get("meta") or {}).get("title"):
             raise ValueError(f"source {name} has no title")
 

@@ -15,25 +15,35 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltloom.model import FETCH_STATE, FEED_ITEMS, KEYED_TIME, LIVE, REJECTS
+from feltloom.model import ALIASES, ANNOUNCE_STATE, FEED_ITEMS, FETCH_STATE, HELD, KEYED_TIME, LIVE, PENDING, REJECTS, TRACKS
 
-TABLES = {"feed_items": FEED_ITEMS, "live": LIVE, "first_seen": KEYED_TIME, "item_dates": KEYED_TIME, "fetch_state": FETCH_STATE, "rejects": REJECTS, "change_state": "source_id string, version int, revision bigint", "baseline": "source_id string, guid string, title string, link string, metadata string, ord int", "announced": "source_id string, guid string, name string"}
+TABLES = {"feed_items": FEED_ITEMS, "live": LIVE, "first_seen": KEYED_TIME, "item_dates": KEYED_TIME, "fetch_state": FETCH_STATE, "rejects": REJECTS, "change_state": "source_id string, version int, revision bigint", "baseline": "source_id string, guid string, title string, link string, metadata string, ord int", "announced": "source_id string, guid string, name string", "announce_state": ANNOUNCE_STATE, "aliases": ALIASES, "tracks": TRACKS, "held": HELD, "pending": PENDING}
 
 #: Commits whose tables stay readable.
 KEPT = 20
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, in a form that the optimizer sees through: joins and unions with it go."""
+    return spark.createDataFrame([], schema).limit(0)
+
+
 class Store:
     """Versioned tables under ``path``; absent tables are empty, absent columns null."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.cuts = spark, path.rstrip("/"), []
+        self._read_at: dict | None = None
 
     def _fs(self):
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
+    def refresh(self) -> None:
+        """Go by the manifest that is the last one now; until the next commit or refresh all reads go by it, so a poll never mixes versions."""
+        self._read_at = self.manifest()
+
     def manifest(self) -> dict:
         """Of the last commit: number, batch, tables (name to directory)."""
         fs, folder = self._fs()
@@ -52,11 +62,12 @@ class Store:
             stream.close()
 
     def table(self, name: str) -> DataFrame:
-        folder = self.manifest()["tables"].get(name)
-        schema = self.spark.createDataFrame([], TABLES[name]).schema
+        if self._read_at is None:
+            self.refresh()
+        folder = self._read_at["tables"].get(name)
         if folder is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+            return empty(self.spark, TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{folder}")
 
     def cut(self, frame: DataFrame) -> DataFrame:
         """``frame``, written beside the tables until the next commit has ended: work that a commit's tables share is done once."""
@@ -76,12 +87,15 @@ class Store:
 
     def _commit(self, tables: dict[str, DataFrame], batch: int | None) -> bool:
         now = self.manifest()
+        if self._read_at is not None and self._read_at["number"] != now["number"]:
+            self._read_at = None
+            raise RuntimeError("another writer committed since these tables were read")
         if batch is not None and now["batch"] is not None and batch <= now["batch"]:
             return False
         folders = dict(now["tables"])
         for name, frame in tables.items():
             folder = f"{name}/v{now['number'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-            columns = [f.name for f in self.spark.createDataFrame([], TABLES[name]).schema.fields]
+            columns = [c.split()[0] for c in TABLES[name].split(", ")]
             frame.select(*columns).write.parquet(f"{self.path}/{folder}")
             folders[name] = folder
         fs, folder = self._fs()
@@ -95,6 +109,7 @@ class Store:
         finally:
             stream.close()
         self._publish(fs, draft, target)
+        self._read_at = None
         self._retire(fs, folder)
         return True
 

@@ -18,6 +18,7 @@ from feltloom.operators.projection import keep_first
 from feltloom.sources import html
 
 KEYS = ("source_id", "epoch")
+ITEM = ("source_id", "guid")
 
 # Hosts, paths and patterns of the registered sites.
 CHAPTER_HOST, CHAPTER_PATH = "tcbonepiecechapters.com", r"^/chapters/\d+/one-piece-chapter-(\d+)(?:-review-\d+)?$"
@@ -342,19 +343,20 @@ def films(pages: DataFrame) -> DataFrame:
     return _first_of(_observations(found, guid=F.concat(F.lit("visionario:film:"), F.col("slug")), title=F.col("title"), link=F.concat(F.lit(f"https://{FILM_HOST}/films/"), F.col("slug"), F.lit("/"))))
 
 
-def film_notes(pages: DataFrame) -> DataFrame:
-    """guid, kind, opening, halls, reason from films' own pages (columns source_id, guid, body); reason says why one is unreadable."""
+def film_notes(pages: DataFrame, *keys: str) -> DataFrame:
+    """The keys (source_id, guid unless given), kind, opening, halls, reason from films' own pages (columns: keys, body); reason says why one is unreadable."""
+    keys = keys or ITEM
     tags = ("div", "span", "p", "a", "li", "h1", "h2", "h3", "h4", "strong", "em", "section")
-    nodes = html.elements(html.dom_nodes(pages, "body", "source_id", "guid", text_of=tags)).withColumn("said", text.collapse_space(F.coalesce("text", F.lit(""))))
+    nodes = html.elements(html.dom_nodes(pages, "body", *keys, text_of=tags)).withColumn("said", text.collapse_space(F.coalesce("text", F.lit(""))))
     of = lambda cls: F.transform(F.array_sort(F.collect_list(F.when(html.has_class(cls) & (F.col("said") != ""), F.struct("pos", "said")))), lambda x: x["said"])
-    one = nodes.groupBy("source_id", "guid").agg(of("primaVisione").alias("badges"), of("inizio").alias("openings"), of("innerInfo").alias("infos"))
+    one = nodes.groupBy(*keys).agg(of("primaVisione").alias("badges"), of("inizio").alias("openings"), of("innerInfo").alias("infos"))
     badge = arrays.single_value(F.transform("badges", F.lower))
     kind = F.when(badge.contains("prima visione") | badge.contains("anteprima"), "release").when(badge.contains("evento"), "event")
     opening = arrays.single_value(F.col("openings"))
     halls = arrays.kept_in_order(F.transform("infos", lambda x: F.when(x == "Cinema Centrale", "Centrale").otherwise(x)), ["Visionario", "Centrale"])
-    read = one.select("source_id", "guid", kind.alias("kind"), opening.alias("opening"), halls.alias("halls"), F.size(F.array_distinct("openings")).alias("n_openings"))
+    read = one.select(*keys, kind.alias("kind"), opening.alias("opening"), halls.alias("halls"), F.size(F.array_distinct("openings")).alias("n_openings"))
     reason = F.when(F.col("kind").isNull(), "no recognised badge").when((F.col("n_openings") > 1) | (F.col("n_openings") == 1) & ~F.col("opening").rlike(OPENING), "unrecognised opening").when((F.col("kind") == "release") & F.col("opening").isNull(), "no opening date")
-    return read.select("source_id", "guid", "kind", "opening", "halls", reason.alias("reason"))
+    return read.select(*keys, "kind", "opening", "halls", reason.alias("reason"))
 
 
 def film_description(opening: Column, halls: Column) -> Column:
@@ -383,17 +385,18 @@ def _text_without(nodes: DataFrame, roots: DataFrame, cls: str) -> DataFrame:
     return said.withColumnRenamed("of", "pos")
 
 
-def screening_notes(pages: DataFrame) -> DataFrame:
-    """guid, first_day, director, duration from films' own pages (columns source_id, guid, body); first_day is null if unreadable."""
-    nodes = html.dom_nodes(pages, "body", "source_id", "guid", text_of=("strong", "p", "div", "li", "td", "span"))
+def screening_notes(pages: DataFrame, *keys: str) -> DataFrame:
+    """The keys (source_id, guid unless given), first_day, director, duration from films' own pages (columns: keys, body); first_day is null if unreadable."""
+    keys = keys or ITEM
+    nodes = html.dom_nodes(pages, "body", *keys, text_of=("strong", "p", "div", "li", "td", "span"))
     el = html.elements(nodes)
     day = F.regexp_extract(F.try_url_decode(F.regexp_extract(html.attribute("href"), r"[?&]d=([^&#]*)", 1)), r"^\s*(\S+)", 1)
-    days = el.where("tag = 'a'").select("source_id", "guid", day.alias("d")).where("d <> ''").groupBy("source_id", "guid").agg(F.min(F.try_to_timestamp("d", F.lit("yyyy-MM-dd"))).alias("low"), F.sum(F.try_to_timestamp("d", F.lit("yyyy-MM-dd")).isNull().cast("int")).alias("bad"))
-    parents = el.select("source_id", "guid", F.col("pos").alias("parent"), F.col("text").alias("whole"))
-    labels = el.where("tag = 'strong'").withColumn("label", text.collapse_space("text")).where(F.col("label").isin("Regista:", "Durata:")).join(parents, ["source_id", "guid", "parent"])
+    days = el.where("tag = 'a'").select(*keys, day.alias("d")).where("d <> ''").groupBy(*keys).agg(F.min(F.try_to_timestamp("d", F.lit("yyyy-MM-dd"))).alias("low"), F.sum(F.try_to_timestamp("d", F.lit("yyyy-MM-dd")).isNull().cast("int")).alias("bad"))
+    parents = el.select(*keys, F.col("pos").alias("parent"), F.col("text").alias("whole"))
+    labels = el.where("tag = 'strong'").withColumn("label", text.collapse_space("text")).where(F.col("label").isin("Regista:", "Durata:")).join(parents, [*keys, "parent"])
     value = F.trim(F.substr(text.collapse_space("whole"), F.length("label") + 1))
-    first = labels.groupBy("source_id", "guid").agg(F.min_by(F.when(F.col("label") == "Regista:", value), F.when(F.col("label") == "Regista:", F.col("pos"))).alias("director"), F.min_by(F.when(F.col("label") == "Durata:", value), F.when(F.col("label") == "Durata:", F.col("pos"))).alias("duration"))
-    return days.join(first, ["source_id", "guid"], "left").select("source_id", "guid", F.when(F.col("bad") == 0, F.to_date("low")).alias("first_day"), "director", "duration")
+    first = labels.groupBy(*keys).agg(F.min_by(F.when(F.col("label") == "Regista:", value), F.when(F.col("label") == "Regista:", F.col("pos"))).alias("director"), F.min_by(F.when(F.col("label") == "Durata:", value), F.when(F.col("label") == "Durata:", F.col("pos"))).alias("duration"))
+    return days.join(first, list(keys), "left").select(*keys, F.when(F.col("bad") == 0, F.to_date("low")).alias("first_day"), "director", "duration")
 
 
 def screening_description(first_day: Column, director: Column, duration: Column) -> Column:
@@ -473,11 +476,12 @@ def releases(pages: DataFrame) -> DataFrame:
 _PLAYER = "struct<album_id:bigint,artist:string,album_title:string,tracks:array<struct<id:bigint,artist:string,title:string>>>"
 
 
-def players(pages: DataFrame) -> DataFrame:
-    """source_id, guid, album_id, artist, album_title, tracks from player pages: JSON in the first data attribute."""
-    nodes = html.dom_nodes(pages, "body", "source_id", "guid")
-    first = html.first_element(html.elements(nodes).where(html.attribute("data-player-data") != ""), "source_id", "guid")
-    return first.select("source_id", "guid", F.from_json(html.attribute("data-player-data"), _PLAYER).alias("p")).where("p is not null").select("source_id", "guid", "p.*")
+def players(pages: DataFrame, *keys: str) -> DataFrame:
+    """The keys (source_id, guid unless given), album_id, artist, album_title, tracks from player pages: JSON in the first data attribute."""
+    keys = keys or ITEM
+    nodes = html.dom_nodes(pages, "body", *keys)
+    first = html.first_element(html.elements(nodes).where(html.attribute("data-player-data") != ""), *keys)
+    return first.select(*keys, F.from_json(html.attribute("data-player-data"), _PLAYER).alias("p")).where("p is not null").select(*keys, "p.*")
 
 
 def resolve_players(items: DataFrame, read: DataFrame) -> DataFrame:
@@ -493,7 +497,8 @@ def resolve_players(items: DataFrame, read: DataFrame) -> DataFrame:
     )
     artist, album = F.btrim(F.coalesce("artist", F.lit(""))), F.btrim(F.coalesce("album_title", F.lit("")))
     named = needs & known & (artist != "") & (album != "")
-    single = F.concat(F.coalesce(F.nullif(artist, F.lit("")), F.btrim(track["artist"])), F.lit(" — "), F.btrim(track["title"]))
+    filled = lambda c: F.nullif(F.btrim(c), F.lit(""))
+    single = F.concat(F.coalesce(filled(artist), filled(track["artist"])), F.lit(" — "), filled(track["title"]))
     guid = F.when((F.col("r.kind") == "track") & known & reason.isNull(), release_guid(F.lit("album"), F.col("album_id").cast("string"))).otherwise(F.col("guid"))
     title = F.when(named, F.concat(artist, F.lit(" — "), album)).when((F.col("r.kind") == "track") & ~known, F.coalesce(single, F.col("title"))).otherwise(F.col("title"))
     names = F.when(F.col("r.kind") == "named", F.array("r.id")).when(named, text.album_names(artist, album)).otherwise(F.array().cast("array<string>"))

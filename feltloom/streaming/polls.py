@@ -7,15 +7,17 @@ was announced, dates of items' own pages, rejects, validators and extraction ver
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feltloom.model import ITEM_LOG
 from feltloom.operators import gates, rebuild, sinks
 from feltloom.plans import flows
 from feltloom.sources import pages
-from feltloom.streaming import driver
+from feltloom.streaming import announcements, driver
 
 KEYS = ["source_id", "epoch"]
 ITEM_KEYS = ["source_id", "guid"]
@@ -29,8 +31,10 @@ def observations(log: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame
     fits, _ = pages.bounded(log)
     read = fits.where("status = 200")
     found = reduce(DataFrame.unionByName, [extract(read.where(F.col("source_id") == name)) for name, extract in flows.FLOWS.items() if name in names])
-    numbered = flows.recommendation_pages(read.where("source_id = 'seadex'"))
-    broken = gates.pages_complete(numbered).where("not complete").select(*KEYS).union(numbered.where("not coalesce(sound, false)").select(*KEYS)).distinct()
+    broken = None
+    if "seadex" in names:
+        numbered = flows.recommendation_pages(read.where("source_id = 'seadex'"))
+        broken = gates.pages_complete(numbered).where("not complete").select(*KEYS).union(numbered.where("not coalesce(sound, false)").select(*KEYS)).distinct()
     good = gates.successful_epochs(log, found, broken)
     at = log.groupBy(*KEYS).agg(F.min("fetched_at").alias("observed_at"))
     return found.join(good, KEYS, "left_semi").join(at, KEYS), good
@@ -72,16 +76,27 @@ def fetch_state(stored: DataFrame, log: DataFrame, good: DataFrame, sources: Dat
     return joined.select("source_id", kept("etag"), kept("last_modified"), F.coalesce("made", "old").cast("int").alias("extract_version"))
 
 
-def poll(store: sinks.Store, log: DataFrame, sources: DataFrame, batch: int | None = None, page_dates: DataFrame | None = None, rejects: DataFrame | None = None) -> bool:
+def announcing(sources: DataFrame) -> DataFrame:
+    """source_id, policy of the announcement sources."""
+    return sources.where("mode = 'announcement'").select(F.col("id").alias("source_id"), "policy")
+
+
+def poll(store: sinks.Store, log: DataFrame, sources: DataFrame, batch: int | None = None, page_dates: DataFrame | None = None, rejects: DataFrame | None = None, item_log: DataFrame | None = None, observed: tuple[DataFrame, DataFrame] | None = None, made: tuple | None = None) -> bool:
     """Commit a page log's epochs. False if ``batch`` was committed before.
 
     ``sources``: the registry. ``page_dates`` (source_id, guid, ts): dates read on items' own pages; ``rejects``: items
-    set aside before, which are committed beside bodies out of bounds.
+    set aside before, which are committed beside bodies out of bounds; ``item_log``: responses of the pages that
+    ``poll_cycle`` asked for; ``observed`` and ``made``: the log's observations and what announcements make of them, if
+    that is known. A poll one of whose item pages was throttled counts as failed.
     """
     mode_of = sources.select(F.col("id").alias("source_id"), "mode")
-    found, good = observations(log, [r.id for r in sources.select("id").collect()])
-    good = store.cut(good)
-    found = store.cut(found)
+    configured = sources.select("id", "mode").collect()
+    found, good = observed or observations(log, [r.id for r in configured])
+    if item_log is not None:
+        waits = announcements.throttled_epochs(item_log)
+        good, found = good.join(waits, KEYS, "left_anti"), found.join(waits, KEYS, "left_anti")
+    if observed is None or item_log is not None:
+        good, found = store.cut(good), store.cut(found)
     stored, items = store.table("fetch_state"), store.table("feed_items")
     stale = rebuild.needs_rebuild(stored, sources).where(F.col("id").isin(BOARDS)).select(F.col("id").alias("source_id"))
     dates = store.table("item_dates")
@@ -89,20 +104,44 @@ def poll(store: sinks.Store, log: DataFrame, sources: DataFrame, batch: int | No
         dates = sinks.upsert(dates, page_dates.select(*ITEM_KEYS, "ts"), ITEM_KEYS)
     # Each mode has its own sources, so its step sees and gives back these sources' items alone.
     tables, parts = {}, [items.join(mode_of, "source_id", "left_anti")]
-    for mode, options in {
-        "projection": {},
-        "history": {"rebuilt": rebuilt_threads(items.join(stale, "source_id", "left_semi"))},
-        "change": {"versions": sources.select(F.col("id").alias("source_id"), F.col("extract_version").alias("version"))},
-        "announcement": {},
-    }.items():
+    options_of = {
+        "projection": dict,
+        "history": lambda: {"rebuilt": rebuilt_threads(items.join(stale, "source_id", "left_semi"))},
+        "change": lambda: {"versions": sources.select(F.col("id").alias("source_id"), F.col("extract_version").alias("version"))},
+        "announcement": lambda: {"policies": announcing(sources), "item_log": item_log, "made": made},
+    }
+    for mode in [m for m in options_of if m in {r.mode for r in configured}]:
         own = mode_of.where(F.col("mode") == mode).select("source_id")
         draft = sinks.Draft(store, {"feed_items": items.join(own, "source_id", "left_semi"), "item_dates": dates})
-        driver.STEPS[mode](draft, found.join(own, "source_id", "left_semi"), batch, **options)
+        STEPS[mode](draft, found.join(own, "source_id", "left_semi"), batch, **options_of[mode]())
         parts.append(draft.changed["feed_items"].select(*driver.ITEM))
-        tables |= draft.changed
+        tables |= {name: frame for name, frame in draft.changed.items() if name != "item_dates"}
     undated = found.where(F.col("source_id").isin(DATED) & F.col("pub_date").isNull()).join(dates, ITEM_KEYS, "left_anti")
     state = fetch_state(stored, log, good, sources, undated.select("source_id").distinct())
     _, large = pages.bounded(log)
     set_aside = [r.select("source_id", "epoch", "guid", "stage", "reason") for r in (large, rejects) if r is not None]
-    tables |= {"feed_items": reduce(DataFrame.unionByName, parts), "fetch_state": sinks.upsert(stored, state, ["source_id"]), "rejects": reduce(DataFrame.unionByName, set_aside, store.table("rejects"))}
+    tables |= {"feed_items": reduce(DataFrame.unionByName, parts), "fetch_state": sinks.upsert(stored, state, ["source_id"]), "rejects": reduce(DataFrame.unionByName, set_aside, tables.get("rejects", store.table("rejects")))}
+    if page_dates is not None:
+        tables["item_dates"] = dates
     return store.commit(tables, batch)
+
+
+#: The steps of a poll cycle: announcement sources go by their policies here.
+STEPS = driver.STEPS | {"announcement": announcements.step}
+
+
+def poll_cycle(store: sinks.Store, read: Callable[[DataFrame], DataFrame], log: DataFrame, sources: DataFrame, batch: int | None = None) -> bool:
+    """A poll with all that follows from it: item pages are asked for until no decision lacks one, then all is committed.
+
+    ``read`` takes requests (source_id, epoch, guid, purpose, url) and gives their responses as ``ITEM_LOG``. What it
+    can't read is set aside, so each round asks for pages that were not asked for before, and the rounds end.
+    """
+    own, item_log = announcing(sources), sinks.empty(store.spark, ITEM_LOG)
+    found, good = (store.cut(x) for x in observations(log, [r.id for r in sources.select("id").collect()]))
+    announced = found.join(own, "source_id", "left_semi")
+    while True:
+        made = announcements.outcomes(store, announced, own, item_log)
+        wanted = store.cut(announcements.lacking(made[1], item_log))
+        if wanted.isEmpty():
+            return poll(store, log, sources, batch, item_log=item_log, observed=(found, good), made=made)
+        item_log = store.cut(item_log.unionByName(read(wanted)))
