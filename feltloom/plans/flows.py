@@ -377,12 +377,7 @@ def screenings(pages: DataFrame) -> DataFrame:
 
 def _text_without(nodes: DataFrame, roots: DataFrame, cls: str) -> DataFrame:
     """source_id, epoch, pos, content: text below each root, but for that of elements of a class."""
-    spans = roots.select(*KEYS, F.col("pos").alias("of"), F.col("subtree_end").alias("until"))
-    out = html.elements(nodes, cls=cls).select(*KEYS, F.col("pos").alias("x"), F.col("subtree_end").alias("x_end"))
-    texts = nodes.where("kind = 'text'").select(*KEYS, "pos", "text").join(spans, list(KEYS)).where("pos between of and until")
-    kept = texts.join(out, (texts.source_id == out.source_id) & (texts.epoch == out.epoch) & F.col("pos").between(F.col("x"), F.col("x_end")), "left_anti")
-    said = kept.groupBy(*KEYS, "of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), "").alias("content"))
-    return said.withColumnRenamed("of", "pos")
+    return html.subtree_text(nodes, roots, *KEYS, without=html.elements(nodes, cls=cls)).withColumnRenamed("of", "pos")
 
 
 def screening_notes(pages: DataFrame, *keys: str) -> DataFrame:

@@ -244,12 +244,40 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.collapse_space(title).alias("title"))
 
 
-@query()
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def _plain(html: str) -> str:
+    """SQL for the text of a piece of markup without comments and scripts."""
+    sql = f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+    for entity, plain in _ENTITIES:
+        sql = f"replace({sql}, '{entity}', '{plain}')"
+    return f"trim(regexp_replace({sql}, '[\\s\\p{{Z}}\\x{{0085}}\\x0b]+', ' ', 'g'))"
+
+
+@query(f"""SELECT page_id, {_plain("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS content FROM pages WHERE contains(html, '<article>')""")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of each page's article from the tree, paragraph texts in order (a tree walk: no SQL form)."""
+    """Text of each page's article from the tree, in order: a sweep over the nodes."""
     nodes = html.dom_nodes(table(spark, sf_dir, "pages"), "html", "page_id")
     found = html.subtree_text(nodes, html.elements(nodes, "article"), "page_id")
-    return found.select("page_id", F.col("of").alias("pos"), text.collapse_space("content").alias("content"))
+    return found.select("page_id", text.collapse_space("content").alias("content"))
+
+
+@query(f"""SELECT page_id, CAST(n AS INT) AS n, md5({_plain("said")}) AS said FROM (
+    SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1)) AS said, generate_subscripts(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1), 1) AS n FROM pages)""")
+def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each anchor of a page says, in document order."""
+    found = html.links(html.dom_nodes(table(spark, sf_dir, "pages"), "html", "page_id"), "page_id")
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return found.select("page_id", number.alias("n"), F.md5("content").alias("said"))
+
+
+@query(f"""SELECT page_id, {_plain("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<a [^>]*>.*?</a>', '', 'g')")} AS content FROM pages WHERE contains(html, '<article>')""")
+def page_text_without(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article's text but for what its anchors say."""
+    nodes = html.dom_nodes(table(spark, sf_dir, "pages"), "html", "page_id")
+    found = html.subtree_text(nodes, html.elements(nodes, "article"), "page_id", without=html.elements(nodes, "a"))
+    return found.select("page_id", text.collapse_space("content").alias("content"))
 
 
 @query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS p, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS li,

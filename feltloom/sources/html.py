@@ -3,89 +3,101 @@
 ``dom_nodes`` parses whole batches of pages in one Arrow pass; ``parse_html`` is the same as a table
 function for SQL. Nodes carry their place, parent and the end of their subtree, so that selections are
 plain filters and joins. End tags that HTML lets one leave out are implied for p, li, dt, dd, option and
-table parts; nothing is moved out of tables.
+table parts; nothing is moved out of tables. Elements more than ``MAX_DEPTH`` deep stand beside each other at that
+depth, as in browsers, so a page's tree takes time in proportion to its length.
+
+Texts below elements are found by a sweep: one running sum over a page's nodes in document order gives each element its
+span of the page's text, and the spans are cut out of it where the page is one row.
 """
 
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feltloom.functions.text import collapse_space
 from feltloom.model import DOM_NODES
+from feltloom.sources.scan import Scanner
 
 # Elements without content, those that end an open paragraph, implied ends.
+MAX_DEPTH = 512
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr"}, {"table"})}
 
 
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+class _Tree:
+    """Nodes of a page in one pass. Where an element of a tag is open is known by tag, so no end looks through all that is open."""
+
+    def __init__(self, page: str, text_of: frozenset):
         self.nodes: list[list] = []  # pos, parent, subtree_end, depth, kind, tag, attrs, text
-        self.open: list[int] = []
+        self.open: list[int] = []  # their positions
+        self.places: dict[str, list[int]] = defaultdict(list)  # by tag: places in ``open``
+        self.said: list[str] = []  # texts; nodes note where theirs ends, ``from_`` where it begins
+        self.length, self.text_of, self.from_ = 0, text_of, {}
+        joins = False
+        for kind, name, attrs in Scanner(page).events():
+            if kind == "text":
+                self._text(name, joins)
+            elif kind == "start":
+                self._start(name, attrs)
+            elif kind == "end" and self.places[name]:
+                self._close(self.places[name][-1])
+            joins = kind == "text"
+        self._close(0)
+        whole = "".join(self.said)
+        for pos, start in self.from_.items():
+            self.nodes[pos][7] = whole[start : self.nodes[pos][7]]
 
     def _add(self, kind: str, tag: str | None, attrs: dict | None, text: str | None) -> int:
         pos = len(self.nodes)
         self.nodes.append([pos, self.open[-1] if self.open else -1, pos, len(self.open), kind, tag, attrs, text])
         return pos
 
-    def _close(self, to: int) -> None:
-        while len(self.open) > to:
-            self.nodes[self.open.pop()][2] = len(self.nodes) - 1
-
-    def _end_open(self, ends: set, within: set) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            tag = self.nodes[self.open[i]][5]
-            if tag in ends:
-                self._close(i)
-                return
-            if tag in within:
-                return
-
-    def handle_starttag(self, tag, attrs):
+    def _text(self, text: str, joins: bool) -> None:
+        if not joins:
+            self.from_[self._add("text", None, None, None)] = self.length
+        self.said.append(text)
+        self.length += len(text)
+        self.nodes[-1][7] = self.length
+
+    def _start(self, tag: str, attrs: dict) -> None:
         if tag in ENDS_P:
-            self._end_open({"p"}, {"table", "td", "button"})
+            self._end_open(("p",), ("table", "td", "button"))
         if tag in SAME:
             self._end_open(*SAME[tag])
-        found: dict = {}
-        for name, value in attrs:
-            found.setdefault(name, value or "")
-        pos = self._add("element", tag, found, None)
-        if tag not in VOID:
+        pos = self._add("element", tag, attrs, None)
+        if tag in self.text_of:
+            self.from_[pos] = self.length
+            self.nodes[pos][7] = self.length
+        if tag not in VOID and len(self.open) < MAX_DEPTH:
+            self.places[tag].append(len(self.open))
             self.open.append(pos)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[i]][5] == tag:
-                self._close(i)
-                return
+    def _end_open(self, ends: Iterable[str], within: Iterable[str]) -> None:
+        last = lambda tags: max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+        at = last(ends)
+        if at > last(within):
+            self._close(at)
 
-    def handle_data(self, data):
-        self._add("text", None, None, data)
+    def _close(self, to: int) -> None:
+        while len(self.open) > to:
+            node = self.nodes[self.open.pop()]
+            self.places[node[5]].pop()
+            node[2] = len(self.nodes) - 1
+            if node[0] in self.from_:
+                node[7] = self.length
 
 
 def parse(page: str | None, text_of: frozenset = frozenset()) -> list[tuple]:
     """Nodes of a page; elements of the tags ``text_of`` carry the text below them."""
-    tree = _Tree()
-    tree.feed(page or "")
-    tree.close()
-    tree._close(0)
-    if text_of:
-        for n in tree.nodes:
-            if n[5] in text_of:
-                n[7] = "".join(x[7] for x in tree.nodes[n[0] : n[2] + 1] if x[4] == "text")
-    return [tuple(n) for n in tree.nodes]
+    return [tuple(n) for n in _Tree(page or "", text_of).nodes]
 
 
 def importable(spark: SparkSession) -> None:
@@ -168,20 +180,30 @@ def children(nodes: DataFrame, parents: DataFrame, key: str, tag: str) -> DataFr
     return nodes.where((F.col("kind") == "element") & (F.col("tag") == tag)).join(parents.select(key, F.col("pos").alias("of")), (nodes[key] == parents[key]) & (F.col("parent") == F.col("of"))).drop(parents[key])
 
 
-def within(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    """Nodes inside given elements, with ``of``, the element's place. Equal on the page, so it is no range join at large."""
-    spans = roots.select(F.col(key).alias("of_key"), F.col("pos").alias("of"), F.col("subtree_end").alias("until"))
-    return nodes.join(spans, (F.col(key) == F.col("of_key")) & F.col("pos").between(F.col("of"), F.col("until"))).drop("of_key", "until")
+def covered(nodes: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
+    """Nodes with ``covered``: whether they stand within one of ``spans`` (keys, pos, subtree_end), by a running maximum of ends."""
+    ends = spans.select(*keys, "pos", F.col("subtree_end").alias("ends"))
+    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = nodes.join(ends, [*keys, "pos"], "left").withColumn("ends", F.max("ends").over(upto))
+    return marked.withColumn("covered", F.coalesce(F.col("ends") >= F.col("pos"), F.lit(False))).drop("ends")
 
 
-def subtree_text(nodes: DataFrame, roots: DataFrame, key: str, without: DataFrame | None = None) -> DataFrame:
-    """key, of, content: the text below each element as written; ``without``: elements whose text is left out."""
-    texts = within(nodes.where("kind = 'text'"), roots, key)
+def subtree_text(nodes: DataFrame, roots: DataFrame, *keys: str, without: DataFrame | None = None) -> DataFrame:
+    """keys, of, content: the text below each element as written; ``without``: elements whose text is left out."""
+    said = F.when(F.col("kind") == "text", F.col("text"))
+    thin = nodes.select(*keys, "pos", "kind", "text")
     if without is not None:
-        spans = without.select(F.col(key).alias("x_key"), F.col("pos").alias("x_from"), F.col("subtree_end").alias("x_to"))
-        texts = texts.join(spans, (F.col(key) == F.col("x_key")) & F.col("pos").between(F.col("x_from"), F.col("x_to")), "left_anti")
-    grouped = texts.groupBy(key, "of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("content"))
-    return roots.select(F.col(key), F.col("pos").alias("of")).join(grouped, [key, "of"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+        thin, said = covered(thin, without, *keys), F.when((F.col("kind") == "text") & ~F.col("covered"), F.col("text"))
+    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    measured = thin.select(*keys, "pos", said.alias("said")).withColumn("start", F.coalesce(F.sum(F.octet_length("said")).over(before), F.lit(0)))
+    starts = roots.select(*keys, "pos", "subtree_end").join(measured.select(*keys, "pos", "start"), [*keys, "pos"])
+    ends = measured.select(*keys, F.col("pos").alias("subtree_end"), (F.col("start") + F.coalesce(F.octet_length("said"), F.lit(0))).alias("stop"))
+    spans = starts.join(ends, [*keys, "subtree_end"]).groupBy(*keys).agg(F.collect_list(F.struct("pos", "start", "stop")).alias("spans"))
+    whole = measured.where("said is not null").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "").cast("binary").alias("whole"))
+    cut = lambda s: F.substring(F.col("whole"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")).cast("string")
+    page = spans.join(whole, list(keys), "left")
+    each = page.select(*keys, F.explode(F.transform("spans", lambda s: F.struct(s["pos"].alias("of"), F.coalesce(cut(s), F.lit("")).alias("content")))).alias("e"))
+    return each.select(*keys, "e.*")
 
 
 def links(nodes: DataFrame, key: str) -> DataFrame:

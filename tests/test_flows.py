@@ -24,7 +24,7 @@ def test_nodes_and_selections(spark):
     lists = html.children(nodes, html.elements(nodes, "ul"), "id", "li")
     assert lists.count() == 2
     assert [(r.href, r.content) for r in html.links(nodes, "id").collect()] == [("/x?y=1&z", "link bold")]
-    texts = html.subtree_text(nodes, html.elements(nodes, "p"), "id", html.elements(nodes, cls="c"))
+    texts = html.subtree_text(nodes, html.elements(nodes, "p"), "id", without=html.elements(nodes, cls="c"))
     assert [r.content for r in texts.orderBy("of").collect()] == ["p1", ""]
     html.register(spark)
     frame.createOrReplaceTempView("pages_in")
