@@ -110,3 +110,15 @@ def every_batch_read(requested: DataFrame, read: DataFrame) -> DataFrame:
 def same_identity(before: Column, after: Column) -> Column:
     """``after``; reading it fails if enrichment changed an identity."""
     return F.when(before.eqNullSafe(after), after).otherwise(F.raise_error(F.concat(F.lit("enrichment changes the identity "), before)))
+
+
+def pending_queue(stored: DataFrame, wanted: DataFrame, polled: DataFrame) -> DataFrame:
+    """The pending pages after some polls: those that the last poll of a source lacked, with the polls that lacked them in a row.
+
+    Sources that were not polled keep theirs; what a later poll had, or what left its page, is no longer asked for.
+    """
+    last = polled.groupBy("source_id").agg(F.max("epoch").alias("epoch"))
+    tries = wanted.groupBy("source_id", "guid").agg(F.countDistinct("epoch").cast("int").alias("tries"), F.max_by(F.struct("purpose", "url"), "epoch").alias("page"), F.max("epoch").alias("epoch"))
+    still = tries.join(last, ["source_id", "epoch"], "left_semi").join(stored.select("source_id", "guid", F.col("attempts").alias("before")), ["source_id", "guid"], "left")
+    now = still.select("source_id", "guid", "page.purpose", "page.url", (F.coalesce("before", F.lit(0)) + F.col("tries")).alias("attempts"), "epoch")
+    return stored.join(last.select("source_id"), "source_id", "left_anti").unionByName(now)

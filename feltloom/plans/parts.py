@@ -175,3 +175,71 @@ def minus_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     ready, _ = announce.quarantine(rows, F.col("o_orderstatus") == "P", "metadata", F.lit("unreadable"))
     return ready.select("o_orderkey")
+
+_POLLS = """SELECT l_suppkey AS source_id, CAST(l_partkey AS VARCHAR) AS guid, 12 * year(l_shipdate) + month(l_shipdate) AS epoch, date_trunc('month', l_shipdate)::DATE AS today,
+    bool_or(l_returnflag <> 'N') AS readable, bool_or(l_linestatus = 'O') AS release, min(l_shipdate::DATE + CAST(l_quantity AS INT)) AS first_day
+    FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY ALL"""
+
+
+def _polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments of suppliers as monthly polls: parts are items, and a return says that the item's page could be read."""
+    lines = table(spark, sf_dir, "lineitem").where("l_shipdate is not null")
+    month = (12 * F.year("l_shipdate") + F.month("l_shipdate")).alias("epoch")
+    day = F.to_date("l_shipdate")
+    return lines.groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").cast("string").alias("guid"), month, F.trunc(day, "MM").alias("today")).agg(
+        F.bool_or(F.col("l_returnflag") != "N").alias("readable"), F.bool_or(F.col("l_linestatus") == "O").alias("release"), F.min(F.date_add(day, F.col("l_quantity").cast("int"))).alias("first_day")
+    )
+
+
+@query(f"""
+    WITH p AS ({_POLLS}), b AS (SELECT source_id, min(epoch) AS baseline FROM p GROUP BY 1),
+    n AS (SELECT p.* FROM p JOIN b USING (source_id) WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.source_id = p.source_id AND q.guid = p.guid AND q.epoch = b.baseline)),
+    d AS (SELECT source_id, guid, min(epoch) FILTER (WHERE readable) AS decided FROM n GROUP BY 1, 2)
+    SELECT n.source_id, n.guid, CAST(n.epoch AS INT) AS epoch, CASE WHEN epoch IS DISTINCT FROM decided THEN 'waits' WHEN release THEN 'announced' ELSE 'remembered' END AS outcome
+    FROM n JOIN d ON n.source_id = d.source_id AND n.guid = d.guid WHERE decided IS NULL OR epoch <= decided""")
+def announce_read_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that wait until a poll can read their page: then announced, or remembered silently, once."""
+    polled = _polls(spark, sf_dir)
+    begins = polled.groupBy("source_id").agg(F.min("epoch").alias("epoch"))
+    silent = polled.join(begins, ["source_id", "epoch"], "left_semi").select("source_id", "guid")
+    decided, waiting = announce.first_ready(announce.unannounced(polled, silent, ["source_id", "guid"]), "readable")
+    outcome = F.when(F.col("release"), "announced").otherwise("remembered").alias("outcome")
+    return decided.select("source_id", "guid", "epoch", outcome).unionByName(waiting.select("source_id", "guid", "epoch", F.lit("waits").alias("outcome")))
+
+
+@query(f"""
+    WITH p AS ({_POLLS}), l AS (SELECT source_id, max(epoch) AS last FROM p GROUP BY 1),
+    r AS (SELECT *, readable AND first_day <= today + 14 AS ready FROM p), d AS (SELECT source_id, guid, min(epoch) FILTER (WHERE ready) AS decided FROM r GROUP BY 1, 2)
+    SELECT r.source_id, r.guid, CAST(r.epoch AS INT) AS epoch, CASE WHEN epoch = decided THEN 'announced' WHEN NOT readable THEN 'unread' WHEN epoch = last THEN 'held' ELSE 'passed' END AS outcome
+    FROM r JOIN d ON r.source_id = d.source_id AND r.guid = d.guid JOIN l ON r.source_id = l.source_id WHERE decided IS NULL OR epoch <= decided""")
+def announce_window_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items announced at the first poll that reads a near first day; what the last poll leaves is held."""
+    polled = _polls(spark, sf_dir).withColumn("ready", F.col("readable") & (F.col("first_day") <= F.date_add("today", 14)))
+    decided, waiting = announce.first_ready(polled, "ready")
+    last = polled.groupBy("source_id").agg(F.max("epoch").alias("last"))
+    outcome = F.when(~F.col("readable"), "unread").when(F.col("epoch") == F.col("last"), "held").otherwise("passed").alias("outcome")
+    return decided.select("source_id", "guid", "epoch", F.lit("announced").alias("outcome")).unionByName(waiting.join(last, "source_id").select("source_id", "guid", "epoch", outcome))
+
+
+@query(f"""
+    WITH p AS ({_POLLS}), l AS (SELECT source_id, max(epoch) AS epoch FROM p GROUP BY 1), u AS (SELECT source_id, guid, count(DISTINCT epoch) AS tries, max(epoch) AS epoch FROM p WHERE NOT readable GROUP BY 1, 2)
+    SELECT u.source_id, u.guid, 'https://shop/' || u.guid AS url, CAST(tries + CASE WHEN CAST(u.guid AS BIGINT) % 2 = 0 THEN 3 ELSE 0 END AS INT) AS attempts FROM u JOIN l ON u.source_id = l.source_id AND u.epoch = l.epoch""")
+def pending_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue of item pages after all polls, on top of one from before that had every second part three times."""
+    polled = _polls(spark, sf_dir)
+    wanted = polled.where(~F.col("readable")).select("source_id", "epoch", "guid", F.lit("identity").alias("purpose"), F.concat(F.lit("https://shop/"), "guid").alias("url"))
+    before = polled.select("source_id", "guid").distinct().where("cast(guid as bigint) % 2 = 0").select("source_id", "guid", F.lit("identity").alias("purpose"), F.lit("").alias("url"), F.lit(3).alias("attempts"), F.lit(0).alias("epoch"))
+    return announce.pending_queue(before, wanted, polled).select("source_id", "guid", "url", "attempts")
+
+
+@query("""
+    WITH s AS (SELECT vendor_id AS source_id, strftime(shipped_at, '%Y%m%d')::INT AS epoch, item_id AS number FROM sale_lines WHERE vendor_id IS NOT NULL AND shipped_at IS NOT NULL AND item_id IS NOT NULL),
+    i AS (SELECT source_id, min(epoch) AS epoch, max(number) AS initial FROM s SEMI JOIN (SELECT source_id, min(epoch) AS epoch FROM s GROUP BY 1) USING (source_id, epoch) GROUP BY 1),
+    k AS (SELECT source_id, CASE WHEN source_id % 3 = 0 THEN 5 ELSE initial END AS initial, CASE WHEN source_id % 3 = 0 THEN NULL ELSE epoch END AS baseline FROM i)
+    SELECT s.source_id, s.number, min(s.epoch) AS epoch FROM s JOIN k USING (source_id) GROUP BY s.source_id, s.number, initial, baseline HAVING number > initial OR number = initial AND min(s.epoch) = baseline""")
+def announce_numbers_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of vendors by number, where every third vendor was polled before and began at five."""
+    lines = table(spark, sf_dir, "sale_lines").where("vendor_id is not null and shipped_at is not null and item_id is not null")
+    seen = lines.select(F.col("vendor_id").alias("source_id"), F.date_format("shipped_at", "yyyyMMdd").cast("int").alias("epoch"), F.col("item_id").alias("number"))
+    before = seen.select("source_id").distinct().where("source_id % 3 = 0").withColumn("initial", F.lit(5).cast("bigint"))
+    return announce.announce_numbers(seen, before)

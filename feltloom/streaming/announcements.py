@@ -255,21 +255,9 @@ def step(store: sinks.Store, observed: DataFrame, batch: int | None = None, poli
     tables = {
         "feed_items": sinks.insert_ignore(store.table("feed_items"), published, ITEM),
         "announced": sinks.insert_ignore(store.table("announced"), booked, ITEM),
-        "pending": queue(store.table("pending"), wanted, whole),
+        "pending": announce.pending_queue(store.table("pending"), wanted, whole),
         "rejects": store.table("rejects").unionByName(wanted.select(*_REJECTS)),
     }
     for outcome in found:
         tables |= outcome.state
     return store.commit(tables, batch)
-
-
-def queue(stored: DataFrame, wanted: DataFrame, polled: DataFrame) -> DataFrame:
-    """The pending pages after some polls: those that the last poll of a source lacked, with the polls that lacked them in a row.
-
-    Sources that were not polled keep theirs; what a later poll had, or what left its page, is no longer asked for.
-    """
-    last = polled.groupBy("source_id").agg(F.max("epoch").alias("epoch"))
-    tries = wanted.groupBy(*ITEM).agg(F.countDistinct("epoch").cast("int").alias("tries"), F.max_by(F.struct("purpose", "url"), "epoch").alias("page"), F.max("epoch").alias("epoch"))
-    still = tries.join(last, KEYS, "left_semi").join(stored.select(*ITEM, F.col("attempts").alias("before")), ITEM, "left")
-    now = still.select(*ITEM, "page.purpose", "page.url", (F.coalesce("before", F.lit(0)) + F.col("tries")).alias("attempts"), "epoch")
-    return sinks.replace_source(stored, now, last)
