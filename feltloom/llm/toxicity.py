@@ -5,7 +5,8 @@ of its character n-grams (with word borders), both hashed. Two gated recurrent u
 either end and leave two states at each word. Attention pools the states of a window of ``WINDOW`` words,
 and a logistic unit scores the window. All overlapping windows of a text are scored: one begins at every word
 (``STRIDE`` = 1), the last one ends with the text; the document's score is that of its worst window. Windows share
-the states of their words, so a window costs a difference of two running sums.
+the states of their words; a window's sums are put together from the end of one block of words and the beginning of the next. A
+text's score is the same to the last bit alone, in company and in any order.
 
 The units read a text in spans of ``SPAN`` words, each begun ``LEAD`` words early (from its own end too), from a
 state of zero: a state depends on 64 to 320 words before it, whatever the length of the text, and long texts
@@ -50,6 +51,8 @@ BUCKETS, INPUT, STATE, ATTENTION = 1 << 16, 10, 8, 8
 EPOCHS, BATCHES, BAG, BATCH, STEP = 6, 300, 2, 64, 0.05
 #: Words of a worker's cache; bytes of text scored at a time; spans read at a time.
 CACHE_WORDS, SLICE_BYTES, AT_ONCE = 150_000, 2 << 20, 2048
+#: Columns of a product come in multiples of this.
+WIDTH = 64
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,6 +98,50 @@ def pool(level: np.ndarray, valued: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return found[worst, columns], worst, np.maximum(total[worst, columns], 1e-300)
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product, its columns by the same steps whatever stands beside them, which BLAS does not promise."""
+    n = b.shape[1]
+    if n % WIDTH:
+        b = np.concatenate([b, np.zeros((len(b), padded(n) - n), b.dtype)], axis=1)
+    return np.einsum("kj,jm->km", a, np.ascontiguousarray(b))[:, :n]
+
+
+def padded(n: int) -> int:
+    """``n`` up to the next multiple of ``WIDTH``."""
+    return -(-n // WIDTH) * WIDTH
+
+
+def summed(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The weighted sum of rows, one after another in double precision."""
+    total = np.zeros(rows.shape[1])
+    for weight, row in zip(weights, rows):
+        total += float(weight) * row.astype(np.float64)
+    return total
+
+
+def worst_windows(score: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each text (``sizes`` words, at least one) the greatest value that attention pools over a window.
+
+    Attention is taken relative to the text's greatest. A window is the end of a block of ``WINDOW`` words and the
+    beginning of the next, so its sums are of its own words alone: nothing cancels, and no text enters another's.
+    """
+    base, blocks = np.cumsum(sizes) - sizes, -(-sizes // WINDOW)
+    first_block = WINDOW * (np.cumsum(blocks) - blocks)
+    places = np.repeat(first_block - base, sizes) + np.arange(len(score))
+    attention = np.exp(score - np.repeat(np.maximum.reduceat(score, base), sizes))
+    counts = np.maximum(1, sizes - WINDOW + 1)
+    ends = np.cumsum(counts)
+    begin = np.arange(ends[-1]) + np.repeat(first_block - (ends - counts), counts)
+    sums = []
+    for words in (attention, attention * value):
+        block = np.zeros(WINDOW * int(blocks.sum()))
+        block[places] = words
+        block = block.reshape(-1, WINDOW)
+        ahead, after = np.cumsum(block, axis=1).reshape(-1), np.cumsum(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+        sums.append(after[begin] + np.where(begin % WINDOW, ahead[np.minimum(begin + WINDOW - 1, len(ahead) - 1)], 0.0))
+    return np.maximum.reduceat(sums[1] / np.maximum(sums[0], 1e-300), ends - counts)
+
+
 class Network:
     """Parameters; of the gate matrices, columns are update, reset and candidate."""
 
@@ -117,8 +164,8 @@ class Network:
         return self.word[whole] + chars.astype(np.float32)
 
     def gates(self, words: list[str]) -> np.ndarray:
-        """What each word adds to the gates of both directions."""
-        return self.inputs(words) @ self.dense["into"] + self.dense["bias"]
+        """What each word adds to the gates of both directions, whatever words it is asked with."""
+        return np.ascontiguousarray(times(self.dense["into"].T, self.inputs(words).T).T) + self.dense["bias"]
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows: x (step, window, gates of both directions), mask (step, window). keep: also what back-propagation needs."""
@@ -160,7 +207,9 @@ class Network:
         return logits, states, look, weight, pooled, kept
 
     def read(self, table: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of every word of texts of ``sizes`` words: how much attention it gets (before pooling), and its state's part of a logit.
+        """Of every word of texts of ``sizes`` words: the logarithm of its attention (before pooling), and its state's part of a logit.
+
+        No text's numbers depend on the others.
 
         ``table``: what words add to the gates; ``at``: rows of it, all texts in a row.
         """
@@ -186,18 +235,20 @@ class Network:
             for k in range(0, len(order), AT_ONCE):
                 some = order[k : k + AT_ONCE]
                 length, start, early = long[some], begin[some], lead[some]
-                h = np.zeros((s, len(some)), np.float32)
+                h = np.zeros((s, padded(len(some))), np.float32)
+                rows = np.zeros(h.shape[1], at.dtype)
                 for t in range(int(length[0])):
                     m = int(np.searchsorted(-length, -t, "left"))  # spans that are longer than t
                     place = start[:m] + step * t
-                    x = np.ascontiguousarray(added[at[place]].T)
-                    h = h[:, :m]
-                    zr = gates @ h
+                    rows[:m] = at[place]
+                    x = np.ascontiguousarray(added[rows[: padded(m)]].T)
+                    h = h[:, : padded(m)]
+                    zr = times(gates, h)
                     x[: 2 * s] *= 0.5
                     zr += x[: 2 * s]
                     np.tanh(zr, out=zr)
                     zr += 1
-                    c = candidate @ (zr[s:] * h)
+                    c = times(candidate, zr[s:] * h)
                     c += x[2 * s :]
                     np.tanh(c, out=c)
                     c -= h
@@ -205,13 +256,20 @@ class Network:
                     c *= 0.5
                     h = h + c
                     if t >= LEAD:
-                        mine[:, place] = h
+                        mine[:, place] = h[:, :m]
                     else:
-                        counts = early[:m] <= t
+                        counts = np.flatnonzero(early[:m] <= t)
                         mine[:, place[counts]] = h[:, counts]
-        look = np.ascontiguousarray(d["look"].T) @ states
-        np.tanh(look, out=look)
-        return np.exp((d["query"] @ look).astype(np.float64)), d["out"] @ states
+        look = np.ascontiguousarray(d["look"].T)
+        score, value = np.empty(n), np.empty(n)
+        for k in range(0, n, AT_ONCE):
+            own = np.zeros((2 * s, padded(min(AT_ONCE, n - k))), np.float32)
+            m = min(AT_ONCE, n - k)
+            own[:, :m] = states[:, k : k + m]
+            seen = np.tanh(times(look, own))
+            score[k : k + m] = summed(d["query"], seen)[:m]
+            value[k : k + m] = summed(d["out"], own)[:m]
+        return score, value
 
     def backward(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of the mean logistic loss by the dense parameters and by x."""
@@ -286,15 +344,7 @@ class Scorer:
         if not len(full):
             return out
         at, sizes = np.concatenate([words[i] for i in full]), sizes[full]
-        level, value = self.network.read(self.table, at, sizes)
-        sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (level, level * value)]
-        base = np.cumsum(sizes) - sizes
-        counts = np.maximum(1, sizes - WINDOW + 1)
-        ends = np.cumsum(counts)
-        first = np.arange(ends[-1]) + np.repeat(base - (ends - counts), counts)
-        last = first + np.repeat(np.minimum(sizes, WINDOW), counts)
-        total, pooled = (v[last] - v[first] for v in sums)
-        out[full] += np.maximum.reduceat(pooled / total, ends - counts)
+        out[full] += worst_windows(*self.network.read(self.table, at, sizes), sizes)
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:

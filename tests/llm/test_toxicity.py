@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from feltloom.llm import toxicity as toxicity_module
-from feltloom.llm.toxicity import LEAD, SPAN, STATE, STRIDE, WINDOW, Network, Scorer, score_documents, starts, toxicity, train
+from feltloom.llm.toxicity import LEAD, SPAN, STATE, STRIDE, WINDOW, Network, Scorer, score_documents, starts, toxicity, train, worst_windows
 from feltloom.llm.language import letters
 
 from helpers import SCHEMA, make_documents
@@ -196,3 +196,35 @@ def test_carries_any_columns(spark, network):
     frame, rows = make_documents(spark)
     got = score_documents(frame, "text", network)
     assert got.columns == [*frame.columns, "tox_score"] and got.count() == len(rows)
+
+
+def test_a_score_is_the_same_in_any_company(network):
+    draw = random.Random(11)
+    texts = [t for t, _ in corpus(5, 150)] + [" ".join(draw.choices(CLEAN + BAD, k=n)) for n in (1, 3, WINDOW, 400, 3000)] + [" ".join(f"w{draw.randrange(9000)}" for _ in range(500))]
+    whole = Scorer(network).scores(texts)
+    assert (Scorer(network).scores(texts[::-1])[::-1] == whole).all()
+    assert [float(Scorer(network).scores([t])[0]) for t in texts] == whole.tolist()
+    mixed = Scorer(network)
+    assert np.concatenate([mixed.scores(texts[i : i + 7]) for i in range(0, len(texts), 7)]).tolist() == whole.tolist()
+
+
+def test_windows_pool_their_own_words_alone():
+    draw = np.random.default_rng(2)
+    sizes = np.array([1, 5, WINDOW - 1, WINDOW, WINDOW + 1, 3 * WINDOW, 700])
+    for sharp in (1, 40, 400):
+        score, value = sharp * draw.normal(size=sizes.sum()), draw.normal(size=sizes.sum())
+        got = worst_windows(score, value, sizes)
+        assert np.isfinite(got).all()
+        for n, end, found in zip(sizes, np.cumsum(sizes), got):
+            s, v = score[end - n : end], value[end - n : end]
+            weights = [np.exp(s[b : b + WINDOW] - s.max()) for b in starts(int(n))]
+            best = max(w @ v[b : b + WINDOW] / max(w.sum(), 1e-300) for b, w in zip(starts(int(n)), weights))
+            assert abs(best - found) < 1e-9
+
+
+def test_sharp_attention_gives_scores(network):
+    import copy
+
+    sharp = copy.deepcopy(network)
+    sharp.dense["query"] = sharp.dense["query"] * 60
+    assert np.isfinite(Scorer(sharp).scores([t for t, _ in corpus(3, 60)])).all()
