@@ -16,8 +16,10 @@ What the template leaves open are slots: texts that differ from page to page. Fr
 followed down as long as one element holds at least half of the open prose (text outside links); the last one
 holds the article. Headings that differ from page to page beside this way belong to it. Inside the article
 these go: elements that HTML itself sets apart (``navigation``, sidebars, forms, scripts, hidden ones ...), containers
-that say the same on every page, lists of links, and lists of records (a class that repeats with at least two
-texts to a record, like the readers' comments) that hold less than half of the prose.
+that say the same on every page, lists of links that stand once on at least nine of ten of the article's pages (if these are ``SEVERAL`` or more), and lists
+of records (a class that repeats with at least two texts to a record, like the readers' comments, but no heading of a
+section) that hold less than half of the prose. So an article's own sections and a list of its sources stay, unless the host's
+pages all have it. A form is set apart, unless it stands around the page's structure (its article, header, menu or title).
 
 A host is judged by its own pages and by one average page of all hosts: the mean of tokens that stand on at least
 half of all hosts (as bounded as above). That decides for hosts of one or two pages and hardly weighs beyond.
@@ -67,8 +69,10 @@ IMPLIED = {
 APART = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe svg canvas object embed dialog menu search audio video map".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Headings of an article's own sections: what repeats under one is no record. Elements that a form around a whole page holds.
+SECTION_HEADINGS, STRUCTURE = frozenset("h1 h2 h3".split()), frozenset("article main header footer nav h1".split())
 #: What can hold an article, what can be a part of a template within one, what can be a record.
-HOLDERS = frozenset("html body main article section div center table tbody tr td".split())
+HOLDERS = frozenset("html body main article section div center form table tbody tr td".split())
 PARTS, LISTS, RECORDS = frozenset("div section".split()), frozenset("div section ul ol table".split()), frozenset("div section article li".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -77,6 +81,9 @@ _ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=]*+)(\s*+=\s*+)?")
 _BARE = re.compile(r"[^\s>]*+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 
+#: Pages with the host's article from which on what stands once on nine of ten of them is the host's.
+SEVERAL = 3
+
 ROOT = 0
 _known: dict[tuple, tuple[int, bool]] = {}
 
@@ -177,6 +184,19 @@ def tags(page: str) -> Iterator[tuple[str, str, object]]:
             yield "end", tag, None
 
 
+def outer_forms(page: str) -> set[int]:
+    """Which forms of a page, counted from 0, hold its structure: they stand around the page and are not set apart from it."""
+    if not re.search("<form", page, re.I):
+        return set()
+    found, number, inside = set(), -1, False
+    for kind, tag, _ in tags(page):
+        if tag == "form":
+            number, inside = number + (kind == "start"), kind == "start"
+        elif inside and kind == "start" and tag in STRUCTURE:
+            found.add(number)
+    return found
+
+
 class Seen:
     """What a page says of one token."""
 
@@ -237,6 +257,7 @@ def read(page: str | None, kept: frozenset | None = None, dropped: frozenset = f
                     above[7] += last[7]
                     above[8] = (above[8] * 1_000_003 + last[8] + 1) & mask
 
+    around, forms = outer_forms(page or ""), -1
     for kind, tag, what in tags(page or ""):
         top = stack[-1]
         if kind == "text":
@@ -269,6 +290,9 @@ def read(page: str | None, kept: frozenset | None = None, dropped: frozenset = f
             flush()
         top = stack[-1]
         me, apart = token(top[1], tag, what)
+        if tag == "form":
+            forms += 1
+            apart = apart and (forms not in around or "hidden" in what)
         if count:
             one = seen.get(me)
             if one is None:
@@ -385,20 +409,24 @@ def deduce(tokens: list[dict], pages: int) -> tuple[list[int], list[int]]:
             kept += [h for h in inside if c != below and by[h]["tag"] in HEADINGS and by[h]["total"] == by[h]["pages"] and not same[h]]
     # Inside the article.
     classes: dict[tuple, list[int]] = defaultdict(list)  # where its members that say something stand
+    headed: dict[tuple, list[int]] = defaultdict(list)  # where its headings stand
     alike = lambda t: (t["vector"], t["pages"], t["total"])
     for k in order:
         t = by[k]
         if t["own"] > 0 and t["tag"] in BLOCKS and t["low_before"] == t["high_before"] and t["low_before"] >= 0:
             classes[alike(t)].append(place[k])
+            if t["tag"] in SECTION_HEADINGS:
+                headed[alike(t)].append(place[k])
     dropped, todo = [], list(inner[article])
     while todo:
         k = todo.pop()
         t = by[k]
         record = t["tag"] in RECORDS and t["total"] > t["pages"] and 2 * prose[k] < prose[article]
         if record:
-            says = classes[alike(t)]
-            record = bisect_right(says, last[k]) - bisect_right(says, place[k]) > 1
-        listed = t["tag"] in LISTS and 5 * t["links"] >= 4 * (t["links"] + t["prose"]) > 0
+            below = lambda places: bisect_right(places, last[k]) - bisect_right(places, place[k])  # noqa: B023, E731
+            record = below(classes[alike(t)]) > 1 and not below(headed[alike(t)])
+        everywhere = by[article]["pages"] >= SEVERAL and 10 * t["pages"] >= 9 * by[article]["pages"] and t["total"] == t["pages"]
+        listed = everywhere and t["tag"] in LISTS and 5 * t["links"] >= 4 * (t["links"] + t["prose"]) > 0
         if t["tag"] in PARTS and same[k] or listed or record:
             dropped.append(k)
         else:

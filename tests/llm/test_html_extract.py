@@ -115,9 +115,9 @@ def brute(pages):
 
     def gone(c):
         own = [d for d in vector if vector[d] == vector[c] and d.startswith(c + "/") and any(isinstance(t, str) for own in found for x in own.get(d, ()) for t in x[2]) and one[d][1] != "a"]
-        if one[c][1] in RECORDS and max(vector[c]) > 1 and len(own) > 1 and 2 * prose[c] < prose[way[-1]]:
+        if one[c][1] in RECORDS and max(vector[c]) > 1 and len(own) > 1 and not any(one[d][1] in ("h1", "h2", "h3") for d in own) and 2 * prose[c] < prose[way[-1]]:
             return True
-        return one[c][1] in PARTS and same[c] or one[c][1] in LISTS and 5 * links[c] >= 4 * (links[c] + prose[c]) > 0
+        return one[c][1] in PARTS and same[c] or one[c][1] in LISTS and n > 2 and 10 * sum(vector[c]) >= 9 * n and max(vector[c]) == 1 and 5 * links[c] >= 4 * (links[c] + prose[c]) > 0
 
     def texts_of(node, inside):
         inside = inside or node[0] in kept
@@ -209,3 +209,36 @@ def test_read_and_hosts():
     assert [host_of(u) for u in ("HTTP://A.b:80/x", "//c/d", "x", None)] == ["a.b", "c", "", ""]
     assert [(k, t) for k, t, _ in tags("<A x='>'>1<!-- <b> -->2</a ><br/>")] == [("start", "a"), ("text", ""), ("text", ""), ("end", "a"), ("start", "br")]
     assert read("<article><header><h1>T</h1><p>by</p></header><p>x</p></article>", *alone("<article><header><h1>T</h1><p>by</p></header><p>x</p></article>"))[0] == ["T", "x"]
+
+
+WORDS = "some words of the article that go on for a while and say what it is about " * 4
+
+
+def alone_text(page):
+    return extract(page, frozenset(), frozenset())
+
+
+def test_sections_of_an_article_stay(spark):
+    page = "<html><body><nav><a href=/>menu</a></nav><article><h1>T{k}</h1><p>" + WORDS * 3 + "</p>" + "".join(f"<section><h2>Part {i} of {{k}}</h2><p>short {i} of {{k}}</p></section>" for i in range(3)) + "</article></body></html>"
+    wanted = lambda k: "\n\n".join([f"T{k}", (WORDS * 3).strip(), *[x for i in range(3) for x in (f"Part {i} of {k}", f"short {i} of {k}")]])
+    assert alone_text(page.format(k=1)) == wanted(1)
+    rows = [(k, "http://a.example/", page.format(k=k), None) for k in range(6)]
+    assert {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()} == {k: wanted(k) for k in range(6)}
+
+
+def test_a_list_of_sources_stays_unless_every_page_has_one(spark):
+    page = lambda k, ul: f"<html><body><article><h1>T{k}</h1><p>{WORDS}{k}</p>{ul}</article></body></html>"
+    sources = "<p>Sources:</p><ul>" + "".join(f"<li><a href=/b{i}>Book number {i}</a></li>" for i in range(5)) + "</ul>"
+    assert alone_text(page(1, sources)).endswith("Sources:\n\n" + "\n\n".join(f"Book number {i}" for i in range(5)))
+    related = lambda k: f"<ul><li><a href=/x>Other {k}</a></li><li><a href=/y>More {k}</a></li></ul>"
+    rows = [(k, "http://a.example/", page(k, related(k)), None) for k in range(6)] + [(k, "http://b.example/", page(k, sources if k % 2 else ""), None) for k in range(6, 12)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any("Other" in got[k] for k in range(6)) and all(("Book number 4" in got[k]) == (k % 2 == 1) for k in range(6, 12))
+
+
+def test_a_form_around_the_page_is_read():
+    page = f"<html><body><form action=x><input type=hidden name=s><header>top</header><article><h1>T</h1><p>{WORDS}</p></article><footer>end</footer></form></body></html>"
+    assert alone_text(page) == f"T\n\n{WORDS.strip()}"
+    asked = f"<html><body><article><h1>T</h1><p>{WORDS}</p><form><p>Subscribe to our letter</p><input></form></article></body></html>"
+    assert alone_text(asked) == f"T\n\n{WORDS.strip()}"
+    assert alone_text("<html><body><!-- <form> --><form><p>ask</p></form><div><h1>T</h1><p>" + WORDS + "</p></div></body></html>") == f"T\n\n{WORDS.strip()}"
