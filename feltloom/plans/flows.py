@@ -233,13 +233,31 @@ def recommendations(pages: DataFrame) -> DataFrame:
     return _observations(each.withColumn("ord", F.col("page") * 10_000 + F.col("i")), guid=number, title=F.concat(F.lit("AniList "), number), link=F.concat(F.lit(RELEASES_LINK), number, F.lit("/")), metadata=F.to_json(sections))
 
 
+#: Where changed entities are looked up, and the fields asked for.
+LOOKUP, LOOKUP_FIELDS = "https://releases.moe/api/collections/anilist/records", "alID,title_english,title_userPreferred,coverImage_medium"
+_FACT = "struct<alID:int,title_english:string,title_userPreferred:string,coverImage_medium:string>"
+
+
+def lookup_url(ids: Column) -> Column:
+    """The address of the records of up to fifty entities (their guids, in order)."""
+    wanted = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("alID="), i)), " || ")
+    return F.concat(F.lit(f"{LOOKUP}?fields="), F.url_encode(F.lit(LOOKUP_FIELDS)), F.lit("&filter="), F.url_encode(wanted), F.lit("&perPage=50"))
+
+
+def lookup_facts(pages: DataFrame, *keys: str) -> DataFrame:
+    """The keys and the records of each response (column body) in order, as ``with_anime_titles`` takes them; a response without records gives none."""
+    read = pages.select(*keys, F.from_json("body", f"items array<{_FACT}>")["items"].alias("items"))
+    return read.select(*keys, F.posexplode("items").alias("ord", "f")).select(*keys, "f.*", "ord")
+
+
 def with_anime_titles(items: DataFrame, facts: DataFrame) -> DataFrame:
     """Changed entities with title and cover from the first matching record (alID, title_english, title_userPreferred, coverImage_medium, ord)."""
-    first = facts.groupBy(F.col("alID").cast("string").alias("guid")).agg(F.min_by(F.struct("title_english", "title_userPreferred", "coverImage_medium"), "ord").alias("f"))
+    keys = [c for c in KEYS if c in facts.columns]  # records of one poll's lookups hold for that poll
+    first = facts.groupBy(*keys, F.col("alID").cast("string").alias("guid")).agg(F.min_by(F.struct("title_english", "title_userPreferred", "coverImage_medium"), "ord").alias("f"))
     name = F.coalesce(F.nullif(F.trim("f.title_english"), F.lit("")), F.nullif(F.trim("f.title_userPreferred"), F.lit("")), F.col("title"))
     image = F.concat(F.lit('<img src="'), text.escape_html("f.coverImage_medium"), F.lit('" alt="'), text.escape_html(name), F.lit('" width="100">'))
     cover = F.when(urls.is_web(F.col("f.coverImage_medium")), image).otherwise(F.lit(""))
-    joined = items.join(first, "guid", "left")
+    joined = items.join(first, [*keys, "guid"], "left")
     return joined.select(*[name.alias(c) if c == "title" else F.concat(cover, F.col("description")).alias(c) if c == "description" else F.col(c) for c in items.columns])
 
 

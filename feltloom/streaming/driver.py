@@ -7,6 +7,8 @@ and what is new; replaying all batches gives what the batch form gives over all
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,10 +46,10 @@ def keep_history(store: sinks.Store, observed: DataFrame, batch: int | None = No
     return store.commit({"feed_items": before.join(polled, "source_id", "left_anti").unionByName(pruned.select(*ITEM)), "live": live}, batch)
 
 
-def watch_changes(store: sinks.Store, observed: DataFrame, versions: DataFrame, batch: int | None = None) -> bool:
-    """Any number of epochs of each source, compared as in the batch form; the stored baseline is the epoch before them.
+def numbered_changes(store: sinks.Store, observed: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes of these epochs with the revisions they will have, in the order of publication; the epochs with version and instant).
 
-    The first observation, and the first of another version (``versions``: source_id, version), is a silent baseline.
+    Columns: source_id, epoch, guid (the entity), revision, title, link, description, metadata, at, past.
     """
     state = store.table("change_state")
     epochs = observed.groupBy("source_id", "epoch").agg(F.min("observed_at").alias("at")).join(versions.select("source_id", "version"), "source_id")
@@ -59,8 +61,20 @@ def watch_changes(store: sinks.Store, observed: DataFrame, versions: DataFrame,
     events = changes.revisions(store.cut(changes.shown(raw)))
     past = state.select("source_id", F.col("revision").alias("past"))
     numbered = events.join(past, "source_id", "left").join(epochs.select("source_id", "epoch", "at"), ["source_id", "epoch"])
-    numbered = numbered.withColumn("revision", F.coalesce("past", F.lit(0)) + F.col("revision"))
-    published = numbered.select("source_id", F.concat_ws(":", "source_id", F.col("revision").cast("string"), "guid").alias("guid"), "title", "link", "description", "metadata", F.col("at").alias("pub_date"), F.lit(0).alias("replies"))
+    return numbered.withColumn("revision", F.coalesce("past", F.lit(0)) + F.col("revision")), epochs
+
+
+def watch_changes(store: sinks.Store, observed: DataFrame, versions: DataFrame, batch: int | None = None, titled: Callable[[DataFrame], DataFrame] | None = None) -> bool:
+    """Any number of epochs of each source, compared as in the batch form; the stored baseline is the epoch before them.
+
+    The first observation, and the first of another version (``versions``: source_id, version), is a silent baseline.
+    ``titled`` gives changes their titles and covers from lookups, before they are published.
+    """
+    state = store.table("change_state")
+    past = state.select("source_id", F.col("revision").alias("past"))
+    numbered, epochs = numbered_changes(store, observed, versions)
+    shown = titled(numbered) if titled else numbered
+    published = shown.select("source_id", F.concat_ws(":", "source_id", F.col("revision").cast("string"), "guid").alias("guid"), "title", "link", "description", "metadata", F.col("at").alias("pub_date"), F.lit(0).alias("replies"))
     last = epochs.groupBy("source_id").agg(F.max_by("version", "epoch").alias("version")).join(past, "source_id", "left")
     moved = numbered.groupBy("source_id").agg(F.max("revision").alias("revision"))
     new_state = last.join(moved, "source_id", "left").select("source_id", "version", F.coalesce("revision", "past", F.lit(0)).cast("bigint").alias("revision"))
@@ -91,7 +105,7 @@ def announce_new(store: sinks.Store, observed: DataFrame, batch: int | None = No
 
 
 def _change_step(store: sinks.Store, observed: DataFrame, batch: int | None = None, **options) -> bool:
-    return watch_changes(store, observed, options["versions"], batch)
+    return watch_changes(store, observed, options["versions"], batch, options.get("titled"))
 
 
 STEPS = {"projection": project, "history": keep_history, "change": _change_step, "announcement": announce_new}

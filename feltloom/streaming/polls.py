@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feltloom.model import ITEM_LOG
-from feltloom.operators import gates, rebuild, sinks
+from feltloom.operators import announce, gates, rebuild, sinks
 from feltloom.plans import flows
 from feltloom.sources import pages
 from feltloom.streaming import announcements, driver
@@ -23,6 +23,8 @@ KEYS = ["source_id", "epoch"]
 ITEM_KEYS = ["source_id", "guid"]
 #: Sources whose items are dated by their own pages; the boards, whose stored threads can be derived anew.
 DATED, BOARDS = ["coached-essays"], ["ptg", "film"]
+#: Sources whose changes are titled by lookups.
+LOOKED_UP = ["seadex"]
 _THREAD = "struct<no:bigint,sub:string,com:string,time:bigint,resto:bigint,replies:int,images:int>"
 
 
@@ -45,14 +47,14 @@ def throttles(log: DataFrame) -> DataFrame:
     return pages.classified(log).where("outcome = 'throttled'").groupBy(*KEYS).agg(F.max("wait_s").alias("wait_s"))
 
 
-def rebuilt_threads(stored: DataFrame) -> DataFrame:
-    """Stored threads derived anew from their saved input; those without one stay. A row whose identity or date would change fails the job."""
+def rebuilt_threads(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored threads derived anew from their saved input, rows whose identity or date would change); those without an input stay."""
     saved = stored.where(~rebuild.is_legacy(F.col("metadata"))).select("source_id", F.lit(0).cast("bigint").alias("epoch"), F.lit(0).alias("ord"), F.col("metadata").alias("saved"), F.from_json("metadata", _THREAD).alias("t"))
     made = reduce(DataFrame.unionByName, [flows.thread_items(saved.where(F.col("source_id") == b), b) for b in BOARDS])
     was = stored.select(*ITEM_KEYS, F.col("pub_date").alias("was"))
+    compared = made.join(was, ITEM_KEYS, "left")
     same = F.coalesce(F.col("was") == F.col("pub_date"), F.lit(False))
-    checked = F.when(same, F.col("guid")).otherwise(F.raise_error(F.concat(F.lit("a rebuilt row changes its identity or date: "), "guid")))
-    return made.join(was, ITEM_KEYS, "left").withColumn("guid", checked).select(*driver.ITEM)
+    return compared.where(same).select(*driver.ITEM), compared.where(~same).select(*ITEM_KEYS, F.lit("rebuild").alias("stage"), F.lit("a rebuilt row changes its identity or date").alias("reason"))
 
 
 def fetch_state(stored: DataFrame, log: DataFrame, good: DataFrame, sources: DataFrame, pending: DataFrame) -> DataFrame:
@@ -76,18 +78,41 @@ def fetch_state(stored: DataFrame, log: DataFrame, good: DataFrame, sources: Dat
     return joined.select("source_id", kept("etag"), kept("last_modified"), F.coalesce("made", "old").cast("int").alias("extract_version"))
 
 
+def running_versions(sources: DataFrame) -> DataFrame:
+    """source_id, version: the extraction version that runs."""
+    return sources.select(F.col("id").alias("source_id"), F.col("extract_version").alias("version"))
+
+
 def announcing(sources: DataFrame) -> DataFrame:
     """source_id, policy of the announcement sources."""
     return sources.where("mode = 'announcement'").select(F.col("id").alias("source_id"), "policy")
 
 
-def poll(store: sinks.Store, log: DataFrame, sources: DataFrame, batch: int | None = None, page_dates: DataFrame | None = None, rejects: DataFrame | None = None, item_log: DataFrame | None = None, observed: tuple[DataFrame, DataFrame] | None = None, made: tuple | None = None) -> bool:
+def lookup_batches(store: sinks.Store, found: DataFrame, sources: DataFrame) -> DataFrame:
+    """source_id, epoch, guid (the batch's number), purpose, url: lookups of what changed, fifty changes in order at a time."""
+    own = found.where(F.col("source_id").isin(LOOKED_UP))
+    numbered, _ = driver.numbered_changes(store, own, running_versions(sources))
+    last = F.lit((1 << 31) - 1)  # what left the page comes after what is on it
+    placed = numbered.select(*KEYS, "guid").join(own.select(*KEYS, "guid", "ord"), [*KEYS, "guid"], "left").select(*KEYS, "guid", F.struct(F.coalesce("ord", last).alias("ord"), "guid").alias("place"))
+    batched = announce.batches(placed, KEYS, "place")
+    in_order = F.transform(F.array_sort(F.collect_list("place")), lambda x: x["guid"])  # fifty at most
+    each = batched.groupBy(*KEYS, "batch").agg(in_order.alias("guids"))
+    return each.select(*KEYS, F.col("batch").cast("string").alias("guid"), F.lit("lookup").alias("purpose"), flows.lookup_url(F.col("guids")).alias("url"))
+
+
+def answered(lookups: DataFrame) -> DataFrame:
+    """Responses of lookups (``ITEM_LOG``) that hold records, be they none."""
+    return lookups.where((F.col("status") == 200) & F.get_json_object("body", "$.items").isNotNull())
+
+
+def poll(store: sinks.Store, log: DataFrame, sources: DataFrame, batch: int | None = None, page_dates: DataFrame | None = None, rejects: DataFrame | None = None, item_log: DataFrame | None = None, observed: tuple[DataFrame, DataFrame] | None = None, made: tuple | None = None, lookups: DataFrame | None = None) -> bool:
     """Commit a page log's epochs. False if ``batch`` was committed before.
 
     ``sources``: the registry. ``page_dates`` (source_id, guid, ts): dates read on items' own pages; ``rejects``: items
     set aside before, which are committed beside bodies out of bounds; ``item_log``: responses of the pages that
     ``poll_cycle`` asked for; ``observed`` and ``made``: the log's observations and what announcements make of them, if
-    that is known. A poll one of whose item pages was throttled counts as failed.
+    that is known. A poll one of whose item pages was throttled counts as failed. ``lookups``: responses of ``lookup_batches``; a
+    source that lacks one of them publishes nothing and keeps its baseline, so that its next poll makes the same comparison.
     """
     mode_of = sources.select(F.col("id").alias("source_id"), "mode")
     configured = sources.select("id", "mode").collect()
@@ -99,6 +124,19 @@ def poll(store: sinks.Store, log: DataFrame, sources: DataFrame, batch: int | No
         good, found = store.cut(good), store.cut(found)
     stored, items = store.table("fetch_state"), store.table("feed_items")
     stale = rebuild.needs_rebuild(stored, sources).where(F.col("id").isin(BOARDS)).select(F.col("id").alias("source_id"))
+    # A source with a stored row that can't be rebuilt fails alone: it is as if it had not been polled, and says why.
+    rebuilt, wrong = rebuilt_threads(items.join(stale, "source_id", "left_semi")) if any(r.mode == "history" for r in configured) else (None, None)
+    if wrong is not None:
+        wrong = store.cut(wrong.join(good.groupBy("source_id").agg(F.max("epoch").alias("epoch")), "source_id"))
+        found, good = (x.join(wrong.select("source_id").distinct(), "source_id", "left_anti") for x in (found, good))
+    titled = None
+    if lookups is not None:
+        read = store.cut(answered(lookups))
+        lacking = store.cut(lookup_batches(store, found, sources).join(read.select(*KEYS, "guid"), [*KEYS, "guid"], "left_anti").select(*KEYS))
+        found, good = (x.join(lacking.select("source_id").distinct(), "source_id", "left_anti") for x in (found, good))
+        rejects = reduce(DataFrame.unionByName, [r for r in (rejects, lacking.distinct().select(*KEYS, F.lit("").alias("guid"), F.lit("metadata").alias("stage"), F.lit("a lookup is missing").alias("reason"))) if r is not None])
+        facts = flows.lookup_facts(read, *KEYS)
+        titled = lambda rows: flows.with_anime_titles(rows, facts)
     dates = store.table("item_dates")
     if page_dates is not None:
         dates = sinks.upsert(dates, page_dates.select(*ITEM_KEYS, "ts"), ITEM_KEYS)
@@ -106,8 +144,8 @@ def poll(store: sinks.Store, log: DataFrame, sources: DataFrame, batch: int | No
     tables, parts = {}, [items.join(mode_of, "source_id", "left_anti")]
     options_of = {
         "projection": dict,
-        "history": lambda: {"rebuilt": rebuilt_threads(items.join(stale, "source_id", "left_semi"))},
-        "change": lambda: {"versions": sources.select(F.col("id").alias("source_id"), F.col("extract_version").alias("version"))},
+        "history": lambda: {"rebuilt": rebuilt},
+        "change": lambda: {"versions": running_versions(sources), "titled": titled},
         "announcement": lambda: {"policies": announcing(sources), "item_log": item_log, "made": made},
     }
     for mode in [m for m in options_of if m in {r.mode for r in configured}]:
@@ -119,7 +157,7 @@ def poll(store: sinks.Store, log: DataFrame, sources: DataFrame, batch: int | No
     undated = found.where(F.col("source_id").isin(DATED) & F.col("pub_date").isNull()).join(dates, ITEM_KEYS, "left_anti")
     state = fetch_state(stored, log, good, sources, undated.select("source_id").distinct())
     _, large = pages.bounded(log)
-    set_aside = [r.select("source_id", "epoch", "guid", "stage", "reason") for r in (large, rejects) if r is not None]
+    set_aside = [r.select("source_id", "epoch", "guid", "stage", "reason") for r in (large, rejects, wrong) if r is not None]
     tables |= {"feed_items": reduce(DataFrame.unionByName, parts), "fetch_state": sinks.upsert(stored, state, ["source_id"]), "rejects": reduce(DataFrame.unionByName, set_aside, tables.get("rejects", store.table("rejects")))}
     if page_dates is not None:
         tables["item_dates"] = dates
@@ -136,12 +174,15 @@ def poll_cycle(store: sinks.Store, read: Callable[[DataFrame], DataFrame], log:
     ``read`` takes requests (source_id, epoch, guid, purpose, url) and gives their responses as ``ITEM_LOG``. What it
     can't read is set aside, so each round asks for pages that were not asked for before, and the rounds end.
     """
-    own, item_log = announcing(sources), sinks.empty(store.spark, ITEM_LOG)
-    found, good = (store.cut(x) for x in observations(log, [r.id for r in sources.select("id").collect()]))
+    own, item_log, lookups = announcing(sources), sinks.empty(store.spark, ITEM_LOG), None
+    names = [r.id for r in sources.select("id").collect()]
+    found, good = (store.cut(x) for x in observations(log, names))
+    if set(names) & set(LOOKED_UP):
+        lookups = store.cut(read(store.cut(lookup_batches(store, found, sources))))
     announced = found.join(own, "source_id", "left_semi")
     while True:
         made = announcements.outcomes(store, announced, own, item_log)
         wanted = store.cut(announcements.lacking(made[1], item_log))
         if wanted.isEmpty():
-            return poll(store, log, sources, batch, item_log=item_log, observed=(found, good), made=made)
+            return poll(store, log, sources, batch, item_log=item_log, observed=(found, good), made=made, lookups=lookups)
         item_log = store.cut(item_log.unionByName(read(wanted)))

@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from feltloom.model import PAGE_LOG
+from feltloom.model import ITEM_LOG, PAGE_LOG
 from feltloom.operators.sinks import Store
 from feltloom.sources import registry
 from feltloom.streaming import polls
@@ -67,3 +67,45 @@ def test_dates_of_own_pages_are_kept(spark, tmp_path):
     assert dated() == {"one": T0, "two": T0 + dt.timedelta(hours=5)} and store.table("fetch_state").first().etag is None  # a date is missing
     polls.poll(store, log(6), sources, 1, read("two"))
     assert dated() == {"one": T0, "two": T0} and store.table("fetch_state").first().etag == "c" and store.table("item_dates").count() == 2
+
+
+def test_a_source_that_cannot_be_rebuilt_fails_alone(spark, tmp_path):
+    store, sources = Store(spark, f"file://{tmp_path}/store"), registry.sources(spark).where("id in ('ptg', 'film')")
+    film = lambda n: board((n, "text")).replace("/ptg/ - Private Trackers General", "/film/ general")
+    log = lambda e, n: spark.createDataFrame([response("ptg", e, board((n, "one"))), response("film", e, film(n))], PAGE_LOG)
+    assert polls.poll(store, log(0, 1), sources, 0)
+    moved = store.table("feed_items").withColumn("pub_date", F.when(F.col("source_id") == "ptg", F.lit(T0)).otherwise(F.col("pub_date")))
+    store.commit({"feed_items": moved}, 1)
+    before = {r.source_id: r.extract_version for r in store.table("fetch_state").collect()}
+    assert polls.poll(store, log(2, 2), sources.withColumn("extract_version", F.col("extract_version") + 1), 2)
+    assert {r.guid for r in store.table("feed_items").collect()} == {"ptg:1", "film:1", "film:2"}
+    assert [tuple(r)[:4] for r in store.table("rejects").collect()] == [("ptg", 2, "ptg:1", "rebuild")]
+    after = {r.source_id: r.extract_version for r in store.table("fetch_state").collect()}
+    assert after == {"ptg": before["ptg"], "film": before["film"] + 1}
+
+
+def test_changes_are_titled_all_or_nothing(spark, tmp_path):
+    store, sources = Store(spark, f"file://{tmp_path}/store"), registry.sources(spark).where("id = 'seadex'")
+    log = lambda e, *entries: spark.createDataFrame([response("seadex", e, recommended(*entries), etag=f"e{e}")], PAGE_LOG)
+    asked, broken = [], set()
+
+    def read(wanted):
+        rows = []
+        for r in wanted.collect():
+            asked.append((r.epoch, r.guid, r.url))
+            facts = json.dumps({"items": [{"alID": n, "title_english": f"Show {n}", "coverImage_medium": f"https://c/{n}.png"} for n in range(1, 200) if f"alID%3D{n}" in r.url and n % 2]})
+            rows.append((r.source_id, r.epoch, r.guid, r.url, 500 if r.guid in broken else 200, None, None if r.guid in broken else facts, T0))
+        return spark.createDataFrame(rows, ITEM_LOG)
+
+    many = lambda note: [(n, note) for n in range(1, 61)]
+    assert polls.poll_cycle(store, read, log(0, *many("x")), sources, 0) and asked == []  # a silent baseline asks for nothing
+    broken.add("1")
+    assert polls.poll_cycle(store, read, log(1, *many("y")), sources, 1)
+    assert [(e, g) for e, g, _ in sorted(asked)] == [(1, "0"), (1, "1")] and sum(u.count("alID%3D") for *_, u in asked) == 60
+    state = lambda: (store.table("feed_items").count(), store.table("change_state").first().revision, store.table("fetch_state").first().etag)
+    assert state() == (0, 0, "e0") and [r.reason for r in store.table("rejects").collect()] == ["a lookup is missing"]
+    broken.clear()
+    assert polls.poll_cycle(store, read, log(2, *many("y")), sources, 2)  # the same comparison again
+    assert state() == (60, 1, "e2")
+    titles = {r.guid: (r.title, r.description[:18]) for r in store.table("feed_items").collect()}
+    assert titles["seadex:1:7"][0].endswith("Show 7") and titles["seadex:1:7"][1] == '<img src="https://' and "AniList 8" in titles["seadex:1:8"][0]
