@@ -10,7 +10,9 @@ All files go through Spark's own file systems, so the store may lie anywhere tha
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,10 @@ TABLES = {"feed_items": FEED_ITEMS, "live": LIVE, "first_seen": KEYED_TIME, "ite
 
 #: Commits whose tables stay readable.
 KEPT = 20
+#: The form that tables are written in. A store of a later one is refused, tables of an earlier one are brought up to it as they are read.
+STORE_VERSION = 1
+#: By version: what makes a table (by name) of that version one of the next.
+UPGRADES: dict[int, dict[str, Callable[[DataFrame], DataFrame]]] = {0: {"announced": lambda old: with_column(old, "name", F.lit(None).cast("string"))}}
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -52,7 +58,10 @@ class Store:
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
         if not names:
             return {"number": 0, "batch": None, "tables": {}}
-        return self._read(fs, self.spark._jvm.org.apache.hadoop.fs.Path(folder, names[-1]))
+        found = self._read(fs, self.spark._jvm.org.apache.hadoop.fs.Path(folder, names[-1]))
+        if max(found.get("versions", {}).values(), default=0) > STORE_VERSION:
+            raise ValueError("the store was written by a later version")
+        return found
 
     def _read(self, fs, path) -> dict:
         stream = fs.open(path)
@@ -67,7 +76,14 @@ class Store:
         folder = self._read_at["tables"].get(name)
         if folder is None:
             return empty(self.spark, TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{folder}")
+        version = self._read_at.get("versions", {}).get(name, 0)
+        if version == STORE_VERSION:
+            return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{folder}")
+        frame = self.spark.read.parquet(f"{self.path}/{folder}")
+        for step in range(version, STORE_VERSION):
+            frame = UPGRADES.get(step, {}).get(name, lambda old: old)(frame)
+        fields = [c.split(" ", 1) for c in re.split(r", (?=\w+ )", TABLES[name])]
+        return frame.select(*[F.col(c).cast(kind).alias(c) for c, kind in fields])
 
     def cut(self, frame: DataFrame) -> DataFrame:
         """``frame``, written beside the tables until the next commit has ended: work that a commit's tables share is done once."""
@@ -92,12 +108,12 @@ class Store:
             raise RuntimeError("another writer committed since these tables were read")
         if batch is not None and now["batch"] is not None and batch <= now["batch"]:
             return False
-        folders = dict(now["tables"])
+        folders, versions = dict(now["tables"]), dict(now.get("versions", {}))
         for name, frame in tables.items():
             folder = f"{name}/v{now['number'] + 1:08d}-{uuid.uuid4().hex[:8]}"
             columns = [c.split()[0] for c in TABLES[name].split(", ")]
             frame.select(*columns).write.parquet(f"{self.path}/{folder}")
-            folders[name] = folder
+            folders[name], versions[name] = folder, STORE_VERSION
         fs, folder = self._fs()
         fs.mkdirs(folder)
         number = now["number"] + 1
@@ -105,7 +121,7 @@ class Store:
         target, draft = path(folder, f"{number:08d}.json"), path(folder, f"{number:08d}-{uuid.uuid4().hex}.tmp")
         stream = fs.create(draft, False)
         try:
-            stream.write(bytearray(json.dumps({"number": number, "batch": batch, "tables": folders}).encode()))
+            stream.write(bytearray(json.dumps({"number": number, "batch": batch, "tables": folders, "versions": versions}).encode()))
         finally:
             stream.close()
         self._publish(fs, draft, target)

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -150,4 +151,31 @@ def test_release_stream_is_the_batch_form(spark, tmp_path):
         releases.load_state('{"version": 9}')
 
 
+def test_an_older_store_is_brought_up_and_a_newer_one_refused(spark, tmp_path, monkeypatch):
+    from feltloom.operators import sinks
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.commit({"announced": spark.createDataFrame([("s", "a", None)], "source_id string, guid string, name string")}, 0)
+    old = spark.createDataFrame([("s", "a")], "source_id string, guid string")  # as before the column was there
+    folder = store.manifest()["tables"]["announced"]
+    old.write.mode("overwrite").parquet(f"file://{tmp_path}/store/{folder}")
+    written = next((tmp_path / "store" / "manifests").glob("*.json"))
+    raw = json.loads(written.read_text())
+    (written.parent / f".{written.name}.crc").unlink(missing_ok=True)
+    written.write_text(json.dumps({k: v for k, v in raw.items() if k != "versions"}))
+    store = Store(spark, f"file://{tmp_path}/store")
+    assert [tuple(r) for r in store.table("announced").collect()] == [("s", "a", None)]
+    driver.announce_new(store, observed(spark, [("s", 1, 0, "a", 1, 0), ("s", 1, 1, "b", 1, 0)]), 1)
+    assert {r.guid for r in store.table("announced").collect()} == {"a", "b"} and store.manifest()["versions"]["announced"] == sinks.STORE_VERSION
+    with monkeypatch.context() as m:  # the next version renames
+        m.setattr(sinks, "STORE_VERSION", 2)
+        m.setattr(sinks, "UPGRADES", sinks.UPGRADES | {1: {"announced": lambda was: was.withColumn("guid", F.upper("guid"))}})
+        newer = Store(spark, f"file://{tmp_path}/store")
+        assert {r.guid for r in newer.table("announced").collect()} == {"A", "B"}
+        newer.commit({"announced": newer.table("announced")}, 2)
+        assert {r.guid for r in newer.table("announced").collect()} == {"A", "B"}
+    with pytest.raises(ValueError, match="later version"):
+        Store(spark, f"file://{tmp_path}/store").table("announced")
+
+
 assert OBS
