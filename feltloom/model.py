@@ -25,6 +25,8 @@ REJECTS = "source_id string, epoch bigint, guid string, stage string, reason str
 PENDING = "source_id string, guid string, purpose string, url string, attempts int, epoch bigint"
 #: Announcement checkpoints beside what was announced: where numbers began, albums' names, tracks' releases, held days.
 ANNOUNCE_STATE, ALIASES, TRACKS, HELD = "source_id string, initial bigint", "source_id string, guid string, names array<string>", "source_id string, track string, guid string", "source_id string, guid string, day date"
+#: Gold: feeds as they are served, with what they were rendered from.
+DOCUMENTS = "source_id string, kind string, digest string, body string, etag string"
 CHANGE_STATE = "source_id string, version int, revision bigint, initialized boolean"
 
 # The history policy, bounds and pacing that results depend on.

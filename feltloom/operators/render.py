@@ -76,3 +76,33 @@ def render_feed(sources: DataFrame, items: DataFrame, source_id: str, kind: str)
     one, own = sources.where(F.col("id") == source_id), items.where(F.col("source_id") == source_id)
     row = (rss_feeds if kind == "xml" else html_feeds)(one, own).select("body", "etag").first()
     return tuple(row) if row else None
+
+
+def feed_digests(sources: DataFrame, items: DataFrame) -> DataFrame:
+    """source_id, digest: of what a feed is rendered from, in no order, by partial aggregates."""
+    shown = [c for c in ("guid", "title", "link", "description", "pub_date") if c in items.columns]
+    sums = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
+    each = items.groupBy("source_id").agg(F.concat_ws(":", F.count("*").cast("string"), sums(F.xxhash64(*shown)), sums(F.xxhash64(F.lit(1), *shown[::-1]))).alias("items"))
+    joined = sources.select(F.col("id").alias("source_id"), F.xxhash64("meta").cast("string").alias("meta")).join(each, "source_id", "left")
+    return joined.select("source_id", F.concat_ws("/", "meta", F.coalesce("items", F.lit("0"))).alias("digest"))
+
+
+def stale_feeds(documents: DataFrame, sources: DataFrame, items: DataFrame) -> DataFrame:
+    """source_id, digest of the feeds whose documents are missing or were made from other items."""
+    now = feed_digests(sources, items)
+    made = documents.groupBy("source_id").agg(F.min("digest").alias("was"), F.max("digest").alias("also"))
+    joined = now.join(made, "source_id", "left")
+    return joined.where(~(F.col("digest").eqNullSafe(F.col("was")) & F.col("digest").eqNullSafe(F.col("also")))).select("source_id", "digest")
+
+
+def refreshed(documents: DataFrame, sources: DataFrame, items: DataFrame) -> DataFrame:
+    """source_id, kind, digest, body, etag: the documents of all feeds, only stale ones rendered anew.
+
+    Documents of sources that are gone go. A feed whose content is what it was keeps its tag, as that is of the content.
+    """
+    stale = stale_feeds(documents, sources, items)
+    own = items.join(stale.select("source_id"), "source_id", "left_semi")
+    asked = sources.join(stale.select(F.col("source_id").alias("id")), "id", "left_semi")
+    made = rss_feeds(asked, own).withColumn("kind", F.lit("xml")).unionByName(html_feeds(asked, own).withColumn("kind", F.lit("html")))
+    kept = documents.join(stale.select("source_id"), "source_id", "left_anti").join(sources.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return kept.unionByName(made.join(stale, "source_id")).select("source_id", "kind", "digest", "body", "etag")

@@ -17,9 +17,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltloom.model import ALIASES, ANNOUNCE_STATE, FEED_ITEMS, FETCH_STATE, HELD, KEYED_TIME, LIVE, PENDING, REJECTS, TRACKS
+from feltloom.model import ALIASES, ANNOUNCE_STATE, DOCUMENTS, FEED_ITEMS, FETCH_STATE, HELD, KEYED_TIME, LIVE, PENDING, REJECTS, TRACKS
 
-TABLES = {"feed_items": FEED_ITEMS, "live": LIVE, "first_seen": KEYED_TIME, "item_dates": KEYED_TIME, "fetch_state": FETCH_STATE, "rejects": REJECTS, "change_state": "source_id string, version int, revision bigint", "baseline": "source_id string, guid string, title string, link string, metadata string, ord int", "announced": "source_id string, guid string, name string", "announce_state": ANNOUNCE_STATE, "aliases": ALIASES, "tracks": TRACKS, "held": HELD, "pending": PENDING}
+TABLES = {"feed_items": FEED_ITEMS, "live": LIVE, "first_seen": KEYED_TIME, "item_dates": KEYED_TIME, "fetch_state": FETCH_STATE, "rejects": REJECTS, "change_state": "source_id string, version int, revision bigint", "baseline": "source_id string, guid string, title string, link string, metadata string, ord int", "announced": "source_id string, guid string, name string", "announce_state": ANNOUNCE_STATE, "aliases": ALIASES, "tracks": TRACKS, "held": HELD, "pending": PENDING, "documents": DOCUMENTS}
 
 #: Commits whose tables stay readable.
 KEPT = 20

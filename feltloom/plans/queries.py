@@ -429,6 +429,15 @@ def rss_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.rss_feeds(sources, items).select("source_id", "etag")
 
 
+@query("""SELECT c_custkey AS source_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+    HAVING list(o_orderkey ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'P') IS DISTINCT FROM list(o_orderkey ORDER BY o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL)""")
+def stale_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' feeds that were rendered before their pending orders came."""
+    sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("title")).alias("meta"))
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").cast("string").alias("guid"), F.col("o_orderdate").alias("pub_date"), "o_orderstatus")
+    return render.stale_feeds(render.feed_digests(sources, items.where("o_orderstatus <> 'P'")), sources, items).select("source_id")
+
+
 @query(f"""WITH e AS ({_DAILY}), c AS (SELECT source_id, epoch, event_id, CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 304 WHEN 'error' THEN 429 WHEN 'signup' THEN 503 ELSE 500 END AS code, props FROM e)
     SELECT event_id, CASE WHEN code = 200 THEN 'modified' WHEN code = 304 THEN 'unchanged' WHEN code IN (429, 503) THEN 'throttled' ELSE 'error' END AS outcome,
            last_value(CASE WHEN code = 200 THEN props END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY event_id) AS etag FROM c""")

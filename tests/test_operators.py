@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feltloom.functions.sanitize import safe_html
+from feltloom.model import DOCUMENTS, FEED_ITEMS
 from feltloom.operators import announce, changes, gates, history, pacing, projection, rebuild, render
 from feltloom.sources import registry
 
@@ -198,3 +199,20 @@ def test_small_text_functions(spark):
     got = frame.select(text.last_match("x", "([0-9]+)\\s+Entr(?:y|ies)").alias("n"), text.version_parts("v").alias("v")).collect()
     assert [r.n for r in got] == ["12", None, "3"] and got[1].v is None and tuple(got[0].v) == (1, 10, 0)
     assert frame.where("v <> '1.9'").agg(F.max(text.version_parts("v"))).first()[0] == (1, 10, 0)
+
+
+def test_only_stale_feeds_are_rendered(spark):
+    sources = registry.sources(spark).where("id in ('one-piece', 'ptg', 'seadex')")
+    rows = [(s, f"{s}:{i}", f"T{i}", "https://x/", "d", "", dt.datetime(2024, 1, 1 + i), 0) for s in ("one-piece", "ptg", "gone") for i in range(3)]
+    frame = lambda r: spark.createDataFrame(r, FEED_ITEMS)
+    first = render.refreshed(spark.createDataFrame([], DOCUMENTS), sources, frame(rows)).collect()
+    assert {(r.source_id, r.kind) for r in first} == {(s, k) for s in ("one-piece", "ptg", "seadex") for k in ("xml", "html")}
+    marked = spark.createDataFrame([(*r[:3], "as it was", r.etag) for r in first], DOCUMENTS)
+    again = render.refreshed(marked, sources, frame(rows[::-1])).collect()  # the same items in another order
+    assert {r.body for r in again} == {"as it was"}
+    changed = [r if r[1] != "ptg:1" else (*r[:2], "Other", *r[3:]) for r in rows]
+    assert {r.source_id for r in render.stale_feeds(marked, sources, frame(changed)).collect()} == {"ptg"}
+    third = render.refreshed(marked, sources.where("id <> 'seadex'"), frame(changed)).collect()
+    assert {(r.source_id, r.body == "as it was") for r in third} == {("one-piece", True), ("ptg", False)} and len(third) == 4
+    back = {(r.source_id, r.kind): r.etag for r in render.refreshed(spark.createDataFrame([tuple(r) for r in third], DOCUMENTS), sources, frame(rows)).collect()}
+    assert back == {(r.source_id, r.kind): r.etag for r in first}  # equal content has its tag again
