@@ -6,14 +6,16 @@ are expressions. A page that breaks an extractor's rules yields no rows and so n
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterable
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feltloom.functions import arrays, dates, text, urls
-from feltloom.functions.fragments import break_text, text_of
+from feltloom.functions.fragments import break_text, tree_text
 from feltloom.operators.projection import keep_first
 from feltloom.sources import html
 
@@ -68,15 +70,23 @@ def thread_items(threads: DataFrame, general: str) -> DataFrame:
     )
 
 
+def _chapters(page: str | None) -> list[tuple]:
+    """Place and address of each anchor that has divs for children, and what these say."""
+    nodes, divs = html.parse(page, frozenset(("div",))), {}
+    for n in nodes:
+        if n[5] == "div" and n[1] >= 0 and nodes[n[1]][5] == "a":
+            divs.setdefault(n[1], []).append(n[7])
+    return [(pos, nodes[pos][6].get("href", ""), said) for pos, said in divs.items()]
+
+
 def chapters(pages: DataFrame) -> DataFrame:
     """Chapter links whose heading names the link's number."""
-    nodes = html.dom_nodes(pages, "body", *KEYS, text_of=("div",))
-    link = F.trim(html.attribute("href"))
+    rows = html.page_rows(pages, "body", _chapters, "parent int, href string, divs array<string>", *KEYS)
+    link = F.trim("href")
     path = F.coalesce(urls.part(link, "PATH"), F.regexp_extract(link, r"^[^?#]*", 0))
-    anchors = html.elements(nodes, "a").where(urls.on_site(link, [CHAPTER_HOST], CHAPTER_PATH) & ~link.rlike("(?i)^http://"))
-    anchors = anchors.select(*KEYS, F.col("pos").alias("parent"), path.alias("path"), F.regexp_extract(path, CHAPTER_PATH, 1).try_cast("int").alias("number")).where("number > 0")
-    texts = html.elements(nodes, "div").groupBy(*KEYS, "parent").agg(F.array_sort(F.collect_list(F.struct("pos", text.collapse_space("text").alias("text")))).alias("divs"))
-    joined = anchors.join(texts, [*KEYS, "parent"]).withColumn("texts", F.filter(F.transform("divs", lambda d: d["text"]), lambda x: x != ""))
+    anchors = rows.where(urls.on_site(link, [CHAPTER_HOST], CHAPTER_PATH) & ~link.rlike("(?i)^http://"))
+    anchors = anchors.select(*KEYS, "parent", "divs", path.alias("path"), F.regexp_extract(path, CHAPTER_PATH, 1).try_cast("int").alias("number")).where("number > 0")
+    joined = anchors.withColumn("texts", F.filter(F.transform("divs", lambda d: text.collapse_space(d)), lambda x: x != ""))
     named = F.transform("texts", lambda x: F.regexp_extract(x, r"(?i)\bchapter\s+(\d+)\b", 1).try_cast("int").eqNullSafe(F.col("number")))
     at = F.array_position(named, True).cast("int")
     found = joined.withColumn("at", at).where("at > 0").select(*KEYS, F.col("parent").alias("ord"), "number", "path", F.get("texts", F.col("at") - 1).alias("heading"), F.get("texts", F.col("at")).alias("subtitle"))
@@ -84,14 +94,27 @@ def chapters(pages: DataFrame) -> DataFrame:
     return _first_of(_observations(found, guid=F.concat(F.lit("one-piece:chapter:"), number), title=text.join_titles("heading", "subtitle"), link=F.concat(F.lit(f"https://{CHAPTER_HOST}"), F.col("path"))))
 
 
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def _section(page: str | None) -> list[tuple]:
+    """Place, address and text of the anchors between the first heading that says so and the next heading."""
+    found, inside = [], False
+    for n in html.parse(page, _HEADINGS | {"a"}):
+        if n[5] in _HEADINGS:
+            if inside:
+                break
+            inside = n[7].strip(" ") == ESSAY_HEADING
+        elif inside and n[5] == "a":
+            found.append((n[0], n[6].get("href", ""), n[7]))
+    return found
+
+
 def essays(pages: DataFrame) -> DataFrame:
     """Links of the first section headed so in each <noscript>, whose text is a page of its own."""
-    nodes = html.dom_nodes(_noscripts(pages), "text", *KEYS, "block", text_of=("a", "h1", "h2", "h3", "h4", "h5", "h6"))
-    heading = F.col("tag").rlike("^h[1-6]$")
-    upto = Window.partitionBy(*KEYS, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = nodes.where("kind = 'element'").withColumn("section", F.sum(heading.cast("int")).over(upto)).withColumn("start", F.min(F.when(heading & (F.trim("text") == ESSAY_HEADING), F.col("section"))).over(upto))
-    slug = F.regexp_extract(F.trim(html.attribute("href")), ESSAY_PATH, 1)
-    found = rows.where((F.col("tag") == "a") & (F.col("section") == F.col("start"))).withColumn("slug", slug).where((F.col("slug") != "") & (F.col("slug") != "issues") & (F.trim("text") != ""))
+    rows = html.page_rows(_noscripts(pages), "text", _section, "pos int, href string, text string", *KEYS, "block")
+    slug = F.regexp_extract(F.trim("href"), ESSAY_PATH, 1)
+    found = rows.withColumn("slug", slug).where((F.col("slug") != "") & (F.col("slug") != "issues") & (F.trim("text") != ""))
     found = found.withColumn("ord", F.col("block") * 100_000 + F.col("pos"))
     return _first_of(_observations(found, guid=F.concat(F.lit("coached:essay:"), F.col("slug")), title=F.btrim(F.col("text")), link=F.concat(F.lit(f"https://{ESSAY_HOST}/essays/"), F.col("slug"), F.lit("/"))))
 
@@ -113,20 +136,19 @@ def essay_dates(pages: DataFrame) -> DataFrame:
 _ROW = "heading string, n int, cells map<string,string>"
 
 
-def _tables(page: str) -> list[tuple[str, int, dict]]:
+def _tables(page: str | None) -> list[tuple[str, int, dict]]:
     """(heading, row, {column: text}) of the tables outside tables, cells that span rows repeated below."""
     nodes = html.parse(page)
-    skip = lambda n: n[5] == "sup" or "reference" in ((n[6] or {}).get("class") or "").split()
+    skip = lambda n: n[5] == "sup" or "class" in n[6] and "reference" in n[6]["class"].split()
 
     def words(n: tuple) -> str:
         out, i = [], n[0]
         while i <= n[2]:
             m = nodes[i]
-            if m[4] == "element" and skip(m):
-                i = m[2] + 1
-                continue
             if m[4] == "text":
                 out.append(m[7])
+            elif skip(m):
+                i = m[2]
             i += 1
         s = " ".join(" ".join(out).split())
         return s.replace(" ,", ",").replace("( ", "(").replace(" )", ")")
@@ -140,7 +162,15 @@ def _tables(page: str) -> list[tuple[str, int, dict]]:
             i += 1
             continue
         rows = [m for m in nodes[n[0] : n[2] + 1] if m[5] == "tr"]
-        kids = lambda row, tag: [m for m in nodes[row[0] : row[2] + 1] if m[5] == tag and m[1] == row[0]]
+
+        def kids(row: tuple, tag: str) -> list[tuple]:
+            out, at = [], row[0] + 1
+            while at <= row[2]:  # from child to child
+                if nodes[at][5] == tag:
+                    out.append(nodes[at])
+                at = nodes[at][2] + 1
+            return out
+
         names = [words(c).lower() for c in kids(rows[0], "th")] if rows else []
         spans: dict[int, list] = {}
         for number, row in enumerate(rows[1:]):
@@ -171,14 +201,7 @@ def _tables(page: str) -> list[tuple[str, int, dict]]:
 
 
 def page_tables(pages: DataFrame) -> DataFrame:
-    html.importable(pages.sparkSession)
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(s, e, *t) for s, e, body in zip(frame.source_id, frame.epoch, frame.body) for t in _tables(body)]
-            yield pd.DataFrame(rows, columns=["source_id", "epoch", "heading", "n", "cells"])
-
-    return pages.select(*KEYS, "body").mapInPandas(run, f"source_id string, epoch bigint, {_ROW}")
+    return html.page_rows(pages.select("source_id", F.col("epoch").cast("bigint").alias("epoch"), "body"), "body", _tables, _ROW, *KEYS)
 
 
 def matches(pages: DataFrame) -> DataFrame:
@@ -261,63 +284,44 @@ def with_anime_titles(items: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.select(*[name.alias(c) if c == "title" else F.concat(cover, F.col("description")).alias(c) if c == "description" else F.col(c) for c in items.columns])
 
 
+_ENTRY_LINK = re.compile(rf"^(?:https?://{STACK_HOST})?/anime/([1-9][0-9]*)(?:/|$)")
 _STACK = "ok boolean, declared int, entries array<struct<id:string,title:string,notes:array<string>>>"
 
 
-def _stack(page: str, stack: str) -> tuple:
+def _stack(page: str | None, stack: str) -> tuple:
     nodes, bad = html.parse(page), (False, None, None)
-    classes = lambda n: ((n[6] or {}).get("class") or "").split()
+    has = lambda n, name: name in (n[6].get("class") or "") and name in n[6]["class"].split()
     below = lambda n: nodes[n[0] : n[2] + 1]
-    words = lambda n: "".join(m[7] for m in below(n) if m[4] == "text")
+    words = lambda n: "".join([m[7] for m in below(n) if m[4] == "text"])
     meta = {}
     for n in nodes:
         if n[5] == "meta":
-            meta.setdefault((n[6] or {}).get("property"), (n[6] or {}).get("content", ""))
-    from urllib.parse import urlsplit
-
+            meta.setdefault(n[6].get("property"), n[6].get("content", ""))
     at = urlsplit((meta.get("og:url") or "").strip())
-    import re
-
     counts = re.findall(r"([0-9]+)\s+Entr(?:y|ies)", meta.get("og:description") or "")
-    detail = next((n for n in nodes if n[5] == "div" and {"content-left", "stacks-detail"} <= set(classes(n))), None)
+    detail = next((n for n in nodes if n[5] == "div" and has(n, "content-left") and has(n, "stacks-detail")), None)
     if at.netloc != STACK_HOST or at.path != f"/stacks/{stack}" or not counts or detail is None:
         return bad
-    if any("pagination" in classes(n) or (n[6] or {}).get("rel") == "next" for n in below(detail) if n[4] == "element"):
+    classed = [n for n in below(detail) if n[6]]
+    if any(n[6].get("rel") == "next" or has(n, "pagination") for n in classed):
         return bad
-    cards = next((n for n in below(detail) if n[5] == "div" and "list-anime-list" in classes(n)), None)
+    cards = next((n for n in classed if n[5] == "div" and has(n, "list-anime-list")), None)
     if cards is None:
         return bad
+    links = [n[0] for n in classed if n[5] == "a" and has(n, "link-title")]
+    intros = [n[0] for n in classed if n[5] == "div" and has(n, "intro")]
     entries = []
-    for card in (n for n in below(cards) if n[1] == cards[0] and n[5] == "div" and "seasonal-anime" in classes(n)):
-        link = next((n for n in below(card) if n[5] == "a" and "link-title" in classes(n)), None)
-        intro = next((n for n in below(card) if n[5] == "div" and "intro" in classes(n)), None)
-        found = re.match(rf"^(?:https?://{STACK_HOST})?/anime/([1-9][0-9]*)(?:/|$)", ((link[6] or {}).get("href") or "").strip()) if link else None
-        if not found or intro is None or not words(link).strip():
+    for card in (n for n in classed if n[1] == cards[0] and n[5] == "div" and has(n, "seasonal-anime")):
+        link, intro = html.first_within(nodes, links, card), html.first_within(nodes, intros, card)
+        found = _ENTRY_LINK.match((link[6].get("href") or "").strip()) if link else None
+        title = words(link).strip() if found else ""
+        if not found or intro is None or not title:
             return bad
-        entries.append((found[1], words(link).strip(), _tidy(_blocks(below(intro)))))
+        entries.append((found[1], title, _tidy(tree_text(below(intro)))))
     ids = [e[0] for e in entries]
     return (len(set(ids)) == len(ids) == int(counts[-1]), int(counts[-1]), entries)
 
 
-def _blocks(nodes: list[tuple]) -> str:
-    """A subtree as markup again, for the text function."""
-    from html import escape
-
-    out, ends = [], []
-    for n in nodes:
-        while ends and ends[-1][0] < n[0]:
-            out.append(f"</{ends.pop()[1]}>")
-        if n[4] == "text":
-            out.append(escape(n[7]))
-        else:
-            href = (n[6] or {}).get("href")
-            out.append(f"<{n[5]}" + (f' href="{escape(href)}"' if href else "") + ">")
-            if n[5] not in html.VOID:
-                ends.append((n[2], n[5]))
-    out += [f"</{t}>" for _, t in reversed(ends)]
-    return text_of("".join(out), True)
-
-
 def _tidy(raw: str) -> list[str]:
     lines: list[str] = []
     for line in raw.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
@@ -331,15 +335,12 @@ def _tidy(raw: str) -> list[str]:
 
 def stack_entries(pages: DataFrame, stack: str) -> DataFrame:
     """Entries of whole stack pages, in order; an empty stack that says so is whole."""
-    html.importable(pages.sparkSession)
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(s, e, *_stack(body, stack)) for s, e, body in zip(frame.source_id, frame.epoch, frame.body)]
-            rows = [(s, e, ok, n, None if es is None else [{"id": i, "title": t, "notes": ns} for i, t, ns in es]) for s, e, ok, n, es in rows]
-            yield pd.DataFrame(rows, columns=["source_id", "epoch", "ok", "declared", "entries"])
+    def read(page: str | None) -> list[tuple]:
+        ok, declared, entries = _stack(page, stack)
+        return [(ok, declared, None if entries is None else [dict(zip(("id", "title", "notes"), e)) for e in entries])]
 
-    return pages.select(*KEYS, "body").mapInPandas(run, f"source_id string, epoch bigint, {_STACK}")
+    return html.page_rows(pages.select("source_id", F.col("epoch").cast("bigint").alias("epoch"), "body"), "body", read, _STACK, *KEYS)
 
 
 def stack(pages: DataFrame, number: str) -> DataFrame:
@@ -348,16 +349,26 @@ def stack(pages: DataFrame, number: str) -> DataFrame:
     return _observations(each, guid=F.col("e.id"), title=F.col("e.title"), link=F.concat(F.lit(f"https://{STACK_HOST}/anime/"), F.col("e.id")), metadata=note)
 
 
+def _films(page: str | None) -> list[tuple]:
+    """Place of each article, address and text of the first anchor in its first title."""
+    nodes = html.parse(page, frozenset(("a",)))
+    titles = [n[0] for n in nodes if n[4] == "element" and html.of_class(n, "entry-title")]
+    anchors, found = [n[0] for n in nodes if n[5] == "a"], []
+    for n in nodes:
+        if n[4] == "element" and html.of_class(n, "type-films"):
+            title = html.first_within(nodes, titles, n)
+            anchor = html.first_within(nodes, anchors, title) if title else None
+            if anchor:
+                found.append((n[0], anchor[6].get("href", ""), anchor[7]))
+    return found
+
+
 def films(pages: DataFrame) -> DataFrame:
     """Films of the archive: the first anchor in each article's title."""
-    nodes = html.dom_nodes(pages, "body", *KEYS, text_of=("a",))
-    articles = html.elements(nodes, cls="type-films").select(*KEYS, F.col("pos").alias("article"), F.col("subtree_end").alias("until"))
-    titles = html.elements(nodes, cls="entry-title").select(*KEYS, F.col("pos").alias("t"), F.col("subtree_end").alias("t_end"))
-    title = titles.join(articles, list(KEYS)).where("t between article and until").groupBy(*KEYS, "article").agg(F.min(F.struct("t", "t_end")).alias("h")).select(*KEYS, "article", "h.*")
-    anchors = html.elements(nodes, "a").join(title, list(KEYS)).where("pos between t and t_end").groupBy(*KEYS, "article").agg(F.min_by(F.struct("attrs", "text"), "pos").alias("a"))
-    link = F.trim(html.attribute("href", F.col("a.attrs")))
+    anchors = html.page_rows(pages, "body", _films, "article int, href string, text string", *KEYS)
+    link = F.trim("href")
     path = F.coalesce(urls.part(link, "PATH"), F.regexp_extract(link, r"^[^?#]*", 0))
-    found = anchors.where(urls.on_site(link, [FILM_HOST], FILM_PATH) & ~link.rlike("(?i)^http://")).select(*KEYS, F.col("article").alias("ord"), F.regexp_extract(path, FILM_PATH, 1).alias("slug"), text.collapse_space("a.text").alias("title")).where("title <> ''")
+    found = anchors.where(urls.on_site(link, [FILM_HOST], FILM_PATH) & ~link.rlike("(?i)^http://")).select(*KEYS, F.col("article").alias("ord"), F.regexp_extract(path, FILM_PATH, 1).alias("slug"), text.collapse_space("text").alias("title")).where("title <> ''")
     return _first_of(_observations(found, guid=F.concat(F.lit("visionario:film:"), F.col("slug")), title=F.col("title"), link=F.concat(F.lit(f"https://{FILM_HOST}/films/"), F.col("slug"), F.lit("/"))))
 
 
@@ -383,21 +394,15 @@ def film_description(opening: Column, halls: Column) -> Column:
 
 def screenings(pages: DataFrame) -> DataFrame:
     """Films linked from the programme, but not by a link that only says more."""
-    nodes = html.dom_nodes(pages, "body", *KEYS)
-    link = F.trim(html.attribute("href"))
+    rows = html.page_rows(pages, "body", lambda page: html.anchor_texts(page, "properties"), "pos int, href string, content string", *KEYS)
+    link = F.trim("href")
     path = F.regexp_replace(F.coalesce(urls.part(link, "PATH"), F.regexp_extract(link, r"^[^?#]*", 0)), "/$", "")
     film = F.coalesce(urls.query_value(link, "id_pro"), F.regexp_extract(link, r"[?&]id_pro=([^&#]*)", 1))
-    anchors = html.elements(nodes, "a").where((urls.on_site(link, [CINEMA_HOST], ".*") | path.isin("scheda-film")) & path.isin("/scheda-film", "scheda-film")).withColumn("id", film).where(F.col("id").rlike("^[0-9]+$"))
-    said = _text_without(nodes, anchors, "properties")
-    found = anchors.select(*KEYS, "pos", "id").join(said, [*KEYS, "pos"]).withColumn("title", text.collapse_space("content")).where((F.col("title") != "") & ~F.lower("title").isin(MORE_LINKS))
+    anchors = rows.where((urls.on_site(link, [CINEMA_HOST], ".*") | path.isin("scheda-film")) & path.isin("/scheda-film", "scheda-film")).withColumn("id", film).where(F.col("id").rlike("^[0-9]+$"))
+    found = anchors.select(*KEYS, "pos", "id", "content").withColumn("title", text.collapse_space("content")).where((F.col("title") != "") & ~F.lower("title").isin(MORE_LINKS))
     return _first_of(_observations(found.withColumnRenamed("pos", "ord"), guid=F.concat(F.lit("citta-fiera:film:"), F.col("id")), title=F.col("title"), link=F.concat(F.lit(f"https://{CINEMA_HOST}/scheda-film/?id_pro="), F.col("id"))))
 
 
-def _text_without(nodes: DataFrame, roots: DataFrame, cls: str) -> DataFrame:
-    """source_id, epoch, pos, content: text below each root, but for that of elements of a class."""
-    return html.subtree_text(nodes, roots, *KEYS, without=html.elements(nodes, cls=cls)).withColumnRenamed("of", "pos")
-
-
 def screening_notes(pages: DataFrame, *keys: str) -> DataFrame:
     """The keys (source_id, guid unless given), first_day, director, duration from films' own pages (columns: keys, body); first_day is null if unreadable."""
     keys = keys or ITEM
@@ -462,16 +467,25 @@ def player_url(kind: Column, id: Column) -> Column:
     )
 
 
+def _runs(page: str | None) -> list[tuple]:
+    """Place, tag, text, address and label of bold and italic runs and players. A bold run with a line break
+    among its children is a genre: its label is the text before the break."""
+    nodes, said, labels, found = html.parse(page, frozenset(("strong", "em"))), {}, {}, []
+    for n in nodes:
+        if n[4] == "text":
+            said.setdefault(n[1], []).append(n[7])
+        elif n[5] == "br" and n[1] not in labels:
+            labels[n[1]] = "".join(said.get(n[1], ())).strip(" ")
+    for n in nodes:
+        if n[5] in ("strong", "em", "iframe"):
+            found.append((n[0], n[5], n[7], n[6].get("src", ""), labels.get(n[0])))
+    return found
+
+
 def releases(pages: DataFrame) -> DataFrame:
     """Releases in the order of the text: named in prose (bold artist, then the next title) or embedded."""
     read = pages.select(*KEYS, F.from_json("body", "ID int, content string").alias("r")).where(f"r.ID = {RECOMMENDATION_PAGE} and r.content is not null").select(*KEYS, F.col("r.content").alias("content"))
-    nodes = html.dom_nodes(read, "content", *KEYS, text_of=("strong", "em"))
-    el = html.elements(nodes).where(F.col("tag").isin("strong", "em", "iframe"))
-    # A bold run with a line break among its children is a genre: the text before the break.
-    kids = nodes.where("kind = 'text' or tag = 'br'").groupBy(*KEYS, "parent").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("kids"))
-    at = F.array_position(F.transform("kids", lambda k: k["kind"]), "element").cast("int")
-    label = F.when(at > 0, F.btrim(F.array_join(F.transform(F.slice("kids", F.lit(1), F.greatest(at - 1, F.lit(0))), lambda k: k["text"]), "")))
-    rows = el.join(kids.select(*KEYS, F.col("parent").alias("pos"), label.alias("label")), [*KEYS, "pos"], "left")
+    rows = html.page_rows(read, "content", _runs, "pos int, tag string, text string, src string, label string", *KEYS)
     is_genre = (F.col("tag") == "strong") & (F.coalesce("label", F.lit("")) != "")
     name = F.when((F.col("tag") == "strong") & ~is_genre, F.nullif(text.clean_name(F.trim("text")), F.lit("")))
     order = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -480,7 +494,7 @@ def releases(pages: DataFrame) -> DataFrame:
     within = Window.partitionBy(*KEYS, "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("artist", F.first("name").over(within)).withColumn("nth", F.count("title").over(within))
     named = F.when((F.col("tag") == "em") & F.col("title").isNotNull() & F.col("artist").isNotNull() & (F.col("nth") == 1), text.prose_slug("artist", "title"))
-    r = F.when(F.col("tag") == "iframe", embedded_release(html.attribute("src"))).when(named.isNotNull(), F.struct(F.lit("named").alias("kind"), named.alias("id")))
+    r = F.when(F.col("tag") == "iframe", embedded_release(F.col("src"))).when(named.isNotNull(), F.struct(F.lit("named").alias("kind"), named.alias("id")))
     found = rows.withColumn("r", r).where("r.id is not null").withColumnRenamed("pos", "ord")
     title = F.when(F.col("r.kind") == "named", F.concat("artist", F.lit(" — "), "title")).otherwise(F.lit(""))
     return _first_of(_observations(found, guid=release_guid(F.col("r.kind"), F.col("r.id")), title=title, link=F.lit(RECOMMENDATIONS), description=text.genre_description("genre")))

@@ -13,23 +13,31 @@ span of the page's text, and the spans are cut out of it where the page is one r
 from __future__ import annotations
 
 import os
+import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from html import unescape
+from itertools import chain, repeat
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from feltloom.functions.fragments import VOID
 from feltloom.functions.text import collapse_space
 from feltloom.model import DOM_NODES
-from feltloom.sources.scan import Scanner
+from feltloom.sources.scan import Scanner, fields, usual
 
 # Elements without content, those that end an open paragraph, implied ends.
 MAX_DEPTH = 512
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr"}, {"table"})}
+#: Tags that neither end others nor are without content.
+_INLINE = frozenset("a abbr article b button code em footer header h1 h2 h3 h4 h5 h6 i iframe main nav s section small span strong sub sup u".split()) - ENDS_P
 
 
 class _Tree:
@@ -41,38 +49,76 @@ class _Tree:
         self.places: dict[str, list[int]] = defaultdict(list)  # by tag: places in ``open``
         self.said: list[str] = []  # texts; nodes note where theirs ends, ``from_`` where it begins
         self.length, self.text_of, self.from_ = 0, text_of, {}
-        joins = False
-        for kind, name, attrs in Scanner(page).events():
-            if kind == "text":
-                self._text(name, joins)
-            elif kind == "start":
-                self._start(name, attrs)
-            elif kind == "end" and self.places[name]:
-                self._close(self.places[name][-1])
-            joins = kind == "text"
+        tokens = usual(page)
+        if tokens is None:
+            self._events(Scanner(page).events())
+        else:
+            self._tokens(tokens)
         self._close(0)
         whole = "".join(self.said)
         for pos, start in self.from_.items():
             self.nodes[pos][7] = whole[start : self.nodes[pos][7]]
 
-    def _add(self, kind: str, tag: str | None, attrs: dict | None, text: str | None) -> int:
+    def _tokens(self, tokens: list[tuple]) -> None:
+        """The same as ``_events`` in one plain loop: texts never meet here."""
+        nodes, opened, said, places, text_of, plain = self.nodes, self.open, self.said, self.places, self.text_of, _INLINE - self.text_of
+        for text, closing, tag, pairs, _ in tokens:
+            if text:
+                if "&" in text:
+                    text = unescape(text)
+                said.append(text)
+                self.length += len(text)
+                nodes.append([len(nodes), opened[-1] if opened else -1, len(nodes), len(opened), "text", None, None, text])
+                continue
+            if not tag.islower():
+                tag = tag.lower()
+            if not closing:
+                attrs = fields(pairs) if pairs else {}
+                if tag in plain:
+                    pos = len(nodes)
+                    nodes.append([pos, opened[-1] if opened else -1, pos, len(opened), "element", tag, attrs, None])
+                    if len(opened) < MAX_DEPTH:
+                        places[tag].append(len(opened))
+                        opened.append(pos)
+                else:
+                    self._start(tag, attrs)
+            elif places.get(tag):
+                at = places[tag][-1]
+                if at == len(opened) - 1 and tag not in text_of:
+                    nodes[opened.pop()][2] = len(nodes) - 1
+                    places[tag].pop()
+                else:
+                    self._close(at)
+
+    def _events(self, events: Iterable[tuple]) -> None:
+        joins = False
+        for kind, name, attrs in events:
+            if kind == "text":
+                if not joins:
+                    self.from_[self._add("text", None, None)] = self.length
+                self.said.append(name)
+                self.length += len(name)
+                self.nodes[-1][7] = self.length
+                joins = True
+                continue
+            joins = False
+            if kind == "start":
+                self._start(name, attrs)
+            elif kind == "end" and self.places.get(name):
+                self._close(self.places[name][-1])
+
+    def _add(self, kind: str, tag: str | None, attrs: dict | None) -> int:
         pos = len(self.nodes)
-        self.nodes.append([pos, self.open[-1] if self.open else -1, pos, len(self.open), kind, tag, attrs, text])
+        self.nodes.append([pos, self.open[-1] if self.open else -1, pos, len(self.open), kind, tag, attrs, None])
         return pos
 
-    def _text(self, text: str, joins: bool) -> None:
-        if not joins:
-            self.from_[self._add("text", None, None, None)] = self.length
-        self.said.append(text)
-        self.length += len(text)
-        self.nodes[-1][7] = self.length
-
     def _start(self, tag: str, attrs: dict) -> None:
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.places.get("p"):
             self._end_open(("p",), ("table", "td", "button"))
         if tag in SAME:
             self._end_open(*SAME[tag])
-        pos = self._add("element", tag, attrs, None)
+        pos = len(self.nodes)
+        self.nodes.append([pos, self.open[-1] if self.open else -1, pos, len(self.open), "element", tag, attrs, None])
         if tag in self.text_of:
             self.from_[pos] = self.length
             self.nodes[pos][7] = self.length
@@ -80,17 +126,25 @@ class _Tree:
             self.places[tag].append(len(self.open))
             self.open.append(pos)
 
+    def _last(self, tags: Iterable[str]) -> int:
+        last = -1
+        for t in tags:
+            places = self.places.get(t)
+            if places and places[-1] > last:
+                last = places[-1]
+        return last
+
     def _end_open(self, ends: Iterable[str], within: Iterable[str]) -> None:
-        last = lambda tags: max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
-        at = last(ends)
-        if at > last(within):
+        at = self._last(ends)
+        if at >= 0 and at > self._last(within):
             self._close(at)
 
     def _close(self, to: int) -> None:
+        last = len(self.nodes) - 1
         while len(self.open) > to:
             node = self.nodes[self.open.pop()]
             self.places[node[5]].pop()
-            node[2] = len(self.nodes) - 1
+            node[2] = last
             if node[0] in self.from_:
                 node[7] = self.length
 
@@ -100,6 +154,36 @@ def parse(page: str | None, text_of: frozenset = frozenset()) -> list[tuple]:
     return [tuple(n) for n in _Tree(page or "", text_of).nodes]
 
 
+# What helpers of one page's nodes share: they run where the page is one row, which spares shuffles of nodes.
+
+_CLASSES = re.compile(r"[\s\x0b]+", re.A)
+
+
+def of_class(node: tuple, name: str) -> bool:
+    value = (node[6] or {}).get("class")
+    return bool(value) and name in value and name in _CLASSES.split(value)
+
+
+def first_within(nodes: list[tuple], places: list[int], root: tuple) -> tuple | None:
+    """The first of the nodes at ``places`` (ascending) that is the root or below it."""
+    at = bisect_left(places, root[0])
+    return nodes[places[at]] if at < len(places) and places[at] <= root[2] else None
+
+
+def anchor_texts(page: str | None, without: str) -> list[tuple]:
+    """pos, href and text of every anchor, but for the text of elements of a class."""
+    nodes, said, before, out = parse(page), [], [], -1
+    for n in nodes:
+        before.append(len(said))
+        if n[4] == "text":
+            if n[0] > out:
+                said.append(n[7])
+        elif of_class(n, without):
+            out = max(out, n[2])
+    before.append(len(said))
+    return [(n[0], n[6].get("href", ""), "".join(said[before[n[0]] : before[n[2] + 1]])) for n in nodes if n[5] == "a"]
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver did."""
     top, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -108,32 +192,41 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(p for p in (top, *paths) if p)
 
 
-_KINDS = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+#: Text handled at a time, and the fewest pages.
+BATCH_BYTES, BATCH_PAGES = 4 << 20, 64
 
 
-def dom_nodes(pages: DataFrame, body: str, *keys: str, text_of: tuple[str, ...] = ()) -> DataFrame:
-    """The keys and all nodes of each page. ``text_of``: tags whose elements carry the text below them, which
-    spares most selections a join."""
-    wanted = frozenset(text_of)
+def page_rows(pages: DataFrame, body: str, read: Callable[[str | None], list[tuple]], schema: str, *keys: str) -> DataFrame:
+    """The keys and what ``read`` tells of each page, any number of rows, in one Arrow pass. Maps are given as dicts."""
     importable(pages.sparkSession)
-    names = [x.split()[0] for x in DOM_NODES.split(", ")]
+    fields_of = StructType.fromDDL(schema)
+    names, kinds = fields_of.names, [f.type for f in to_arrow_schema(fields_of)]
+
+    def column(values: tuple, kind: pa.DataType) -> pa.Array:
+        return pa.array([None if x is None else list(x.items()) for x in values] if pa.types.is_map(kind) else values, kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                found = [parse(x, wanted) for x in part.column(part.schema.get_field_index("__body")).to_pylist()]
-                rows = [n for nodes in found for n in nodes]
+            bodies = batch.column(len(keys))
+            step = max(BATCH_PAGES, batch.num_rows * BATCH_BYTES // max(1, bodies.nbytes))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                found = [read(x) for x in part.column(len(keys)).to_pylist()]
+                rows = list(chain.from_iterable(found))
                 if not rows:
                     continue
-                at = pa.array([i for i, nodes in enumerate(found) for _ in nodes])
-                columns = list(zip(*rows))
-                columns[6] = [None if a is None else list(a.items()) for a in columns[6]]
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(len(keys))), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], names=[*keys, *names])
+                at = pa.array(chain.from_iterable(map(repeat, range(len(found)), map(len, found))), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(len(keys))), *map(column, zip(*rows), kinds)], names=[*keys, *names])
 
     kept = pages.select(*keys, F.col(body).alias("__body"))
-    schema = ", ".join([*(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys), DOM_NODES])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, ", ".join([*(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys), schema]))
+
+
+def dom_nodes(pages: DataFrame, body: str, *keys: str, text_of: tuple[str, ...] = ()) -> DataFrame:
+    """The keys and all nodes of each page. ``text_of``: tags whose elements carry the text below them, which
+    spares most selections a join."""
+    wanted = frozenset(text_of)
+    return page_rows(pages, body, lambda page: parse(page, wanted), DOM_NODES, *keys)
 
 
 def register(spark: SparkSession) -> None:
