@@ -37,9 +37,14 @@ def resolve(base: str, url: Column | str) -> Column:
     return F.when(u.rlike(r"(?i)^https?://"), u).when(u.startswith("//"), F.concat(F.lit(f"{scheme}:"), u)).when(u.startswith("/"), F.concat(F.lit(f"{scheme}://{host}"), u))
 
 
-def on_site(url: Column | str, hosts: list[str], path: str) -> Column:
-    """An http(s) URL (or a root-relative one) of one of the hosts whose path matches."""
+def site_path(url: Column | str, hosts: list[str]) -> Column:
+    """The path of an http(s) URL (or a root-relative one) of one of the hosts; null for any other."""
     u = F.trim(_c(url))
-    host, relative = F.lower(F.coalesce(part(u, "HOST"), F.lit(""))), u.startswith("/") & ~u.startswith("//")
-    scheme = F.coalesce(F.lower(part(u, "PROTOCOL")), F.lit(""))
-    return (relative | host.isin(hosts) & scheme.isin("http", "https", "")) & F.coalesce(part(u, "PATH"), F.regexp_extract(u, r"^[^?#]*", 0)).rlike(path)
+    host, scheme = F.lower(F.coalesce(part(u, "HOST"), F.lit(""))), F.coalesce(F.lower(part(u, "PROTOCOL")), F.lit(""))
+    before = F.regexp_extract(u, r"^[^?#]*", 0)  # what a parser takes for the path of a root-relative one, too
+    return F.when(u.startswith("/") & ~u.startswith("//"), before).when(host.isin(hosts) & scheme.isin("http", "https", ""), F.coalesce(part(u, "PATH"), before))
+
+
+def on_site(url: Column | str, hosts: list[str], path: str) -> Column:
+    """Whether it is such a URL and its path matches."""
+    return F.when(_c(url).isNotNull(), F.coalesce(site_path(url, hosts).rlike(path), F.lit(False)))

@@ -42,6 +42,11 @@ def _observations(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("source_id", "epoch", F.col("ord").cast("int").alias("ord"), *[given[c].alias(c) for c in ("guid", "title", "link", "description", "metadata", "pub_date", "replies")])
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row, however often it is read: conditions on what is exploded stay above it."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def _first_of(rows: DataFrame) -> DataFrame:
     return keep_first(rows, ["source_id", "epoch", "guid"], "ord")
 
@@ -72,7 +77,7 @@ def thread_items(threads: DataFrame, general: str) -> DataFrame:
 
 def _chapters(page: str | None) -> list[tuple]:
     """Place and address of each anchor that has divs for children, and what these say."""
-    nodes, divs = html.parse(page, frozenset(("div",))), {}
+    nodes, divs = html.tree(page, frozenset(("div",))), {}
     for n in nodes:
         if n[5] == "div" and n[1] >= 0 and nodes[n[1]][5] == "a":
             divs.setdefault(n[1], []).append(n[7])
@@ -82,14 +87,14 @@ def _chapters(page: str | None) -> list[tuple]:
 def chapters(pages: DataFrame) -> DataFrame:
     """Chapter links whose heading names the link's number."""
     rows = html.page_rows(pages, "body", _chapters, "parent int, href string, divs array<string>", *KEYS)
-    link = F.trim("href")
-    path = F.coalesce(urls.part(link, "PATH"), F.regexp_extract(link, r"^[^?#]*", 0))
-    anchors = rows.where(urls.on_site(link, [CHAPTER_HOST], CHAPTER_PATH) & ~link.rlike("(?i)^http://"))
-    anchors = anchors.select(*KEYS, "parent", "divs", path.alias("path"), F.regexp_extract(path, CHAPTER_PATH, 1).try_cast("int").alias("number")).where("number > 0")
-    joined = anchors.withColumn("texts", F.filter(F.transform("divs", lambda d: text.collapse_space(d)), lambda x: x != ""))
-    named = F.transform("texts", lambda x: F.regexp_extract(x, r"(?i)\bchapter\s+(\d+)\b", 1).try_cast("int").eqNullSafe(F.col("number")))
-    at = F.array_position(named, True).cast("int")
-    found = joined.withColumn("at", at).where("at > 0").select(*KEYS, F.col("parent").alias("ord"), "number", "path", F.get("texts", F.col("at") - 1).alias("heading"), F.get("texts", F.col("at")).alias("subtitle"))
+    anchors = _once(rows.where(~F.trim("href").rlike("(?i)^http://")), "path", urls.site_path("href", [CHAPTER_HOST])).where("path is not null")
+    # A cast that fails is an exception, which takes longer than all else here: what has no number is told before.
+    linked = _once(anchors, "digits", F.regexp_extract("path", CHAPTER_PATH, 1)).where("digits <> ''")
+    numbered = _once(linked, "number", F.col("digits").try_cast("int")).where("number > 0")
+    said = _once(numbered, "texts", F.filter(F.transform("divs", lambda d: text.collapse_space(d)), lambda x: x != ""))
+    named = F.transform("texts", lambda x: F.regexp_extract(x, r"(?i)\bchapter\s+0*(\d+)\b", 1) == F.col("number").cast("string"))
+    placed = _once(said, "at", F.array_position(named, True).cast("int")).where("at > 0")
+    found = placed.select(*KEYS, F.col("parent").alias("ord"), "number", "path", F.get("texts", F.col("at") - 1).alias("heading"), F.get("texts", F.col("at")).alias("subtitle"))
     number = F.col("number").cast("string")
     return _first_of(_observations(found, guid=F.concat(F.lit("one-piece:chapter:"), number), title=text.join_titles("heading", "subtitle"), link=F.concat(F.lit(f"https://{CHAPTER_HOST}"), F.col("path"))))
 
@@ -100,7 +105,7 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 def _section(page: str | None) -> list[tuple]:
     """Place, address and text of the anchors between the first heading that says so and the next heading."""
     found, inside = [], False
-    for n in html.parse(page, _HEADINGS | {"a"}):
+    for n in html.tree(page, _HEADINGS | {"a"}):
         if n[5] in _HEADINGS:
             if inside:
                 break
@@ -114,7 +119,7 @@ def essays(pages: DataFrame) -> DataFrame:
     """Links of the first section headed so in each <noscript>, whose text is a page of its own."""
     rows = html.page_rows(_noscripts(pages), "text", _section, "pos int, href string, text string", *KEYS, "block")
     slug = F.regexp_extract(F.trim("href"), ESSAY_PATH, 1)
-    found = rows.withColumn("slug", slug).where((F.col("slug") != "") & (F.col("slug") != "issues") & (F.trim("text") != ""))
+    found = _once(rows, "slug", slug).where((F.col("slug") != "") & (F.col("slug") != "issues") & (F.trim("text") != ""))
     found = found.withColumn("ord", F.col("block") * 100_000 + F.col("pos"))
     return _first_of(_observations(found, guid=F.concat(F.lit("coached:essay:"), F.col("slug")), title=F.btrim(F.col("text")), link=F.concat(F.lit(f"https://{ESSAY_HOST}/essays/"), F.col("slug"), F.lit("/"))))
 
@@ -138,12 +143,14 @@ _ROW = "heading string, n int, cells map<string,string>"
 
 def _tables(page: str | None) -> list[tuple[str, int, dict]]:
     """(heading, row, {column: text}) of the tables outside tables, cells that span rows repeated below."""
-    nodes = html.parse(page)
-    skip = lambda n: n[5] == "sup" or "class" in n[6] and "reference" in n[6]["class"].split()
-
-    def words(n: tuple) -> str:
-        out, i = [], n[0]
-        while i <= n[2]:
+    nodes = html.tree(page)
+    skip = lambda n: n[5] == "sup" or n[6] and "class" in n[6] and "reference" in n[6]["class"].split()
+
+    def words(n: list) -> str:
+        out, i, last = [], n[0], n[2]
+        if last == i + 1 and not skip(n):  # most cells hold one text
+            out, i = [nodes[last][7] or ""], last + 1
+        while i <= last:
             m = nodes[i]
             if m[4] == "text":
                 out.append(m[7])
@@ -151,7 +158,7 @@ def _tables(page: str | None) -> list[tuple[str, int, dict]]:
                 i = m[2]
             i += 1
         s = " ".join(" ".join(out).split())
-        return s.replace(" ,", ",").replace("( ", "(").replace(" )", ")")
+        return s.replace(" ,", ",").replace("( ", "(").replace(" )", ")") if " ," in s or "( " in s or " )" in s else s
 
     found, heading, i = [], "", 0
     while i < len(nodes):
@@ -289,7 +296,7 @@ _STACK = "ok boolean, declared int, entries array<struct<id:string,title:string,
 
 
 def _stack(page: str | None, stack: str) -> tuple:
-    nodes, bad = html.parse(page), (False, None, None)
+    nodes, bad = html.tree(page), (False, None, None)
     has = lambda n, name: name in (n[6].get("class") or "") and name in n[6]["class"].split()
     below = lambda n: nodes[n[0] : n[2] + 1]
     words = lambda n: "".join([m[7] for m in below(n) if m[4] == "text"])
@@ -351,7 +358,7 @@ def stack(pages: DataFrame, number: str) -> DataFrame:
 
 def _films(page: str | None) -> list[tuple]:
     """Place of each article, address and text of the first anchor in its first title."""
-    nodes = html.parse(page, frozenset(("a",)))
+    nodes = html.tree(page, frozenset(("a",)))
     titles = [n[0] for n in nodes if n[4] == "element" and html.of_class(n, "entry-title")]
     anchors, found = [n[0] for n in nodes if n[5] == "a"], []
     for n in nodes:
@@ -470,7 +477,7 @@ def player_url(kind: Column, id: Column) -> Column:
 def _runs(page: str | None) -> list[tuple]:
     """Place, tag, text, address and label of bold and italic runs and players. A bold run with a line break
     among its children is a genre: its label is the text before the break."""
-    nodes, said, labels, found = html.parse(page, frozenset(("strong", "em"))), {}, {}, []
+    nodes, said, labels, found = html.tree(page, frozenset(("strong", "em"))), {}, {}, []
     for n in nodes:
         if n[4] == "text":
             said.setdefault(n[1], []).append(n[7])

@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from html import unescape
 from itertools import chain, repeat
 from pathlib import Path
@@ -30,7 +31,7 @@ from pyspark.sql.types import StructType
 from feltloom.functions.fragments import VOID
 from feltloom.functions.text import collapse_space
 from feltloom.model import DOM_NODES
-from feltloom.sources.scan import Scanner, fields, usual
+from feltloom.sources.scan import Scanner, usual
 
 # Elements without content, those that end an open paragraph, implied ends.
 MAX_DEPTH = 512
@@ -40,6 +41,12 @@ SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt"
 _INLINE = frozenset("a abbr article b button code em footer header h1 h2 h3 h4 h5 h6 i iframe main nav s section small span strong sub sup u".split()) - ENDS_P
 
 
+@lru_cache(64)
+def _loose(text_of: frozenset) -> tuple[frozenset, dict, frozenset]:
+    """Tags without a text of their own that never end others; that don't right below one of some tags; that don't unless a p is open."""
+    return _INLINE - text_of, {t: within for t, (_, within) in SAME.items() if t not in text_of}, ENDS_P - VOID - text_of
+
+
 class _Tree:
     """Nodes of a page in one pass. Where an element of a tag is open is known by tag, so no end looks through all that is open."""
 
@@ -53,42 +60,39 @@ class _Tree:
         if tokens is None:
             self._events(Scanner(page).events())
         else:
-            self._tokens(tokens)
+            self._tokens(*tokens)
         self._close(0)
         whole = "".join(self.said)
         for pos, start in self.from_.items():
             self.nodes[pos][7] = whole[start : self.nodes[pos][7]]
 
-    def _tokens(self, tokens: list[tuple]) -> None:
-        """The same as ``_events`` in one plain loop: texts never meet here."""
-        nodes, opened, said, places, text_of, plain = self.nodes, self.open, self.said, self.places, self.text_of, _INLINE - self.text_of
-        for text, closing, tag, pairs, _ in tokens:
+    def _tokens(self, before: str, tags: list[tuple], texts: list[str]) -> None:
+        """The same as ``_events`` in one plain loop: texts never meet here, and most tags neither end others nor are without content."""
+        nodes, opened, said, places = self.nodes, self.open, self.said, self.places
+        plain, same, blocks = _loose(self.text_of)
+        for (closing, tag, attrs), text in chain((((None, "", {}), before),), zip(tags, texts)):
+            if closing:
+                if at := places.get(tag):
+                    if at[-1] == len(opened) - 1 and tag not in self.text_of:
+                        nodes[opened.pop()][2] = len(nodes) - 1
+                        at.pop()
+                    else:
+                        self._close(at[-1])
+            elif tag in plain or tag in same and opened and nodes[opened[-1]][5] in same[tag] or tag in blocks and not places.get("p"):
+                pos, depth = len(nodes), len(opened)
+                nodes.append([pos, opened[-1] if depth else -1, pos, depth, "element", tag, attrs, None])
+                if depth < MAX_DEPTH:
+                    places[tag].append(depth)
+                    opened.append(pos)
+            elif tag:
+                self._start(tag, attrs)
             if text:
                 if "&" in text:
                     text = unescape(text)
                 said.append(text)
                 self.length += len(text)
-                nodes.append([len(nodes), opened[-1] if opened else -1, len(nodes), len(opened), "text", None, None, text])
-                continue
-            if not tag.islower():
-                tag = tag.lower()
-            if not closing:
-                attrs = fields(pairs) if pairs else {}
-                if tag in plain:
-                    pos = len(nodes)
-                    nodes.append([pos, opened[-1] if opened else -1, pos, len(opened), "element", tag, attrs, None])
-                    if len(opened) < MAX_DEPTH:
-                        places[tag].append(len(opened))
-                        opened.append(pos)
-                else:
-                    self._start(tag, attrs)
-            elif places.get(tag):
-                at = places[tag][-1]
-                if at == len(opened) - 1 and tag not in text_of:
-                    nodes[opened.pop()][2] = len(nodes) - 1
-                    places[tag].pop()
-                else:
-                    self._close(at)
+                pos, depth = len(nodes), len(opened)
+                nodes.append([pos, opened[-1] if depth else -1, pos, depth, "text", None, None, text])
 
     def _events(self, events: Iterable[tuple]) -> None:
         joins = False
@@ -149,9 +153,14 @@ class _Tree:
                 node[7] = self.length
 
 
-def parse(page: str | None, text_of: frozenset = frozenset()) -> list[tuple]:
+def tree(page: str | None, text_of: frozenset = frozenset()) -> list[list]:
     """Nodes of a page; elements of the tags ``text_of`` carry the text below them."""
-    return [tuple(n) for n in _Tree(page or "", text_of).nodes]
+    return _Tree(page or "", text_of).nodes
+
+
+def parse(page: str | None, text_of: frozenset = frozenset()) -> list[tuple]:
+    """The same as rows."""
+    return [tuple(n) for n in tree(page, text_of)]
 
 
 # What helpers of one page's nodes share: they run where the page is one row, which spares shuffles of nodes.
@@ -172,7 +181,7 @@ def first_within(nodes: list[tuple], places: list[int], root: tuple) -> tuple |
 
 def anchor_texts(page: str | None, without: str) -> list[tuple]:
     """pos, href and text of every anchor, but for the text of elements of a class."""
-    nodes, said, before, out = parse(page), [], [], -1
+    nodes, said, before, out = tree(page), [], [], -1
     for n in nodes:
         before.append(len(said))
         if n[4] == "text":
