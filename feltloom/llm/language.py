@@ -25,10 +25,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import Shared, id_text, importable, rows_of, sliced, worker_cache
+from feltloom.llm.common import Shared, id_text, importable, sliced, worker_cache
 from feltloom.llm.sampling import bounded_ids, fitted_in_task, fold
 
 #: The bounded sample: documents, windows of each, words of a window.
@@ -36,7 +37,7 @@ TRAIN_DOCUMENTS, TRAIN_WINDOWS, TRAIN_WORDS = 4000, 4, 32
 #: Hashed features; share of spliced windows; passes; step; decay.
 FEATURES, SPLICED, EPOCHS, STEP, DECAY = 1 << 16, 0.25, 3, 0.5, 1e-6
 #: Words of a worker's emission cache; bytes of text labelled at a time.
-CACHE_WORDS, SLICE_BYTES = 200_000, 3 << 20
+CACHE_WORDS, SLICE_BYTES = 200_000, 1 << 20
 UNDETERMINED = "und"
 
 
@@ -264,23 +265,30 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Field:
     return fitted_in_task(sample.select("row.text", "row.lang"), train, lambda: Field([]))
 
 
-def _predict(shared: Shared, carried: int):
+def _predict(shared: Shared, carried: int, path: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = worker_cache(("language", shared.key), lambda: Labeller(shared.value))
-        for batch in sliced(batches, "lang_text", SLICE_BYTES):
-            found = labeller.predict([t for (t,) in rows_of(batch, "lang_text")])
-            columns = [batch.column(i) for i in range(carried)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names[:carried], "lang_pred", "lang_score"])
+        for whole in batches:
+            text = whole.column(whole.schema.get_field_index(path[0]))
+            for name in path[1:]:
+                text = pc.struct_field(text, name)
+            columns = [*whole.columns[:carried], text]
+            names = [str(i) for i in range(carried)] + ["text"]
+            for batch in sliced([pa.RecordBatch.from_arrays(columns, names=names)], "text", SLICE_BYTES):
+                found = labeller.predict(batch.column(carried).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:carried], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*whole.schema.names[:carried], "lang_pred", "lang_score"])
 
     return run
 
 
 def label_documents(rows: DataFrame, text: str, field: Field) -> DataFrame:
-    """``rows`` with lang_pred and lang_score of the column ``text``."""
+    """``rows`` with lang_pred and lang_score of the column ``text``, which is sent to the workers once: a string as it stands in its row."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*rows.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType())
-    return rows.withColumn("lang_text", F.col(text).cast("string")).mapInArrow(_predict(Shared(rows.sparkSession, field), len(rows.columns)), schema)
+    is_text = isinstance(rows.select(text).schema[0].dataType, StringType)
+    sent = rows if is_text else rows.withColumn("lang_text", F.col(text).cast("string"))
+    return sent.mapInArrow(_predict(Shared(rows.sparkSession, field), len(rows.columns), text.split(".") if is_text else ["lang_text"]), schema)
 
 
 def drop_undetermined(docs: DataFrame) -> DataFrame:

@@ -78,3 +78,18 @@ def test_carries_any_columns(spark):
     field = train(corpus(0, 10))
     got = label_documents(frame, "text", field)
     assert got.columns == [*frame.columns, "lang_pred", "lang_score"] and got.count() == len(rows)
+
+
+def test_texts_are_sent_to_the_workers_once(spark):
+    """The pipeline's stage sent each text twice, in its row and beside it, which an executor's memory did not hold at 0.5 GB."""
+    frame, rows = make_documents(spark)
+    field = train(corpus(0, 10))
+    flat = label_documents(frame.select("doc_id", "text"), "text", field)
+    from pyspark.sql import functions as F
+
+    nested = label_documents(frame.select(F.struct("*").alias("row")), "row.text", field)
+    assert "lang_text" not in nested._jdf.queryExecution().optimizedPlan().toString() + flat._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda r: (str(r[0]), str(r[1]), r[2], round(r[3], 9))
+    assert sorted(map(key, flat.collect())) == sorted(map(key, nested.select("row.doc_id", "row.text", "lang_pred", "lang_score").collect()))
+    numbers = label_documents(frame.select("doc_id"), "doc_id", field).collect()  # what is no string is cast
+    assert len(numbers) == len(rows) and {r.lang_pred for r in numbers} == {"und"}
