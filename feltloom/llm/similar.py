@@ -9,9 +9,11 @@ shingles of each, so only sets that meet there are compared, and these exactly.
 one used puts shingles that repeat in a bounded sample last, so that common passages seldom lead.
 A meeting counts only if the sizes, and what follows of both sets after the first shingle that they share, allow the similarity.
 
-Sets that meet at a shingle are first compared with one of them, anew as long as that links many; then
+Sets that meet at a shingle are first compared with one of them, at first that in which fewest shingles come before it (what
+the others were edited from, as edits make rare shingles), and anew as long as that links many; then
 every two that are still of different components are compared. So no pair is left out, while a large
-group of near copies costs few comparisons a member. Before any text is sent for, a pair's parity bitmaps
+group of near copies costs few comparisons a member; where many sets still meet, the last comparison looks at their bitmaps at
+once, so that only pairs that may be similar come out of it. Before any text is sent for, a pair's parity bitmaps
 (``PARITY`` bits, each the parity of the shingles hashed to it) are compared: they differ in no more bits than the sets in
 shingles, so a pair whose bitmaps differ in over a ninth of both sizes is not similar. Sets of more shingles than that fill
 such a bitmap, so what is left of their pairs is compared by bitmaps as wide as the sets are large. Copies have one set and are merged beforehand. Shingles that hold
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ PARITY = 1024
 HEAVY, PAIRS = 20, 500
 #: A round of stars that links fewer is the last.
 FEW = 1000
+#: Of more sets that meet at a shingle, the bitmaps go along into the last comparison.
+CROWD = 8
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -85,6 +90,11 @@ def _differ(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
 
 
+def _plainly_differ(x: Column, y: Column) -> Column:
+    """The same of two plain bitmaps, written out: it is asked of every pair that meets."""
+    return reduce(lambda a, b: a + b, [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(PARITY // 64)])
+
+
 def _narrowed(x: Column, y: Column) -> Column:
     """``x`` as wide as ``y`` if that is half as wide: the parity of a bit modulo half the width is that of its two bits."""
     half = F.shiftright(F.size(x), 1)
@@ -186,6 +196,30 @@ def meetings(sets: DataFrame, heavy: DataFrame) -> DataFrame:
     return met.select("gram", "sid", n.cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
 
 
+def joined(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """node, root once ``edges`` (lo, hi) are added: only the components they touch are looked at again."""
+    if roots is None:
+        return components(edges)
+    ends = edges
+    for end in ("lo", "hi"):
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(end, F.coalesce(f"{end}_root", end))
+    between = ends.where("lo != hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct()
+    moved = components(between)
+    kept = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    return write_shared(kept.union(moved.select("node", "root")), "roots")
+
+
+def apart(met: DataFrame, prints: DataFrame) -> DataFrame:
+    """(one, other) of all rows of met (gram, sid, n, pos, part) that share a shingle, are of different parts and may be similar."""
+    # Every pair of different components has a member outside the component that most belong to.
+    main = met.groupBy("gram", "part").count().groupBy("gram").agg(F.max_by("part", "count").alias("main"), (F.sum("count") > CROWD).alias("crowd"))
+    bits = prints.select(F.col("sid").alias("own"), "bits")
+    here = met.join(main, "gram").join(bits, (F.col("sid") == F.col("own")) & F.col("crowd"), "left").drop("own", "crowd")
+    aside = here.where("part != main").select("gram", F.struct("sid", "n", "pos", "part", "bits").alias("c"))
+    may = F.col("bits").isNull() | (9 * _plainly_differ(F.col("bits"), F.col("c.bits")) <= F.col("n") + F.col("c.n"))
+    return _pairs(here.join(aside, "gram").where("part != c.part").where(may))
+
+
 def roots_of_sets(docs: DataFrame, rows: DataFrame, heavy: DataFrame) -> DataFrame:
     """node, root of all sets that are linked to a smaller one."""
     by_set = rows.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("lead").alias("lead"))
@@ -197,28 +231,24 @@ def roots_of_sets(docs: DataFrame, rows: DataFrame, heavy: DataFrame) -> DataFra
     equal = prints.select("fp", F.col("sid").alias("other")).join(first.select("fp", F.col("sid").alias("one")), "fp").where("one != other").select("one", "other")
     balls = write_shared(near.union(equal), "balls")
     edges = write_shared(_verified(balls, prints, docs), "similar")
-    roots = components(edges) if not edges.isEmpty() else None
+    roots = joined(None, edges) if not edges.isEmpty() else None
     turn, last = 0, False
     while True:
         now = met.withColumn("part", F.col("sid"))
         if roots is not None:
             now = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("part"))
         # Of a shingle whose sets are of one component nothing is left to do.
-        one = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "pos", "part")
+        one = F.struct((F.lit(0) if turn else F.col("pos")).alias("before"), F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "pos", "part")
         state = now.groupBy("gram").agg(F.min(one).alias("c"), F.min("part").alias("least"), F.max("part").alias("most")).where("least != most")
         open_ = now.join(state.select("gram", "c"), "gram")
         if last:
-            # Every pair of different components has a member outside the component that most belong to.
-            main = open_.groupBy("gram", "part").count().groupBy("gram").agg(F.max_by("part", "count").alias("main"))
-            aside = open_.join(main, "gram").where("part != main").select("gram", F.struct("sid", "n", "pos", "part").alias("c"))
-            pairs = _pairs(open_.drop("c").join(aside, "gram").where("part != c.part"))
+            pairs = apart(open_.drop("c"), prints)
         else:
             pairs = _pairs(open_.where("part != c.part"))
         new = write_shared(_verified(pairs, prints, docs), "similar")
         found = new.count()
         if found:
-            edges = edges.union(new)
-            roots = components(edges)
+            roots = joined(roots, new)
         if last:
             return roots if roots is not None else edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         turn, last = turn + 1, found < FEW

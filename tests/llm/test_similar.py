@@ -108,3 +108,31 @@ def test_large_sets_match_brute_force(spark):
             for end in (0, size // 20, size // 7, size // 3):
                 rows.append((len(rows), " ".join(base[end:]), None, None, None))
     assert kept(spark.createDataFrame(rows, SCHEMA)) == expected(rows)
+
+
+def test_copies_edited_apart_cost_few_comparisons_a_member(spark, monkeypatch):
+    draw, rows, asked = random.Random(13), [], []
+    for group in range(2):  # three edits each: near copies of what they were edited from (left out of the second), not of each other
+        base = [f"b{group}x{i}" for i in range(150)]
+        if not group:
+            rows.append((0, " ".join(base), None, None, None))
+        for _ in range(60):
+            words = list(base)
+            for at in draw.sample(range(4, 146, 12), 3):
+                words[at] = f"e{len(rows)}x{at}"
+            rows.append((len(rows), " ".join(words), None, None, None))
+    verified = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: (asked.append(pairs.distinct().count()), verified(pairs, *rest))[1])
+    assert kept(spark.createDataFrame(rows, SCHEMA)) == expected(rows)
+    assert sum(asked) < 5 * len(rows)  # every two of them: 3600
+
+
+def test_components_grow_by_edges_as_from_all_of_them(spark):
+    draw = random.Random(14)
+    edges = [sorted(draw.sample(range(60), 2)) for _ in range(36)]
+    frame = lambda some: spark.createDataFrame(some, "lo long, hi long")
+    roots = None
+    for i in range(0, 36, 12):
+        roots = similar.joined(roots, frame(edges[i : i + 12]))
+        assert sorted(map(tuple, roots.collect())) == sorted(map(tuple, similar.components(frame(edges[: i + 12])).collect()))
+    assert sorted(map(tuple, similar.joined(roots, frame(edges)).collect())) == sorted(map(tuple, roots.collect()))
