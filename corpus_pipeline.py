@@ -5,7 +5,8 @@ of documents, but for the last, which returns the pieces of the packed sequences
 long texts, ties, repeated rows, empty tables and extra columns have the results that the operators
 state: language ID rejects what has no letters; a null text is never kept by it; of equal and of nearly
 equal texts one row stays, the one with the smallest doc_id (null last; of exact copies first the
-longest); an empty table stays empty to the end.
+longest); an empty table stays empty to the end. Texts go to the Python workers a few MB at a time: the stages set
+that for the session, unless it has its own setting.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feltloom.llm.common import documents, write_shared
+from feltloom.llm.common import documents, small_batches, write_shared
 from feltloom.llm.exact_dedup import drop_exact_duplicates
 from feltloom.llm.language import drop_undetermined
 from feltloom.llm.packing import pack
@@ -23,22 +24,27 @@ from feltloom.llm.toxicity import drop_toxic
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_undetermined(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_similar(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack(docs, "byte_bpe_50k.json", 1)
 
 

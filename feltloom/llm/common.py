@@ -93,6 +93,20 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(p for p in (top, *paths) if p)
 
 
+#: Bytes of rows that are sent to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers ``BATCH_BYTES`` at a time, unless the session has its own setting.
+
+    Spark's 64 MB of texts are held outside the heap, twice while their buffer grows, for each core, and once more by its worker.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: extra columns, whatever their names, never reach an operator."""
     importable(docs.sparkSession)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import WHITE, WHITE_BYTES, id_text, keep_rows
+from feltloom.llm.common import WHITE, WHITE_BYTES, id_text, keep_rows, worker_cache
 
 #: Bytes of strings that one trie may hold before it is flushed (map side) or spills (owner side).
 TRIE_BYTES = 48 << 20
@@ -187,6 +187,7 @@ def _batch(rows: list[tuple], owners: bool) -> pa.RecordBatch:
 
 def _candidates(budget: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(("exact_dedup",), lambda: None)  # what an earlier operator kept goes
         trie = PatriciaTrie(0)
         for batch in batches:
             for doc, text, chars in zip(*(c.to_pylist() for c in batch.columns)):

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feltloom.llm.common import Shared, drop_rows, few, id_text, rows_of, sliced, write_shared
+from feltloom.llm.common import Shared, drop_rows, few, id_text, rows_of, sliced, worker_cache, write_shared
 from feltloom.llm.sampling import SLOTS
 from feltloom.llm.simhash import components, hashes, links, packed
 
@@ -114,7 +114,7 @@ def _whole_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(shared: Shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
+        common, counts = worker_cache(("similar", shared.key), lambda: shared.value)  # what an earlier operator kept goes
         for batch in sliced(batches, "text", SLICE_BYTES):
             found = [hashes(t or "", WORDS) for (t,) in rows_of(batch, "text")]
             sets = [np.unique(h).view(np.int64) for h in found]

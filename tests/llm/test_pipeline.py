@@ -1,12 +1,18 @@
 import re
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from feltloom.llm.exact_dedup import drop_exact_duplicates
+from feltloom.llm import common
+from feltloom.llm.exact_dedup import _candidates, drop_exact_duplicates
 from feltloom.llm.simhash import drop_near_duplicates
+from feltloom.llm.similar import _prefixes
 
 from helpers import SCHEMA, make_documents
 from test_packing import check
@@ -94,3 +100,35 @@ def test_empty_table(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_send_a_few_mb_at_a_time(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("x"), 5000).alias("text"))
+    try:
+        corpus_pipeline.near_dedup(spark, make_documents(spark)[0], "")
+        assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= (4 << 20) + 10_000
+        spark.conf.set(setting, "1m")
+        corpus_pipeline.near_dedup(spark, make_documents(spark)[0], "")
+        assert spark.conf.get(setting) == "1m"  # a session's own setting stays
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_a_stage_drops_what_a_worker_kept_for_another(spark):
+    kept = common._kept
+    kept["toxicity"] = "a network and its caches"
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text_hash": [2], "text": ["a b c d e f"]})
+    try:
+        list(_prefixes(SimpleNamespace(key=1, value=(np.zeros(0, np.int64), np.zeros(0, np.int64))))([batch]))
+        assert "toxicity" not in kept
+        kept["toxicity"] = "again"
+        list(_candidates(1 << 20)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [b"a"], "chars": [1]})]))
+        assert "toxicity" not in kept
+    finally:
+        kept.clear()
