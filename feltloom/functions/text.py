@@ -74,7 +74,7 @@ def tidy_lines(x: Column | str) -> Column:
     """Trimmed lines: inner white space collapsed, runs of blank lines made one, none at the ends."""
     trimmed = F.transform(F.split(unix_lines(F.coalesce(_c(x), F.lit(""))), "\n"), lambda v: collapse_space(v))
     single = F.element_at(F.transform(F.array(trimmed), lambda a: F.filter(a, lambda v, i: (v != "") | ((i > 0) & (F.get(a, i - 1) != "")))), 1)
-    return F.element_at(F.transform(F.array(single), lambda a: F.when(F.element_at(F.reverse(a), 1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)), 1)
+    return F.element_at(F.transform(F.array(single), lambda a: F.when(F.get(a, F.size(a) - 1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)), 1)
 
 
 def tidy_text(x: Column | str) -> Column:

@@ -64,10 +64,10 @@ def thread_items(threads: DataFrame, general: str) -> DataFrame:
     """Items of valid threads (column t); a rebuild runs the same over saved inputs."""
     board, name = BOARDS[general]
     valid = threads.where("t.no > 0 and coalesce(t.resto, 0) = 0 and t.sub <> '' and t.com <> '' and t.time > 0")
-    said = valid.withColumn("said", text.tidy_text(break_text(F.col("t.com")))).where("said <> ''")
     marker, number = f"/{general}/", F.col("t.no").cast("string")
-    subject = text.strip_marker(F.col("t.sub"), marker)
-    edition = text.title_line("said", name, marker)
+    said = _once(valid, "said", text.tidy_text(break_text(F.col("t.com")))).where("said <> ''")
+    said = _once(_once(said, "subject", text.strip_marker(F.col("t.sub"), marker)), "edition", text.title_line("said", name, marker))
+    subject, edition = F.col("subject"), F.col("edition")
     title = F.when((subject != "") & (text.fold_name(subject) != text.fold_name(F.lit(name))), subject).when(edition == "", F.lit(name)).otherwise(F.concat(F.lit(f"{name} — "), edition))
     return _observations(
         said, guid=F.concat(F.lit(f"{general}:"), number), title=title, link=F.concat(F.lit(f"https://boards.4chan.org/{board}/thread/"), number, F.lit("/")), description=F.col("said"),
